@@ -149,6 +149,22 @@ def running(df: DataFrame, axis: Axis, scans: dict[str, Scan]) -> DataFrame:
     return out.drop(*[f"__{p}_{n}" for n in scans for p in "vcl"])
 
 
+def per_key(df: DataFrame, axis: Axis, aggs: dict[str, Column]) -> DataFrame:
+    """Attach whole-series aggregates to every row of the series."""
+    if axis.block is None:
+        whole = Window.partitionBy(*axis.key)
+        return df.withColumns({n: a.over(whole) for n, a in aggs.items()})
+    # pre-aggregate per key, then spread over the blocks: no key meets in one task
+    totals = df.filter(F.col("__halo") == 0).groupBy(*axis.key).agg(*[a.alias(n) for n, a in aggs.items()])
+    parts = df.select(*axis.parts).distinct()
+    return df.join(parts.join(totals, list(axis.key)), list(axis.parts), "left")
+
+
+def position(axis: Axis) -> Column:
+    """1-based row number of a row within its series."""
+    return F.row_number().over(axis.by_time()) if axis.block is None else F.col("__rn") + 1
+
+
 # --------------------------------------------------------------- waves
 
 Wave = dict[str, "Column | Scan"]

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import REGISTRY, Query
 
-MODULES = ("market",)
+MODULES = ("market", "cleaning", "joining")
 
 
 def load_queries() -> dict[str, Query]:

@@ -23,18 +23,20 @@ REGISTRY: dict[str, Query] = {}
 
 @dataclass(frozen=True)
 class Shape:
-    """Output columns of a query: kept as they are, dates as text, and rounded doubles."""
+    """Output columns of a query: kept as they are, dates and times as text, and rounded doubles."""
 
     keys: Sequence[str] = ()
     dates: Sequence[str] = ()
     plain: Sequence[str] = ()
     fine: Sequence[str] = ()
     coarse: Sequence[str] = ()
+    times: Sequence[str] = ()
 
     def spark(self, df: DataFrame) -> DataFrame:
         return df.select(
             *self.keys,
             *[F.col(c).cast("date").cast("string").alias(c) for c in self.dates],
+            *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in self.times],
             *self.plain,
             *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in self.fine],
             *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in self.coarse],
@@ -42,11 +44,12 @@ class Shape:
 
     def sql(self) -> str:
         parts = [
-            *self.keys,
-            *[f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in self.dates],
+            *[f'"{c}"' for c in self.keys],
+            *[f"CAST(CAST(\"{c}\" AS DATE) AS VARCHAR) AS \"{c}\"" for c in self.dates],
+            *[f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in self.times],
             *[f'"{c}"' for c in self.plain],
-            *[f'round(CAST("{c}" AS DOUBLE), 6) + 0.0 AS "{c}"' for c in self.fine],
-            *[f'round(CAST("{c}" AS DOUBLE), 4) + 0.0 AS "{c}"' for c in self.coarse],
+            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 12)), 6) AS DOUBLE) + 0.0 AS "{c}"' for c in self.fine],
+            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 12)), 4) AS DOUBLE) + 0.0 AS "{c}"' for c in self.coarse],
         ]
         return ", ".join(parts)
 

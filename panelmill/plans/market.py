@@ -274,8 +274,8 @@ def market_regime(spark, sf):
     return ind.apply_waves(fx.bars(spark, sf), ind.DAILY, ind.market_regime())
 
 
-_SAMPLE = ["SMA_50", "EMA_26", "WMA_20", "BB_upper_20", "VWAP", "ATR_14"]
-_SAMPLE_FINE = ["RSI_14", "MACD", "CCI", "Stoch_D", "Williams_R", "ROC_10", "Volatility_ratio", "Trend_strength_10"]
+_SAMPLE = ["MACD", "SMA_50", "EMA_26", "WMA_20", "BB_upper_20", "VWAP", "ATR_14"]
+_SAMPLE_FINE = ["RSI_14", "CCI", "Stoch_D", "Williams_R", "ROC_10", "Volatility_ratio", "Trend_strength_10"]
 
 
 def _last_known(cols):
