@@ -207,13 +207,14 @@ def apply_waves(df: DataFrame, axis: Axis, *families: Sequence[Wave], keep_temp:
 # --------------------------------------------------------------- blocked layout
 
 
-def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", partitions: int | None = None) -> DataFrame:
-    """Row number per key in (ts, tie) order without bringing a key into one task.
+def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", partitions: int | None = None, count: str | None = None) -> DataFrame:
+    """0-based row number per key in (ts, tie) order without bringing a key into one task.
 
     Range partitioning cuts a heavy key into many tasks; each task numbers its
     own rows; a table of (key, task) counts, no larger than tasks + keys,
     supplies the offsets.  The numbered rows are checkpointed because both the
-    counts and the final rows must see the very same cut.
+    counts and the final rows must see the very same cut.  ``count`` names an
+    extra column for the rows of the key.  Key columns must not be NULL.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -228,7 +229,8 @@ def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", partitions: int |
     )
     runs = laid.groupBy(*axis.key, "__task").agg(F.min("__id").alias("__lo"), F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*axis.key).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select(*axis.key, "__task", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__lo")).alias("__off"))
+    whole = [F.sum("__n").over(Window.partitionBy(*axis.key)).alias(count)] if count else []
+    offsets = runs.select(*axis.key, "__task", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__lo")).alias("__off"), *whole)
     return (
         laid.join(offsets, [*axis.key, "__task"])
         .withColumn(name, F.col("__id") + F.col("__off"))
@@ -270,3 +272,21 @@ def in_blocks(
     )
     out = fn(cut, replace(axis, block="__block"))
     return out.filter(F.col("__halo") == 0).drop("__rn", "__halo", "__tail", "__block")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated quantiles per key by distributed sort: one row per key.
+
+    For groups too large for ``percentile``, whose state holds every distinct
+    value of a group.  Only the two neighbours of each quantile are kept.
+    """
+    axis = Axis(key=tuple(keys), ts=value)
+    rows = number_rows(df.select(*keys, value).filter(F.col(value).isNotNull()), axis, "__rn", count="__cnt")
+    aggs = []
+    for name, p in probs.items():
+        at = (F.col("__cnt") - 1) * F.lit(float(p))
+        lo, part = F.floor(at), at - F.floor(at)
+        below = F.max(F.when(F.col("__rn") == lo, F.col(value)))
+        above = F.max(F.when(F.col("__rn") == F.ceil(at), F.col(value)))
+        aggs.append((below + (above - below) * F.max(part)).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)

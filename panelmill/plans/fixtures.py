@@ -112,7 +112,7 @@ def macro(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
     grouped = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.to_date(F.date_trunc(unit, C("l_shipdate"))).alias("date"))
-        .agg(F.avg("l_discount").alias("DISC"), F.avg("l_tax").alias("TAX"), F.avg("l_quantity").alias("QTY"))
+        .agg(F.avg(F.round(C("l_discount") * 100)).alias("DISC"), F.avg(F.round(C("l_tax") * 100)).alias("TAX"), F.avg("l_quantity").alias("QTY"))
     )
     return grouped.unpivot("date", ["DISC", "TAX", "QTY"], "series_id", "value").select("series_id", "date", "value")
 
@@ -121,7 +121,7 @@ def macro_sql(name: str = "macro", unit: str = "month") -> str:
     return f"""
 {name} AS (
   SELECT s.series_id, g.date, CASE s.series_id WHEN 'DISC' THEN g.disc WHEN 'TAX' THEN g.tax ELSE g.qty END AS value
-  FROM (SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS date, avg(l_discount) AS disc, avg(l_tax) AS tax,
+  FROM (SELECT CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS date, avg(round(l_discount * 100)) AS disc, avg(round(l_tax * 100)) AS tax,
                avg(l_quantity) AS qty FROM lineitem GROUP BY 1) g
   CROSS JOIN (VALUES ('DISC'), ('TAX'), ('QTY')) s(series_id))"""
 

@@ -149,7 +149,7 @@ _ids = "['DGS1MO', 'DGS3MO', 'DGS6MO', 'DGS1', 'DGS2', 'DGS3', 'DGS5']"
 @query(
     "yield_curve",
     Shape(["series_id"], ["date"], [], ["yield", "maturity_years"]),
-    f"""y AS (SELECT ({_ids})[l_linenumber] AS series_id, CAST(l_shipdate AS DATE) AS date, avg(l_tax) AS v FROM lineitem GROUP BY 1, 2),
+    f"""y AS (SELECT ({_ids})[l_linenumber] AS series_id, CAST(l_shipdate AS DATE) AS date, avg(round(l_tax * 100)) AS v FROM lineitem GROUP BY 1, 2),
 k AS (SELECT series_id, max_by(v, date) AS yield, max(date) AS date FROM y WHERE date <= DATE '1999-12-31' GROUP BY 1),
 res AS (SELECT series_id, date, yield, ([1, 3, 6, 12, 24, 36, 60])[list_position({_ids}, series_id)] / 12.0 AS maturity_years FROM k)""",
 )
@@ -158,7 +158,7 @@ def yield_curve(spark, sf):
     macro = (
         fx.table(spark, sf, "lineitem")
         .groupBy(F.element_at(ids, C("l_linenumber")).alias("series_id"), F.to_date("l_shipdate").alias("date"))
-        .agg(F.avg("l_tax").alias("value"))
+        .agg(F.avg(F.round(C("l_tax") * 100)).alias("value"))
     )
     return economic.yield_curve(macro, "1999-12-31")
 
