@@ -132,9 +132,9 @@ _m = lambda *stems: [f"sentiment_{s}_{n}d" for s in stems for n in _W]
     "sentiment_momentum",
     Shape(
         ["symbol"], ["ts"], [*_m("regime", "momentum_persistence"), "sentiment_ma_bullish_cross", "sentiment_ma_bearish_cross"],
-        _m("trend", "position", "ema", "ema_momentum"),
+        _m("trend", "position", "ema"),
         [
-            *_m("momentum", "ma", "ma_momentum", "volatility", "volatility_norm", "momentum_acceleration", "roc"),
+            *_m("momentum", "ma", "ma_momentum", "ema_momentum", "volatility", "volatility_norm", "momentum_acceleration", "roc"),
             "sentiment_acceleration", "sentiment_momentum_fast_vs_slow",
         ],
     ),
