@@ -31,6 +31,7 @@ class Shape:
     fine: Sequence[str] = ()
     coarse: Sequence[str] = ()
     times: Sequence[str] = ()
+    cents: Sequence[str] = ()
 
     def spark(self, df: DataFrame) -> DataFrame:
         return df.select(
@@ -40,6 +41,7 @@ class Shape:
             *self.plain,
             *[(F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c in self.fine],
             *[(F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in self.coarse],
+            *[(F.round(F.col(c).cast("double"), 2) + 0.0).alias(c) for c in self.cents],
         )
 
     def sql(self) -> str:
@@ -50,6 +52,7 @@ class Shape:
             *[f'"{c}"' for c in self.plain],
             *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 12)), 6) AS DOUBLE) + 0.0 AS "{c}"' for c in self.fine],
             *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 12)), 4) AS DOUBLE) + 0.0 AS "{c}"' for c in self.coarse],
+            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 12)), 2) AS DOUBLE) + 0.0 AS "{c}"' for c in self.cents],
         ]
         return ", ".join(parts)
 

@@ -218,3 +218,43 @@ faulty AS (
          CASE WHEN rn % 103 = 0 THEN -1000.0 ELSE volume END AS volume, rn, c.copy
   FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars) b
   JOIN (VALUES (1), (2)) c(copy) ON c.copy = 1 OR rn % 109 = 0)"""
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smooth price level per symbol and day: the rounded mean of the last 20 closes."""
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-19, 0)
+    return bars(spark, sf_dir).select("symbol", "ts", F.round(F.avg("close").over(w)).alias("close"))
+
+
+LEVELS_SQL = (
+    BARS_SQL
+    + """,
+levels AS MATERIALIZED (SELECT symbol, ts, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS close FROM bars)"""
+)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-day return of the level, and three lag-based guesses at it."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    ret = C("close") / F.lag("close").over(w) - 1
+    base = levels(spark, sf_dir).withColumn("r", ret)
+    mean5 = F.when(F.count("r").over(w.rowsBetween(-4, 0)) == 5, F.avg("r").over(w.rowsBetween(-4, 0)))
+    rows = base.withColumns({"actual": F.lead("r").over(w), "mean5": mean5})
+    guess = F.array(
+        F.struct(F.lit("naive").alias("model"), F.lit(0.0).alias("predicted")),
+        F.struct(F.lit("mom1").alias("model"), C("r").alias("predicted")),
+        F.struct(F.lit("mean5").alias("model"), C("mean5").alias("predicted")),
+    )
+    return rows.select("symbol", "ts", "actual", F.inline(guess)).filter(C("actual").isNotNull() & C("predicted").isNotNull())
+
+
+PREDS_SQL = (
+    LEVELS_SQL
+    + """,
+pr AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM levels),
+pn AS (SELECT *, lead(r) OVER w AS actual, CASE WHEN count(r) OVER w5 = 5 THEN avg(r) OVER w5 END AS mean5 FROM pr
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts), w5 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+preds AS MATERIALIZED (SELECT * FROM (
+  SELECT symbol, ts, actual, 'naive' AS model, 0.0::DOUBLE AS predicted FROM pn UNION ALL SELECT symbol, ts, actual, 'mom1', r FROM pn
+  UNION ALL SELECT symbol, ts, actual, 'mean5', mean5 FROM pn) WHERE actual IS NOT NULL AND predicted IS NOT NULL)"""
+)
