@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis
 from ..operators import evaluate as ev
 from ..operators import forecast as fc
+from ..operators import ml
+from ..operators import unified as un
 from . import fixtures as fx
 from .catalog import Shape, query
 from .sqlkit import wins
@@ -359,3 +361,127 @@ def path_metrics(spark, sf):
     return ev.path_metrics(path, guess).join(last, "symbol")
 
 
+
+
+# ------------------------------------------------------------ Spark ML
+def _lagged_levels(spark, sf):
+    a = Axis()
+    b = fx.levels(spark, sf)
+    b = b.select("symbol", "ts", (C("close") / 1000).alias("target"), (a.lag("close") / 1000).alias("x"))
+    return b.filter(C("x").isNotNull())
+
+
+_XY = f"{LEVELS}, xy AS (SELECT * FROM (SELECT symbol, ts, close / 1000 AS y, lag(close) OVER w / 1000 AS x FROM levels {wins()}) WHERE x IS NOT NULL)"
+
+
+def _linear_rows(spark, sf, penalty):
+    data = _lagged_levels(spark, sf)
+    model = ml.fit_linear(data, ["x"], "target", penalty)
+    return ml.predict(model, data)
+
+
+@query("ml_linear", Shape(["symbol"], ["ts"], [], [], ["prediction"]), f"{_XY}, g AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM xy), res AS (SELECT symbol, ts, a + b * x AS prediction FROM xy, g)")
+def ml_linear(spark, sf):
+    return _linear_rows(spark, sf, "none")
+
+
+@query(
+    "ml_ridge",
+    Shape(["symbol"], ["ts"], [], [], ["prediction"]),
+    f"""{_XY}, g AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM xy),
+res AS (SELECT symbol, ts, my + sxy / (sxx + 1) * (x - mx) AS prediction FROM xy, g)""",
+)
+def ml_ridge(spark, sf):
+    return _linear_rows(spark, sf, "ridge")
+
+
+@query(
+    "ml_lasso",
+    Shape(["symbol"], ["ts"], [], [], [], [], ["prediction"]),
+    f"""{_XY}, g AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM xy),
+res AS (SELECT symbol, ts, my + greatest(c - 1, 0) / v * (x - mx) AS prediction FROM xy, g)""",
+)
+def ml_lasso(spark, sf):
+    return _linear_rows(spark, sf, "lasso")
+
+
+@query(
+    "feature_scaling",
+    Shape(["symbol"], ["ts"], [], ["standard", "minmax", "robust"]),
+    f"""{BARS},
+s AS (SELECT avg(close) AS m, stddev_pop(close) AS sd, min(volume) AS lo, max(volume) AS hi, quantile_cont(open, 0.5) AS q2, quantile_cont(open, 0.75) - quantile_cont(open, 0.25) AS iqr FROM bars),
+res AS (SELECT symbol, ts, (close - m) / sd AS standard, (volume - lo) / (hi - lo) AS minmax, (open - q2) / iqr AS robust FROM bars, s)""",
+)
+def feature_scaling(spark, sf):
+    b = fx.bars(spark, sf)
+    scaler = ml.fit_scaler(b, ["close"]) | ml.fit_scaler(b, ["volume"], "minmax") | ml.fit_scaler(b, ["open"], "robust")
+    return ml.scale(b, scaler).select("symbol", "ts", C("close").alias("standard"), C("volume").alias("minmax"), C("open").alias("robust"))
+
+
+_FEATS = ["SMA_10_ratio", "RSI_14", "ROC_5", "Volume_ratio_20", "BB_position_20", "ATR_normalized"]
+
+
+def _model_data(spark, sf):
+    levels = fx.levels(spark, sf).join(fx.bars(spark, sf).drop("close", "open"), ["symbol", "ts"])
+    frame = ml.model_frame(levels.select("symbol", "ts", C("close").alias("open"), "high", "low", "close", "volume"))
+    return ml.impute(frame.select("symbol", "ts", "target", *_FEATS), _FEATS).filter(C("target").isNotNull())
+
+
+@query("ml_feature_selection", Shape(["feature"], [], [], ["score"]))
+def ml_feature_selection(spark, sf):
+    scores = ml.feature_scores(_model_data(spark, sf), _FEATS)
+    return spark.createDataFrame(scores, "feature string, score double")
+
+
+@query("ml_forest", Shape(["symbol"], ["ts"], [], ["prediction"]))
+def ml_forest(spark, sf):
+    data = _model_data(spark, sf).persist()
+    cut = ml.time_folds(data, 4)[-1][0]
+    train = data.filter(C("ts") < F.lit(cut))
+    best = ml.grid_search(train, ml.fit_forest, {"numTrees": [10], "maxDepth": [3, 5]}, _FEATS, splits=2)[0]
+    best.pop("rmse")
+    return ml.predict(ml.fit_forest(train, _FEATS, **best), data.filter(C("ts") >= F.lit(cut)))
+
+
+@query("ml_ensemble", Shape(["symbol"], ["ts"], [], ["prediction", "prediction_ridge", "prediction_forest", "prediction_boosted"]))
+def ml_ensemble(spark, sf):
+    data = _model_data(spark, sf).persist()
+    cut = ml.time_folds(data, 4)[-1][0]
+    models = ml.fit_ensemble(data.filter(C("ts") < F.lit(cut)), _FEATS, trees=10)
+    return ml.predict_ensemble(models, data.filter(C("ts") >= F.lit(cut)))
+
+
+# ------------------------------------------------------------ the merged dataset
+def _supplier_news(spark, sf):
+    """Scored items per supplier from line items: one per line, discount as mood."""
+    return fx.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), "l_suppkey").alias("symbol"),
+        F.col("l_shipdate").alias("ts"),
+        (F.round(C("l_discount") * 100) * 20 - 100).alias("sentiment_score"),
+        "l_orderkey",
+    )
+
+
+_UNIFIED = f"""{BARS},{fx.macro_sql()},
+md AS (SELECT date, value FROM macro WHERE series_id = 'DISC'),
+sn AS (SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ts, avg(round(l_discount * 100) * 20 - 100) AS sentiment_score FROM lineitem GROUP BY 1, 2),
+u0 AS (SELECT b.*, m.value AS DISC, CAST(date_diff('day', m.date, b.ts) AS INTEGER) AS DISC_days_since_update, s.sentiment_score
+  FROM bars b ASOF LEFT JOIN md m ON b.ts >= m.date LEFT JOIN sn s ON s.symbol = b.symbol AND s.ts = b.ts),
+u1 AS (SELECT *, row_number() OVER w AS rn, close / lag(close) OVER w - 1 AS u_returns, CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 END AS u_sma_20,
+  CASE WHEN count(*) OVER w3 = 3 THEN avg(sentiment_score) OVER w3 END AS sentiment_ma_3d FROM u0 {wins(3, 20)}),
+res AS (SELECT *, lag(close, 2) OVER w AS close_lag_2, lag(u_returns, 1) OVER w AS u_returns_lag_1 FROM u1 {wins()})"""
+
+
+@query(
+    "unified_dataset",
+    Shape(["symbol"], ["ts"], ["DISC_days_since_update"], ["DISC", "u_returns", "u_returns_lag_1"], ["close", "volume", "sentiment_score", "sentiment_ma_3d", "u_sma_20", "close_lag_2"]),
+    _UNIFIED,
+)
+def unified(spark, sf):
+    df, _, _ = un.unified_dataset(fx.bars(spark, sf), fx.macro(spark, sf), ["DISC"], _supplier_news(spark, sf), tie=["l_orderkey"])
+    return df
+
+
+@query("unified_report", Shape(["symbol"], [], ["rows", "error_issues", "warning_issues", "is_valid"], ["missing_pct", "quality_score"]))
+def unified_report(spark, sf):
+    return un.unified_dataset(fx.bars(spark, sf), fx.macro(spark, sf), ["DISC"], _supplier_news(spark, sf), tie=["l_orderkey"], now="2030-01-01")[2]
