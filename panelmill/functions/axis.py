@@ -56,7 +56,13 @@ class Axis:
         return self.by_time().rowsBetween(Window.unboundedPreceding, 0)
 
     def onward(self):
-        return self.by_time().rowsBetween(0, Window.unboundedFollowing)
+        """The current row and everything after it, read from the end.
+
+        A frame that reaches to the unbounded end is re-scanned for every row;
+        the reversed order gives the same rows as a running frame, one step each.
+        """
+        back = [F.desc(c) for c in self.order]
+        return Window.partitionBy(*self.parts).orderBy(*back).rowsBetween(Window.unboundedPreceding, 0)
 
     def lag(self, c, k: int = 1) -> Column:
         return F.lag(col(c), k).over(self.by_time())
@@ -90,7 +96,7 @@ def _local(scan: Scan, axis: Axis) -> Column:
     if scan.kind == "last":
         return F.last(scan.value, ignorenulls=True).over(axis.upto())
     if scan.kind == "next":
-        return F.first(scan.value, ignorenulls=True).over(axis.onward())
+        return F.last(scan.value, ignorenulls=True).over(axis.onward())
     return _AGG[scan.kind](scan.value).over(axis.upto())
 
 
@@ -130,12 +136,12 @@ def running(df: DataFrame, axis: Axis, scans: dict[str, Scan]) -> DataFrame:
     blocks = df.filter(own).groupBy(*axis.parts).agg(*aggs)
     w = Window.partitionBy(*axis.key).orderBy(axis.block)
     older = w.rowsBetween(Window.unboundedPreceding, -2)
-    newer = w.rowsBetween(1, Window.unboundedFollowing)
+    newer = Window.partitionBy(*axis.key).orderBy(F.desc(axis.block)).rowsBetween(Window.unboundedPreceding, -1)
     carry: list[Column] = []
     for n, s in scans.items():
         f, d = F.col(f"__f_{n}"), F.lag(f"__d_{n}", 1).over(w)
         if s.kind == "next":
-            c = F.first(f, ignorenulls=True).over(newer)
+            c = F.last(f, ignorenulls=True).over(newer)
         elif s.kind == "last":
             c = F.coalesce(d, F.last(f, ignorenulls=True).over(older))
         else:

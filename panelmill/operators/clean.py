@@ -59,7 +59,8 @@ def handle_missing(df: DataFrame, method: str = "interpolate", axis: Axis = DAIL
     if method == "drop":
         return df.na.drop()
     if method == "interpolate":
-        return interpolate(df, numeric, axis, limit=5)
+        # whole-number columns (flags, calendar fields) hold no gaps and keep their type
+        return interpolate(df, [c for c in numeric if dict(df.dtypes)[c] in ("double", "float")], axis, limit=5)
     if method == "forward_fill":
         return forward_fill(df, values, axis, limit=5)
     if method == "mean":

@@ -124,16 +124,26 @@ def _assembled(features: Sequence[str], degree: int = 1) -> list:
 def fit_linear(df: DataFrame, features: Sequence[str], target: str = "target", penalty: str = "none", alpha: float = 1.0, l1_ratio: float = 0.5, degree: int = 1) -> PipelineModel:
     """Least squares, ridge, lasso or elastic net.
 
-    Ridge penalises the summed loss, the others the mean loss, so ridge's
-    ``alpha`` is divided by the number of rows.
+    Loss: summed squares + alpha*|w|^2 for ridge; mean squares / 2 + alpha *
+    (l1_ratio*|w| + (1 - l1_ratio)/2*|w|^2) for lasso and elastic.  Spark fits
+    on the target divided by its deviation, which leaves an absolute penalty
+    as it is but divides a squared one by the deviation; that is undone here.
     """
     df = df.na.drop(subset=[*features, target])
-    reg, mix = {"none": (0.0, 0.0), "lasso": (alpha, 1.0), "elastic": (alpha, l1_ratio)}.get(penalty, (None, 0.0))
-    if penalty == "ridge":
-        reg = alpha / max(df.count(), 1)
-    if reg is None:
+    l1, l2 = 0.0, 0.0
+    if penalty == "lasso":
+        l1 = alpha
+    elif penalty == "elastic":
+        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
+    elif penalty not in ("none", "ridge"):
         raise ValueError(f"unknown penalty: {penalty}")
-    lr = LinearRegression(labelCol=target, standardization=False, regParam=reg, elasticNetParam=mix, solver="normal" if mix == 0 else "l-bfgs", maxIter=200, tol=1e-10)
+    if penalty in ("ridge", "elastic"):
+        stats = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(target).alias("s")).first()
+        l2 = (alpha / max(stats["n"], 1) if penalty == "ridge" else l2) * (stats["s"] or 1.0)
+    reg = l1 + l2
+    lr = LinearRegression(
+        labelCol=target, standardization=False, regParam=reg, elasticNetParam=l1 / reg if reg else 0.0, solver="l-bfgs" if reg else "normal", maxIter=200, tol=1e-12
+    )
     return Pipeline(stages=[*_assembled(features, degree), lr]).fit(df)
 
 

@@ -98,26 +98,39 @@ def time_gaps(df: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts", he
 def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("symbol",), heavy: bool = False) -> DataFrame:
     """Per dataset and column: known values and how many lie outside 1.5 interquartile ranges.
 
-    ``percentile`` keeps one counter per distinct value of a dataset; with
-    ``heavy`` the quartiles come from a distributed sort instead.
+    For datasets bounded by the calendar the quartiles of all columns are one
+    aggregate (a counter per distinct value) and the counts a second one.
+    With ``heavy`` the quartiles come from a distributed sort, and values are
+    folded to counters before they meet them, so a dataset of any size is
+    spread over many tasks.
     """
-    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), C(c).cast("double").alias("value")) for c in columns])).alias("_e"))
-    long = long.select(*by, "_e.column", "_e.value").filter(C("value").isNotNull())
     keys = [*by, "column"]
     if heavy:
+        long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), C(c).cast("double").alias("value")) for c in columns])).alias("_e"))
+        long = long.select(*by, "_e.column", "_e.value").filter(C("value").isNotNull())
         q = exact_quantiles(long, keys, "value", {"q1": 0.25, "q3": 0.75})
-    else:
-        q = long.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-        q = q.select(*keys, C("_q")[0].alias("q1"), C("_q")[1].alias("q3"))
-    iqr = C("q3") - C("q1")
-    outside = (C("value") < C("q1") - 1.5 * iqr) | (C("value") > C("q3") + 1.5 * iqr)
-    # values are folded to counters before they meet the quartiles, so a heavy dataset is spread by value
-    folded = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_k"))
-    return (
-        folded.join(q, keys)
-        .groupBy(*keys)
-        .agg(F.sum("_k").alias("known"), F.sum(F.when(outside, C("_k")).otherwise(0)).alias("outliers"), F.max(iqr).alias("iqr"))
-    )
+        iqr = C("q3") - C("q1")
+        outside = (C("value") < C("q1") - 1.5 * iqr) | (C("value") > C("q3") + 1.5 * iqr)
+        folded = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_k"))
+        return (
+            folded.join(q, keys)
+            .groupBy(*keys)
+            .agg(F.sum("_k").alias("known"), F.sum(F.when(outside, C("_k")).otherwise(0)).alias("outliers"), F.max(iqr).alias("iqr"))
+        )
+    slim = df.select(*by, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    quarts = F.array(F.lit(0.25), F.lit(0.75))
+    q = slim.groupBy(*by).agg(*[F.percentile(f"_x{i}", quarts).alias(f"_q{i}") for i in range(len(columns))])
+    aggs: list[Column] = []
+    for i in range(len(columns)):
+        x, lo, hi = C(f"_x{i}"), C(f"_q{i}")[0], C(f"_q{i}")[1]
+        aggs += [
+            F.count(x).alias(f"_n{i}"),
+            F.count_if((x < lo - 1.5 * (hi - lo)) | (x > hi + 1.5 * (hi - lo))).alias(f"_o{i}"),
+            F.max(hi - lo).alias(f"_i{i}"),
+        ]
+    counts = slim.join(q, list(by)).groupBy(*by).agg(*aggs)
+    each = [F.struct(F.lit(c).alias("column"), C(f"_n{i}").alias("known"), C(f"_o{i}").alias("outliers"), C(f"_i{i}").alias("iqr")) for i, c in enumerate(columns)]
+    return counts.select(*by, F.inline(F.array(*each))).filter(C("known") > 0)
 
 
 def validate(
