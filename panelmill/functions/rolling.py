@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .axis import Axis
-from .exprs import col
+from .axis import Axis, Wave
+from .exprs import col, div, total
+
+DIRECT = 25
 
 
 def rolling_corr(a: Column, b: Column, window, need: int) -> Column:
@@ -49,3 +51,65 @@ def rolling_apply(c: str | Column, axis: Axis, n: int, fn: Callable, min_rows: i
         return frames.map(lambda v: float(fn(v)) if v is not None and len(v) >= need else None)
 
     return F.collect_list(col(c)).over(axis.last(n)), call
+
+
+def _parts(n: int) -> int | None:
+    """Largest frame of at most DIRECT rows that divides n, if it saves work."""
+    best = max((m for m in range(2, DIRECT + 1) if n % m == 0), default=0)
+    return best if best >= 5 and n > DIRECT else None
+
+
+def rolling_means(x: str | Column, axis: Axis, sizes: dict[int, str], min_rows: str = "any", tag: str = "") -> list[Wave]:
+    """Means over the last n rows for several n, as waves.
+
+    Spark re-reads a sliding frame for every row, so a 200-row frame costs 200
+    steps a row.  Long frames are put together from non-overlapping short ones
+    (200 = 10 + 10 + ... ), which are running totals already at hand.
+    ``min_rows``: 'any' gives a mean of what is there, 'full' NULL until n
+    known values exist.
+    """
+    x = col(x)
+    waves: list[Wave] = [{}, {}, {}]
+    bases = {n: (_parts(n) or n) for n in sizes}
+    s = lambda m: f"_t_rm{tag}_s{m}"
+    c = lambda m: f"_t_rm{tag}_c{m}"
+    for m in sorted(set(bases.values())):
+        waves[0][s(m)] = F.sum(x).over(axis.last(m))
+        waves[0][c(m)] = F.count(x).over(axis.last(m))
+    for n, m in bases.items():
+        if n == m:
+            continue
+        back = [0] + [k for k in range(m, n, m)]
+        at = lambda name, k: F.coalesce(F.col(name) if k == 0 else axis.lag(name, k), F.lit(0))
+        waves[1][s(n)] = total([at(s(m), k) for k in back])
+        waves[1][c(n)] = total([at(c(m), k) for k in back])
+    for n, name in sizes.items():
+        mean = div(F.col(s(n)), F.col(c(n)))
+        done = mean if min_rows == "any" else F.when(F.col(c(n)) == n, mean)
+        waves[1 if bases[n] == n else 2][name] = done
+    return waves
+
+
+def rolling_moments(x: str | Column, axis: Axis, n: int, mean: str, std: str, tag: str = "") -> list[Wave]:
+    """Full-window mean and sample deviation over a long frame from short pieces.
+
+    Pieces are merged by their counts, means and squared deviations, so there
+    is no difference of large sums.
+    """
+    x, m = col(x), _parts(n)
+    w = axis.last(m or n)
+    k, a, v = (f"_t_mo{tag}_{p}" for p in "kav")
+    first: Wave = {k: F.count(x).over(w), a: F.avg(x).over(w), v: F.coalesce(F.var_samp(x).over(w), F.lit(0.0))}
+    if m is None:
+        ok = F.col(k) == n
+        return [first, {mean: F.when(ok, F.col(a)), std: F.when(ok, F.sqrt(F.col(v)))}]
+    back = list(range(0, n, m))
+    at = lambda name, j: F.coalesce(F.col(name) if j == 0 else axis.lag(name, j), F.lit(0.0))
+    gather: Wave = {f"_t_mo{tag}_p": F.array(*[F.struct(at(k, j).cast("double").alias("k"), at(a, j).alias("a"), at(v, j).alias("v")) for j in back])}
+    parts = F.col(f"_t_mo{tag}_p")
+    fold = lambda e: F.aggregate(parts, F.lit(0.0), e)
+    count = F.col(f"_t_mo{tag}_n")
+    middle: Wave = {f"_t_mo{tag}_n": fold(lambda acc, p: acc + p["k"]), f"_t_mo{tag}_m": div(fold(lambda acc, p: acc + p["k"] * p["a"]), fold(lambda acc, p: acc + p["k"]))}
+    mu = F.col(f"_t_mo{tag}_m")
+    squares = fold(lambda acc, p: acc + F.greatest(p["k"] - 1, F.lit(0.0)) * p["v"] + p["k"] * (p["a"] - mu) * (p["a"] - mu))
+    return [first, gather, middle, {mean: F.when(count == n, mu), std: F.when(count == n, F.sqrt(squares / (count - 1)))}]

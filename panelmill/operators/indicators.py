@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.axis import DAILY, Axis, Scan, Wave, apply_waves, delayed, in_blocks, stacked
 from ..functions.exprs import NUMERIC, div, finite, flag, full, sign, total
 from ..functions.recursive import ewm, reach
+from ..functions.rolling import rolling_means, rolling_moments
 
 C = F.col
 YEAR = math.sqrt(252)
@@ -38,7 +39,8 @@ def moving_averages(
     wma: Sequence[int] = (10, 20),
 ) -> list[Wave]:
     p = C(price)
-    means: Wave = {f"SMA_{n}": F.avg(p).over(axis.last(n)) for n in sma}
+    simple = rolling_means(p, axis, {n: f"SMA_{n}" for n in sma}, tag="sma") if sma else [{}, {}, {}]
+    means: Wave = {}
     for n in wma:
         # weight n for the newest row down to 1 for the oldest; NULL until n rows exist
         means[f"WMA_{n}"] = total([(p if k == 0 else axis.lag(p, k)) * (n - k) for k in range(n)]) / (n * (n + 1) / 2)
@@ -59,7 +61,7 @@ def moving_averages(
     if {12, 26} <= set(ema):
         tail["EMA_bull_signal"] = flag(C("EMA_12") > C("EMA_26"))
         tail["EMA_bear_signal"] = flag(C("EMA_12") < C("EMA_26"))
-    return stacked([means, ratios], [*recursive, tail])
+    return stacked(simple, delayed([means, ratios], 2), [*recursive, tail])
 
 
 # ------------------------------------------------------------ oscillators
@@ -345,8 +347,7 @@ def unified_indicators(axis: Axis = DAILY, price: str = "close", volume: str | N
         f"{q}bb_middle": full(20, p, axis.last(20), F.avg(p).over(axis.last(20))),
         f"_t_{q}sd": full(20, p, axis.last(20), F.stddev_samp(p).over(axis.last(20))),
     }
-    for n in (5, 10, 20, 50, 200):
-        w0[f"{q}sma_{n}"] = full(n, p, axis.last(n), F.avg(p).over(axis.last(n)))
+    simple = rolling_means(p, axis, {n: f"{q}sma_{n}" for n in (5, 10, 20, 50, 200)}, "full", tag="u")
     mid, sd = C(f"{q}bb_middle"), C(f"_t_{q}sd")
     w14 = axis.last(14)
     w1: Wave = {
@@ -355,8 +356,8 @@ def unified_indicators(axis: Axis = DAILY, price: str = "close", volume: str | N
         f"{q}bb_width": 4 * sd,
         f"{q}bb_position": div(p - (mid - 2 * sd), 4 * sd),
         f"{q}rsi": full(14, p, w14, _rsi_value(F.avg(f"_t_{q}gain").over(w14), F.avg(f"_t_{q}loss").over(w14))),
-        **{f"{q}sma_{n}_ratio": div(p, f"{q}sma_{n}") for n in (5, 10, 20, 50, 200)},
     }
+    ratios: Wave = {f"{q}sma_{n}_ratio": div(p, f"{q}sma_{n}") for n in (5, 10, 20, 50, 200)}
     if volume:
         v = C(volume)
         w0[f"{q}volume_sma_10"] = full(10, v, axis.last(10), F.avg(v).over(axis.last(10)))
@@ -368,7 +369,7 @@ def unified_indicators(axis: Axis = DAILY, price: str = "close", volume: str | N
         *ewm(f"{q}macd_signal", f"{q}macd", axis, 9),
         {f"{q}macd_diff": C(f"{q}macd") - C(f"{q}macd_signal")},
     ]
-    return stacked([w0, w1], [*emas, *tail])
+    return stacked(simple, delayed([ratios], 3), [w0, w1], [*emas, *tail])
 
 
 def market_regime(axis: Axis = DAILY, price: str = "close", returns: str | None = None) -> list[Wave]:
@@ -376,23 +377,19 @@ def market_regime(axis: Axis = DAILY, price: str = "close", returns: str | None
     p = C(price)
     first: list[Wave] = [] if returns else [{"_t_reg_ret": axis.pct(p)}]
     r = C(returns or "_t_reg_ret")
-    w20, w50, w60, w252 = (axis.last(n) for n in (20, 50, 60, 252))
+    w20, w60 = axis.last(20), axis.last(60)
+    means = rolling_means(p, axis, {20: "_t_reg_m20", 50: "_t_reg_m50"}, "full", tag="reg")
     v20 = C("volatility_20d")
-    return [
-        *first,
-        {
-            "volatility_20d": full(20, r, w20, F.stddev_samp(r).over(w20)) * YEAR,
-            "volatility_60d": full(60, r, w60, F.stddev_samp(r).over(w60)) * YEAR,
-            "trend_strength": div(
-                F.abs(full(20, p, w20, F.avg(p).over(w20)) - full(50, p, w50, F.avg(p).over(w50))),
-                full(20, p, w20, F.stddev_samp(p).over(w20)),
-            ),
-        },
-        {
-            "volatility_ratio": div("volatility_20d", "volatility_60d"),
-            "high_volatility": flag(v20 > full(252, v20, w252, F.avg(v20).over(w252) + F.stddev_samp(v20).over(w252))),
-        },
-    ]
+    base: Wave = {
+        "volatility_20d": full(20, r, w20, F.stddev_samp(r).over(w20)) * YEAR,
+        "volatility_60d": full(60, r, w60, F.stddev_samp(r).over(w60)) * YEAR,
+        "_t_reg_sd": full(20, p, w20, F.stddev_samp(p).over(w20)),
+    }
+    ratio: Wave = {"volatility_ratio": div("volatility_20d", "volatility_60d")}
+    strength: Wave = {"trend_strength": div(F.abs(C("_t_reg_m20") - C("_t_reg_m50")), "_t_reg_sd")}
+    long_run = rolling_moments(v20, axis, 252, "_t_reg_lm", "_t_reg_ls", tag="reg")
+    high: Wave = {"high_volatility": flag(v20 > C("_t_reg_lm") + C("_t_reg_ls"))}
+    return stacked([*first, base, ratio], delayed([*long_run, high], len(first) + 1), means, delayed([strength], 3))
 
 
 def exogenous_features(df: DataFrame, axis: Axis = DAILY, price: str = "close", volume: str | None = "volume") -> DataFrame:

@@ -120,17 +120,15 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("
     slim = df.select(*by, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     quarts = F.array(F.lit(0.25), F.lit(0.75))
     q = slim.groupBy(*by).agg(*[F.percentile(f"_x{i}", quarts).alias(f"_q{i}") for i in range(len(columns))])
-    aggs: list[Column] = []
-    for i in range(len(columns)):
-        x, lo, hi = C(f"_x{i}"), C(f"_q{i}")[0], C(f"_q{i}")[1]
-        aggs += [
-            F.count(x).alias(f"_n{i}"),
-            F.count_if((x < lo - 1.5 * (hi - lo)) | (x > hi + 1.5 * (hi - lo))).alias(f"_o{i}"),
-            F.max(hi - lo).alias(f"_i{i}"),
-        ]
-    counts = slim.join(q, list(by)).groupBy(*by).agg(*aggs)
-    each = [F.struct(F.lit(c).alias("column"), C(f"_n{i}").alias("known"), C(f"_o{i}").alias("outliers"), C(f"_i{i}").alias("iqr")) for i, c in enumerate(columns)]
-    return counts.select(*by, F.inline(F.array(*each))).filter(C("known") > 0)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), C(f"_x{i}").alias("x"), C(f"_q{i}")[0].alias("lo"), C(f"_q{i}")[1].alias("hi")) for i, c in enumerate(columns)])
+    outside = (C("x") < C("lo") - 1.5 * (C("hi") - C("lo"))) | (C("x") > C("hi") + 1.5 * (C("hi") - C("lo")))
+    return (
+        slim.join(q, list(by))
+        .select(*by, F.inline(cells))
+        .filter(C("x").isNotNull())
+        .groupBy(*keys)
+        .agg(F.count("x").alias("known"), F.count_if(outside).alias("outliers"), F.max(C("hi") - C("lo")).alias("iqr"))
+    )
 
 
 def validate(
@@ -209,10 +207,6 @@ def validate(
     # missing data
     missing = div(total([C(f"_null_{c}") for c in values]), n * len(values)) * 100
     found.append(_issue(missing > 20, WARNING, "missing_data", None, F.lit("High share of missing data"), None, missing))
-    for c in values:
-        k, pct = C(f"_null_{c}"), div(f"_null_{c}", n) * 100
-        level = F.when(pct > 50, ERROR).otherwise(WARNING)
-        found.append(_issue(pct > 10, level, "missing_data", c, F.lit(f"Column {c} has missing data"), k, pct))
     found.append(_issue(C("_empty_rows") > 0, ERROR, "missing_data", None, _text(C("_empty_rows"), " rows hold no data"), C("_empty_rows")))
     # business rules
     if kind == "market":
@@ -263,6 +257,21 @@ def validate(
     extra = ["_n", "_missing"]
     head = base.withColumn("_missing", F.when(n > 0, missing).otherwise(0.0))
     issues = head.select(*keys, dataset.alias("dataset"), F.inline(F.array_compact(F.array(*found))))
+    # per-column gaps in long form: one small expression instead of one per column
+    gaps = head.select(*keys, "_n", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), C(f"_null_{c}").alias("_k")) for c in values])))
+    share = div("_k", "_n") * 100
+    issues = issues.unionByName(
+        gaps.filter(share > 10).select(
+            *keys,
+            dataset.alias("dataset"),
+            F.when(share > 50, ERROR).otherwise(WARNING).alias("severity"),
+            F.lit("missing_data").alias("category"),
+            "column",
+            _text("Column ", C("column"), " has missing data").alias("message"),
+            C("_k").cast("bigint").alias("row_count"),
+            share.alias("percentage"),
+        )
+    )
     if numeric:
         share = C("outliers") / C("known") * 100
         level = F.when(share > 25, ERROR).when(share > 10, WARNING).otherwise(INFO)

@@ -9,6 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import forecast as fc
 from ..operators import ml
 from ..operators import unified as un
+from ..session import settle
 from . import fixtures as fx
 from .catalog import Shape, query
 from .sqlkit import wins
@@ -424,7 +425,7 @@ _FEATS = ["SMA_10_ratio", "RSI_14", "ROC_5", "Volume_ratio_20", "BB_position_20"
 def _model_data(spark, sf):
     levels = fx.levels(spark, sf).join(fx.bars(spark, sf).drop("close", "open"), ["symbol", "ts"])
     frame = ml.model_frame(levels.select("symbol", "ts", C("close").alias("open"), "high", "low", "close", "volume"))
-    return ml.impute(frame.select("symbol", "ts", "target", *_FEATS), _FEATS).filter(C("target").isNotNull())
+    return settle(ml.impute(frame.select("symbol", "ts", "target", *_FEATS), _FEATS).filter(C("target").isNotNull()))
 
 
 @query("ml_feature_selection", Shape(["feature"], [], [], ["score"]))
@@ -435,7 +436,7 @@ def ml_feature_selection(spark, sf):
 
 @query("ml_forest", Shape(["symbol"], ["ts"], [], ["prediction"]))
 def ml_forest(spark, sf):
-    data = _model_data(spark, sf).persist()
+    data = _model_data(spark, sf)
     cut = ml.time_folds(data, 4)[-1][0]
     train = data.filter(C("ts") < F.lit(cut))
     best = ml.grid_search(train, ml.fit_forest, {"numTrees": [10], "maxDepth": [3, 5]}, _FEATS, splits=2)[0]
@@ -445,7 +446,7 @@ def ml_forest(spark, sf):
 
 @query("ml_ensemble", Shape(["symbol"], ["ts"], [], ["prediction", "prediction_ridge", "prediction_forest", "prediction_boosted"]))
 def ml_ensemble(spark, sf):
-    data = _model_data(spark, sf).persist()
+    data = _model_data(spark, sf)
     cut = ml.time_folds(data, 4)[-1][0]
     models = ml.fit_ensemble(data.filter(C("ts") < F.lit(cut)), _FEATS, trees=10)
     return ml.predict_ensemble(models, data.filter(C("ts") >= F.lit(cut)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality_history as hist
 from ..operators import validation as val
+from ..session import settle
 from . import fixtures as fx
 from .catalog import Shape, query
 from .sqlkit import wins
@@ -64,7 +65,7 @@ _FAULTY = f"{fx.BARS_SQL},{fx.FAULTY_SQL}, {_market_issues_sql('faulty')}"
 
 
 def _checked(spark, sf):
-    return val.validate_market(fx.faulty_bars(spark, sf).drop("rn", "copy"), now=NOW)
+    return val.validate_market(settle(fx.faulty_bars(spark, sf).drop("rn", "copy")), now=NOW)
 
 
 @query(

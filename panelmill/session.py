@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None, app: str = "panelmill") -> SparkSession:
@@ -16,6 +16,8 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None,
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # window work is heavy per byte: do not fold a small local shuffle into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -36,3 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelmill-ckpt-"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a derived table once and read it back where several passes follow.
+
+    Survives the loss of executors and keeps the passes from planning and
+    running the whole lineage again.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
