@@ -119,7 +119,9 @@ def running(df: DataFrame, axis: Axis, scans: dict[str, Scan]) -> DataFrame:
         return df.withColumns({n: _local(s, axis) for n, s in scans.items()})
 
     # The values scanned may themselves hold window functions: fix them first.
+    # Warm-up copies saw too little history to carry a right value: leave them out.
     df = df.withColumns({f"__v_{n}": s.value for n, s in scans.items()})
+    df = df.withColumns({f"__v_{n}": F.when(F.col("__halo") < 2, F.col(f"__v_{n}")) for n in scans})
     own, body = F.col("__halo") == 0, F.col("__tail") == 0
     order = F.struct(*axis.order)
     aggs: list[Column] = []
@@ -255,22 +257,26 @@ def in_blocks(
     """Run ``fn(df, axis)`` on the blocked layout; results equal the plain layout.
 
     ``before``/``after`` are the rows the longest finite window looks back and
-    ahead.  Columns ``__rn``, ``__halo``, ``__tail`` must pass through ``fn``.
+    ahead.  Where windows read a running value, the older half of the copied
+    rows only warms up the inputs of that value, so ``before`` must be twice
+    the longest look-back.  ``__rn``, ``__halo``, ``__tail`` must pass through
+    ``fn``.
     """
     if before > rows_per_block or after > rows_per_block:
         raise ValueError("a window may not be longer than a block")
     rn, size = F.col("__rn"), F.lit(rows_per_block)
+    tail = rows_per_block - before // 2
     home, pos = F.floor(rn / size), rn % size
     copies = [F.struct(home.alias("blk"), F.lit(0).alias("halo"))]
     extra = []
     if before:
-        extra.append(F.when(pos >= rows_per_block - before, F.struct((home + 1).alias("blk"), F.lit(1).alias("halo"))))
+        extra.append(F.when(pos >= rows_per_block - before, F.struct((home + 1).alias("blk"), F.when(pos >= tail, 1).otherwise(2).alias("halo"))))
     if after:
         extra.append(F.when((pos < after) & (home > 0), F.struct((home - 1).alias("blk"), F.lit(1).alias("halo"))))
     homes = F.array_compact(F.array(*copies, *extra)) if extra else F.array(*copies)
     cut = (
         number_rows(df, axis)
-        .withColumn("__tail", (pos >= rows_per_block - before).cast("int"))
+        .withColumn("__tail", (pos >= tail).cast("int"))
         .withColumn("__copy", F.explode(homes))
         .withColumn("__block", F.col("__copy.blk"))
         .withColumn("__halo", F.col("__copy.halo"))
