@@ -37,17 +37,15 @@ def ewm(name: str, x: str | Column, axis: Axis, span: float, adjust: bool = Fals
     x, tmp = col(x), f"_t_{name}"
     seen = F.count(x).over(axis.upto())
     weighted = F.when(seen == 1, x).otherwise(x * a) if not adjust else x
-    waves: list[Wave] = [{f"{tmp}_n": seen, f"{tmp}_0": F.coalesce(weighted, F.lit(0.0))}]
-    covered, level = 1, 0
+    waves: list[Wave] = [{f"{tmp}_n": seen, tmp: F.coalesce(weighted, F.lit(0.0))}]
+    covered = 1
     while covered < reach(span):
-        prev = f"{tmp}_{level}"
-        acc = F.col(prev)
+        acc = F.col(tmp)
         for k in (1, 2, 3):
-            acc = acc + F.coalesce(axis.lag(prev, k * covered), F.lit(0.0)) * (q ** (k * covered))
-        level += 1
-        waves.append({f"{tmp}_{level}": acc})
+            acc = acc + F.coalesce(axis.lag(tmp, k * covered), F.lit(0.0)) * (q ** (k * covered))
+        waves.append({tmp: acc})  # the wider sum takes the place of the narrower one
         covered *= 4
-    y = F.col(f"{tmp}_{level}")
+    y = F.col(tmp)
     if adjust:
         y = y * (1 - q) / (1 - F.pow(F.lit(q), F.col(f"{tmp}_n")))
     waves.append({name: F.when(F.col(f"{tmp}_n") > 0, y)})
