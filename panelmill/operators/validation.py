@@ -197,30 +197,31 @@ def validate(
     for c, (lo, hi) in rules.ranges.items():
         if c not in values:
             continue
-        num = F.expr(f"try_cast(`{c}` AS double)")
+        shown = F.expr(f"try_cast(`{c}` AS double)")
         if lo is not None:
-            k = count(f"_low_{c}", num < lo)
+            k = count(f"_low_{c}", shown < lo)
             found.append(_issue(k > 0, ERROR, "value_ranges", c, _text(f"Column {c} has ", k, f" values below {lo}"), k, div(k, n) * 100))
         if hi is not None:
-            k = count(f"_high_{c}", num > hi)
+            k = count(f"_high_{c}", shown > hi)
             found.append(_issue(k > 0, ERROR, "value_ranges", c, _text(f"Column {c} has ", k, f" values above {hi}"), k, div(k, n) * 100))
     # missing data
     missing = div(total([C(f"_null_{c}") for c in values]), n * len(values)) * 100
     found.append(_issue(missing > 20, WARNING, "missing_data", None, F.lit("High share of missing data"), None, missing))
     found.append(_issue(C("_empty_rows") > 0, ERROR, "missing_data", None, _text(C("_empty_rows"), " rows hold no data"), C("_empty_rows")))
-    # business rules
+    # business rules; a price held as text is compared as the number it spells
+    num = lambda c: C(c) if c in numeric else F.expr(f"try_cast(`{c}` AS double)")
     if kind == "market":
         if {"open", "high", "low", "close"} <= set(values):
-            k = count("_hi_viol", C("high") < F.greatest("open", "close"))
+            k = count("_hi_viol", num("high") < F.greatest(num("open"), num("close")))
             found.append(_issue(k > 0, ERROR, "business_logic", None, _text("High below open or close in ", k, " rows"), k))
-            k = count("_lo_viol", C("low") > F.least("open", "close"))
+            k = count("_lo_viol", num("low") > F.least(num("open"), num("close")))
             found.append(_issue(k > 0, ERROR, "business_logic", None, _text("Low above open or close in ", k, " rows"), k))
         if "volume" in values:
-            k = count("_neg_vol", C("volume") < 0)
+            k = count("_neg_vol", num("volume") < 0)
             found.append(_issue(k > 0, ERROR, "business_logic", "volume", _text("Negative volume in ", k, " rows"), k))
         for c in ("open", "high", "low", "close"):
             if c in values:
-                k = count(f"_nonpos_{c}", C(c) <= 0)
+                k = count(f"_nonpos_{c}", num(c) <= 0)
                 found.append(_issue(k > 0, ERROR, "business_logic", c, _text(f"Non-positive {c} in ", k, " rows"), k))
         if ts is not None:
             k = count("_weekend", F.weekday(C(ts).cast("date")) >= 5)
