@@ -45,14 +45,15 @@ class Shape:
         )
 
     def sql(self) -> str:
+        # Spark rounds the shortest decimal form of a double, half up; going through text does the same here
         parts = [
             *[f'"{c}"' for c in self.keys],
             *[f"CAST(CAST(\"{c}\" AS DATE) AS VARCHAR) AS \"{c}\"" for c in self.dates],
             *[f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in self.times],
             *[f'"{c}"' for c in self.plain],
-            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 16)), 6) AS DOUBLE) + 0.0 AS "{c}"' for c in self.fine],
-            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 16)), 4) AS DOUBLE) + 0.0 AS "{c}"' for c in self.coarse],
-            *[f'CAST(round(CAST("{c}" AS DECIMAL(38, 16)), 2) AS DOUBLE) + 0.0 AS "{c}"' for c in self.cents],
+            *[f'CAST(round(CAST(CAST(CAST("{c}" AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) + 0.0 AS "{c}"' for c in self.fine],
+            *[f'CAST(round(CAST(CAST(CAST("{c}" AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) + 0.0 AS "{c}"' for c in self.coarse],
+            *[f'CAST(round(CAST(CAST(CAST("{c}" AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE) + 0.0 AS "{c}"' for c in self.cents],
         ]
         return ", ".join(parts)
 
