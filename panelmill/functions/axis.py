@@ -286,6 +286,22 @@ def in_blocks(
     return out.filter(F.col("__halo") == 0).drop("__rn", "__halo", "__tail", "__block")
 
 
+def by_size(
+    df: DataFrame,
+    axis: Axis,
+    fn: Callable[[DataFrame, Axis], DataFrame],
+    before: int,
+    after: int = 0,
+    longest: int = 2_000_000,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Pick the layout from the data: blocked if any key holds more than ``longest`` rows (one aggregate)."""
+    top = df.groupBy(*axis.key).count().agg(F.max("count")).first()[0] or 0
+    if top <= longest:
+        return fn(df, axis)
+    return in_blocks(df, axis, fn, before, after, rows_per_block)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key by distributed sort: one row per key.
 

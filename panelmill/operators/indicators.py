@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import DAILY, Axis, Scan, Wave, apply_waves, delayed, in_blocks, stacked
+from ..functions.axis import DAILY, Axis, Scan, Wave, apply_waves, by_size, delayed, stacked
 from ..functions.exprs import NUMERIC, div, finite, flag, full, sign, total
 from ..functions.recursive import ewm, reach
 from ..functions.rolling import rolling_means, rolling_moments
@@ -304,9 +304,9 @@ def technical_indicators(
     return _fill_features(out, axis, [c for c in out.columns if c not in given], fill)
 
 
-def technical_indicators_blocked(df: DataFrame, axis: Axis, rows_per_block: int = 200_000, **kw) -> DataFrame:
-    """The same features for series of any length, such as ticks under one heavy key."""
-    return in_blocks(df, axis, lambda d, a: technical_indicators(d, a, **kw), before=2 * HISTORY, rows_per_block=rows_per_block)
+def technical_indicators_any_length(df: DataFrame, axis: Axis, longest: int = 2_000_000, rows_per_block: int = 200_000, **kw) -> DataFrame:
+    """The same features for series of any length, such as ticks under one heavy key; the layout follows the data."""
+    return by_size(df, axis, lambda d, a: technical_indicators(d, a, **kw), before=2 * HISTORY, longest=longest, rows_per_block=rows_per_block)
 
 
 def _adder(family: Callable[..., list[Wave]]) -> Callable[..., DataFrame]:

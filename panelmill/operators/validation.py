@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import Axis, exact_quantiles, in_blocks
 from ..functions.exprs import div, numeric_columns, total
+from .joins import small
 
 C = F.col
 CRITICAL, ERROR, WARNING, INFO = "CRITICAL", "ERROR", "WARNING", "INFO"
@@ -113,7 +114,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("
         outside = (C("value") < C("q1") - 1.5 * iqr) | (C("value") > C("q3") + 1.5 * iqr)
         folded = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_k"))
         return (
-            folded.join(q, keys)
+            folded.join(small(q), keys)
             .groupBy(*keys)
             .agg(F.sum("_k").alias("known"), F.sum(F.when(outside, C("_k")).otherwise(0)).alias("outliers"), F.max(iqr).alias("iqr"))
         )
@@ -141,9 +142,13 @@ def validate(
     now=None,
     heavy: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(issues, reports).  ``ingest`` is the arrival order used for the sortedness rule; ``now`` the clock."""
+    """(issues, reports).  ``ingest`` is the arrival order used for the sortedness rule; ``now`` the clock.
+
+    ``heavy`` is for datasets not bounded by the calendar; without ``by`` it is always on.
+    """
     rules = RULES[kind]
     keys = list(by) or ["_all"]
+    heavy = heavy or not by  # a whole table is one dataset of any size
     if not by:
         df = df.withColumn("_all", F.lit(1))
     values = [c for c in df.columns if c not in (*keys, ts, ingest)]

@@ -139,9 +139,9 @@ def summarise_days(df: DataFrame, summarise: Callable[[list[str]], str] | None =
     level = df.select(*keys, C(text).alias("_text"), F.pmod(F.xxhash64(C(text), C("url")), F.lit(1 << 20)).alias("_p"))
     # each level folds the parts by a factor of per_call until one is left
     parts = 1 << 20
+    level = level.groupBy(*keys, "_p").applyInPandas(part, level.schema)
     while parts > 1:
         parts = max(1, parts // per_call)
-        level = level.withColumn("_p", C("_p") % parts)
-        level = level.groupBy(*keys, "_p").applyInPandas(part, level.schema)
+        level = level.withColumn("_p", C("_p") % parts).groupBy(*keys, "_p").applyInPandas(part, level.schema)
     summaries = level.select(*keys, C("_text").alias("daily_summary"))
     return df.join(summaries, keys, "left").withColumn("daily_summary", F.coalesce("daily_summary", F.lit(""))).drop("_day")

@@ -110,3 +110,11 @@ def test_quantiles(ticks):
 def test_per_key(ticks):
     blocked = in_blocks(ticks, AXIS, lambda d, a: per_key(d, a, {"m": F.avg("close")}), before=5, rows_per_block=29)
     same(blocked, per_key(ticks, AXIS, {"m": F.avg("close")}), ["m"])
+
+
+def test_layout_follows_the_data(ticks):
+    cols = ["SMA_20", "OBV", "VWAP"]
+    pick = lambda longest: indicators.technical_indicators_any_length(ticks, AXIS, longest=longest, rows_per_block=2000)
+    same(pick(10), pick(10_000), cols)
+    assert "__block" in pick(10)._jdf.queryExecution().logical().toString()
+    assert "__block" not in pick(10_000)._jdf.queryExecution().logical().toString()
