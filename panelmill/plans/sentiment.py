@@ -85,8 +85,8 @@ def sentiment_by_source(spark, sf):
 nd AS (SELECT *, CAST(ts AS DATE) AS date, row_number() OVER (PARTITION BY source, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn,
   count(*) OVER (PARTITION BY source, CAST(ts AS DATE)) AS n FROM en),
 res AS (SELECT source, date, count(*) AS sentiment_count, avg(sentiment_score) AS sentiment_mean, quantile_cont(sentiment_score, 0.5) AS sentiment_median,
-  avg(sentiment_score) FILTER (WHERE rn > n // 2) - avg(sentiment_score) FILTER (WHERE rn <= n // 2) AS intraday_sentiment_trend,
-  corr(sentiment_score, rn) AS intraday_momentum FROM nd GROUP BY 1, 2)""",
+  coalesce(avg(sentiment_score) FILTER (WHERE rn > n // 2) - avg(sentiment_score) FILTER (WHERE rn <= n // 2), 0) AS intraday_sentiment_trend,
+  CASE WHEN count(*) > 2 AND min(sentiment_score) < max(sentiment_score) THEN corr(sentiment_score, rn) ELSE 0 END AS intraday_momentum FROM nd GROUP BY 1, 2)""",
 )
 def heavy_day_sentiment(spark, sf):
     """Five sources share all events: ranks and medians come from distributed sorts."""
