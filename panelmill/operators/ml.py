@@ -138,11 +138,13 @@ def fit_linear(df: DataFrame, features: Sequence[str], target: str = "target", p
     elif penalty not in ("none", "ridge"):
         raise ValueError(f"unknown penalty: {penalty}")
     if penalty in ("ridge", "elastic"):
-        stats = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(target).alias("s")).first()
+        # the normal-equation solver uses the population deviation, the iterative one the sample deviation
+        spread = F.stddev_samp if l1 else F.stddev_pop
+        stats = df.agg(F.count(F.lit(1)).alias("n"), spread(target).alias("s")).first()
         l2 = (alpha / max(stats["n"], 1) if penalty == "ridge" else l2) * (stats["s"] or 1.0)
     reg = l1 + l2
     lr = LinearRegression(
-        labelCol=target, standardization=False, regParam=reg, elasticNetParam=l1 / reg if reg else 0.0, solver="l-bfgs" if reg else "normal", maxIter=200, tol=1e-12
+        labelCol=target, standardization=False, regParam=reg, elasticNetParam=l1 / reg if reg else 0.0, solver="l-bfgs" if l1 else "normal", maxIter=200, tol=1e-12
     )
     return Pipeline(stages=[*_assembled(features, degree), lr]).fit(df)
 

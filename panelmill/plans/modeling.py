@@ -369,7 +369,7 @@ def _lagged_levels(spark, sf):
     a = Axis()
     b = fx.levels(spark, sf)
     b = b.select("symbol", "ts", (C("close") / 1000).alias("target"), (a.lag("close") / 1000).alias("x"))
-    return b.filter(C("x").isNotNull())
+    return settle(b.filter(C("x").isNotNull()))
 
 
 _XY = f"{LEVELS}, xy AS (SELECT * FROM (SELECT symbol, ts, close / 1000 AS y, lag(close) OVER w / 1000 AS x FROM levels {wins()}) WHERE x IS NOT NULL)"

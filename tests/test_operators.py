@@ -342,7 +342,7 @@ def test_ridge_and_save_load(spark, tmp_path):
     xc, yc = x - x.mean(0), y - y.mean()
     want = np.linalg.solve(xc.T @ xc + 5.0 * np.eye(2), xc.T @ yc)
     model = ml.build("ridge", df, ["a", "b"], alpha=5.0)
-    assert model.stages[-1].coefficients.toArray() == pytest.approx(want, rel=1e-5)
+    assert model.stages[-1].coefficients.toArray() == pytest.approx(want, rel=1e-8)
     ml.save_model(model, f"{tmp_path}/m")
     again = ml.predict(ml.load_model(f"{tmp_path}/m"), df).toPandas()["prediction"]
     assert again.to_list() == pytest.approx(ml.predict(model, df).toPandas()["prediction"].to_list())
