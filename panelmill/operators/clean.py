@@ -34,17 +34,21 @@ def interpolate(df: DataFrame, cols: Sequence[str], axis: Axis = DAILY, limit: i
     At most ``limit`` rows after a known value are filled; leading gaps stay.
     """
     df = df.withColumn("_t_pos", position(axis).cast("double"))
-    known = {c: F.when(C(c).isNotNull(), F.struct("_t_pos", C(c).cast("double").alias("v"))) for c in cols}
-    df = running(df, axis, {f"_t_{c}_p": Scan("last", known[c]) for c in cols} | {f"_t_{c}_n": Scan("next", known[c]) for c in cols})
+    scans: dict[str, Scan] = {}
+    for c in cols:
+        at = F.when(C(c).isNotNull(), C("_t_pos"))
+        scans |= {f"_t_{c}_p": Scan("last", C(c).cast("double")), f"_t_{c}_q": Scan("last", at)}
+        scans |= {f"_t_{c}_n": Scan("next", C(c).cast("double")), f"_t_{c}_m": Scan("next", at)}
+    df = running(df, axis, scans)
     out = {}
     for c in cols:
-        p, n = C(f"_t_{c}_p"), C(f"_t_{c}_n")
-        away = C("_t_pos") - p["_t_pos"]
-        line = p["v"] + F.coalesce((n["v"] - p["v"]) * div(away, n["_t_pos"] - p["_t_pos"]), F.lit(0.0))
+        p, q, n, m = (C(f"_t_{c}_{s}") for s in "pqnm")
+        away = C("_t_pos") - q
+        line = p + F.coalesce((n - p) * div(away, m - q), F.lit(0.0))
         near = F.lit(True) if limit is None else away <= limit
         out[c] = F.coalesce(C(c).cast("double"), F.when(near, line))
     df = df.withColumns(out)
-    return df.drop("_t_pos", *[f"_t_{c}_{s}" for c in cols for s in "pn"])
+    return df.drop("_t_pos", *[f"_t_{c}_{s}" for c in cols for s in "pqnm"])
 
 
 def mean_fill(df: DataFrame, cols: Sequence[str], axis: Axis = DAILY) -> DataFrame:
