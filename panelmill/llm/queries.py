@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from . import q_langid, q_mixing  # noqa: F401
+from . import q_htmltext, q_langid, q_mixing  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
