@@ -71,12 +71,14 @@ def judge(docs: DataFrame) -> DataFrame:
     named = rules()
     votes = stats.select("*", *[v.alias(f"vote_{n}") for n, v in named.items()])
     cols = [f"vote_{n}" for n in named]
-    counted = votes.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** rules rows at most
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    votes = votes.withColumn("base_failed", failed)
+    # accuracies are learnt where a verdict is open; what fails the base rule would teach its own signs only
+    counted = votes.where(~F.col("base_failed")).groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).collect()  # 3 ** rules rows at most
     prior, table = fit(sorted((tuple(r[c] for c in cols), r["n"]) for r in counted), len(cols))
     odds = F.lit(math.log(prior / (1 - prior)))
     for c, by_class in zip(cols, table, strict=True):
         gain = [math.log(by_class[GOOD][v] / by_class[BAD][v]) for v in (BAD, GOOD, NONE)]
         odds = odds + F.when(F.col(c) == BAD, gain[0]).when(F.col(c) == GOOD, gain[1]).otherwise(gain[2])
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = votes.withColumn("base_failed", failed).withColumn("p_good", 1 / (1 + F.exp(-odds)))
+    scored = votes.withColumn("p_good", 1 / (1 + F.exp(-odds)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
