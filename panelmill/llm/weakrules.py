@@ -45,23 +45,24 @@ def rules() -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[list[list[float]]]]:
     """Share of good documents and, by rule, class and vote, the probability of the vote. Starts from "no bad vote is good"."""
     weight = [0.9 if BAD not in votes else 0.1 for votes, _ in patterns]
-    prior, table = 0.5, [[[1 / 3] * 3, [1 / 3] * 3] for _ in range(n_rules)]
+    prior, table = 0.5, [[[0.5] * 2, [0.5] * 2] for _ in range(n_rules)]
     for _ in range(ITERATIONS):
         total = sum(n for _, n in patterns)
         good = sum(w * n for w, (_, n) in zip(weight, patterns, strict=True))
         prior = (good + 1) / (total + 2)
         for r in range(n_rules):
-            sums = [[1.0] * 3, [1.0] * 3]  # one vote of each kind keeps every probability above 0
+            sums = [[1.0] * 2, [1.0] * 2]  # one vote of each kind keeps every probability above 0
             for w, (votes, n) in zip(weight, patterns, strict=True):
-                sums[GOOD][votes[r]] += w * n
-                sums[BAD][votes[r]] += (1 - w) * n
+                if votes[r] != NONE:  # abstaining says nothing about the document
+                    sums[GOOD][votes[r]] += w * n
+                    sums[BAD][votes[r]] += (1 - w) * n
             table[r] = [[x / sum(row) for x in row] for row in sums]
         weight = [1 / (1 + math.exp(-_odds(prior, table, votes))) for votes, _ in patterns]
     return prior, table
 
 
 def _odds(prior: float, table: list, votes: tuple[int, ...]) -> float:
-    got = math.log(prior / (1 - prior)) + sum(math.log(table[r][GOOD][v] / table[r][BAD][v]) for r, v in enumerate(votes))
+    got = math.log(prior / (1 - prior)) + sum(math.log(table[r][GOOD][v] / table[r][BAD][v]) for r, v in enumerate(votes) if v != NONE)
     return max(-30.0, min(30.0, got))
 
 
@@ -78,7 +79,7 @@ def judge(docs: DataFrame) -> DataFrame:
     prior, table = fit(sorted((tuple(r[c] for c in cols), r["n"]) for r in counted), len(cols))
     odds = F.lit(math.log(prior / (1 - prior)))
     for c, by_class in zip(cols, table, strict=True):
-        gain = [math.log(by_class[GOOD][v] / by_class[BAD][v]) for v in (BAD, GOOD, NONE)]
-        odds = odds + F.when(F.col(c) == BAD, gain[0]).when(F.col(c) == GOOD, gain[1]).otherwise(gain[2])
+        gain = [math.log(by_class[GOOD][v] / by_class[BAD][v]) for v in (BAD, GOOD)]
+        odds = odds + F.when(F.col(c) == BAD, gain[0]).when(F.col(c) == GOOD, gain[1]).otherwise(0.0)
     scored = votes.withColumn("p_good", 1 / (1 + F.exp(-odds)))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
