@@ -222,12 +222,13 @@ def _with_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (other documents at the threshold, copies included), n_copies
-    (documents with the same windows, itself included)."""
+    """One row per document: doc_id, (d, e) of its text, class_id, n_links (other documents at the threshold, copies
+    included), n_copies (documents with the same windows, itself included), stays (whether it stands for its class)."""
     bands = bands_for(threshold, recall, ROWS)
     texts = keyed(docs)
     told = settle(_described(texts, n, bands, ROWS), "jaccard-texts")
-    sets = settle(told.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least_id"), F.first("n").alias("n")), "jaccard-sets")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d", "e")  # the row that stays for a class: its least id
+    sets = settle(told.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("weight"), F.min(head).alias("head"), F.first("n").alias("n")), "jaccard-sets")
     # the shuffle on band hashes: a star from every band's nodes to the least of them
     banded = told.where("bands is not null").select("s1", F.explode("bands").alias("band")).distinct()
     least = banded.groupBy("band").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("band", "lo")
@@ -248,8 +249,19 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     joined = components(spread).select(F.col("node").alias("s1"), F.col("label").alias("whole"))
     key = links.join(joined, "s1", "left")
     key = key.select("s1", "s2", "links", F.coalesce("whole", "r.r1").alias("k1"), F.when(F.col("whole").isNull(), F.col("r.r2")).otherwise(0).alias("k2"), F.col("whole").isNotNull().alias("k3"))
-    own = sets.join(key, ["s1", "s2"], "left").select("s1", "s2", "weight", "least_id", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("k1", "s1").alias("k1"), F.coalesce("k2", "s2").alias("k2"), F.coalesce("k3", F.lit(False)).alias("k3"))
+    own = sets.join(key, ["s1", "s2"], "left").select("s1", "s2", "weight", "head", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("k1", "s1").alias("k1"), F.coalesce("k2", "s2").alias("k2"), F.coalesce("k3", F.lit(False)).alias("k3"))
     own = settle(own, "jaccard-classes")
-    heads = own.groupBy("k1", "k2", "k3").agg(F.min("least_id").alias("class_id"))
-    per_set = own.join(heads, ["k1", "k2", "k3"]).select("s1", "s2", "class_id", F.when(F.col("n") > 0, F.col("links") + F.col("weight") - 1).otherwise(0).alias("n_links"), F.col("weight").alias("n_copies"))
-    return told.select("doc_id", "s1", "s2").join(per_set, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    heads = own.groupBy("k1", "k2", "k3").agg(F.min("head").alias("head"))
+    per_set = own.drop("head").join(heads, ["k1", "k2", "k3"]).select("s1", "s2", "head", F.when(F.col("n") > 0, F.col("links") + F.col("weight") - 1).otherwise(0).alias("n_links"), F.col("weight").alias("n_copies"))
+    mine = (F.col("d") == F.col("head.d")) & (F.col("e") == F.col("head.e")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    rows = told.select("doc_id", "d", "e", "s1", "s2").join(per_set, ["s1", "s2"])
+    return rows.select("doc_id", "d", "e", F.col("head.doc_id").alias("class_id"), "n_links", "n_copies", mine.alias("stays"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, the one of the least doc_id."""
+    stay = classes(docs).where("stays").select(F.col("doc_id").alias("_id"), F.col("d").alias("_d"), F.col("e").alias("_e")).distinct()
+    rows = keyed(docs.withColumn("_text", F.col("text")), tuple(c for c in docs.columns if c != "text") + ("_text",))
+    same = (F.col("d") == F.col("_d")) & (F.col("e") == F.col("_e")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = rows.join(stay, same).dropDuplicates(["d", "e", "_id"])
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -177,19 +177,20 @@ def label(text: str | None, model: dict) -> tuple[str, float, list[tuple[int, in
 
 
 def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred, lang_score and spans of every row."""
+    """``keep`` columns (``text`` may be one) plus lang_pred, lang_score and spans of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: languages x BUCKETS numbers
     names = list(keep)
+    read = names if "text" in names else [*names, "text"]
     schema = ddl(docs.select(*names)) + ", lang_pred string, lang_score double, spans array<struct<first:int,stop:int,lang:string>>"
     span = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [label(t.as_py(), shared.value) for t in batch.column(len(names))]
+            found = [label(t.as_py(), shared.value) for t in batch.column(read.index("text"))]
             cols = [batch.column(i) for i in range(len(names))]
             cols += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             cols.append(pa.array([[dict(first=a, stop=b, lang=x) for a, b, x in f[2]] for f in found], span))
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "lang_score", "spans"])
 
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*read).mapInArrow(run, schema)

@@ -104,13 +104,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), doc_hash().alias("hash"))
 
 
+def shares(sizes: DataFrame) -> DataFrame:
+    """(_s, source_size, target, copies, below) of each source, settled."""
+    targets = settle(source_targets(sizes), "mix-targets")
+    rule = thresholds(sizes, targets).select(F.col("source").alias("_r"), "copies", "below")
+    per = targets.join(rule, F.col("source").eqNullSafe(F.col("_r"))).select(F.col("source").alias("_s"), "source_size", "target", "copies", "below")
+    return settle(per, "mix-rule")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken (words the mix takes of it)."""
     sizes = settle(sized(docs), "mix-sizes")
-    targets = settle(source_targets(sizes), "mix-targets")
-    rule = thresholds(sizes, targets).select(F.col("source").alias("_r"), "copies", "below")
-    per = settle(targets.join(rule, F.col("source").eqNullSafe(F.col("_r"))).select(F.col("source").alias("_s"), "source_size", "target", "copies", "below"), "mix-rule")
-    return sizes.join(hinted(per), F.col("source").eqNullSafe(F.col("_s"))).select(
+    return sizes.join(hinted(shares(sizes)), F.col("source").eqNullSafe(F.col("_s"))).select(
         "doc_id",
         "source",
         "size",
@@ -118,3 +123,12 @@ def mix(docs: DataFrame) -> DataFrame:
         "target",
         (F.col("size") * (F.col("copies") + (F.col("hash") < F.col("below")).cast("long"))).alias("taken"),
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows it does not take are left out."""
+    sizes = settle(sized(docs), "mix-sizes")
+    rule = hinted(shares(sizes))
+    times = (F.col("copies") + (doc_hash() < F.col("below")).cast("long")).cast("int")
+    rows = docs.join(rule, F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_times", times).where("_times > 0")
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
