@@ -1,13 +1,58 @@
-"""The corpus pipeline: each stage reads what the one before it wrote."""
+"""The corpus pipeline: each stage reads what the one before it wrote.
+
+All stages but the last return the columns of documents. Language ID drops documents without a letter or without a
+likely language; of near-duplicates the document of the least id stays; repeated strings are cut out of the texts; the mix
+repeats and drops documents; packing returns the pieces of the sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from panelmill.llm import jaccard, langid, mixing, packing, repeats
 from panelmill.llm.common import read, settle
+from panelmill.llm.q_langid import trained
+from panelmill.llm.q_packing import TOKENIZER
+
+LEAST_SCORE = 0.2  # of a language
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the documents themselves have taught."""
+    found = langid.identify(docs, trained(docs), tuple(docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings that occur more than once."""
+    return repeats.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("mixing sources", mixture),
+    ("packing", packs),
+]
+ORACLE_SQL = None  # hashing, suffix sorting and differencing have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
