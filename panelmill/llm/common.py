@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,14 @@ def crc_of_id(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts, so that what a worker builds from one stays small; freed memory goes back to the system."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and where each row starts and ends in it; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +91,21 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends
 
 
+def bitmap(ids: DataFrame, column: str, bits: int = 26) -> np.ndarray:
+    """A set of 64-bit ids as 2**bits flags: 8 MB at most on the driver, whatever the number of ids. It never misses one;
+    how many others pass grows with the number of ids, so it may only spare work, not decide."""
+    words = ids.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("x")).groupBy(F.shiftright("x", 6).alias("i"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("w")).toPandas()
+    flags = np.zeros(1 << (bits - 6), np.int64)
+    flags[got["i"].to_numpy(np.int64)] = got["w"].to_numpy(np.int64)
+    return flags.view(np.uint64)
+
+
+def flagged(flags: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) & np.uint64(len(flags) * 64 - 1)
+    return (flags[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) != 0
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     with np.errstate(over="ignore"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle
+from .common import bitmap, flagged, mix64, settle, slices
 from .components import components
 from .repeats import SEEN, keyed
 
@@ -87,7 +87,7 @@ def _described(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list] = [[], [], [], []]
             for text in batch.column(3):
                 grams = shingles(text.as_py(), n)
@@ -177,7 +177,7 @@ def _verified(dealt: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for row in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if row[:3] != at:
@@ -198,27 +198,29 @@ def _verified(dealt: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with_sets(texts: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """nodes (d, e, ...) with the full set of one text each, as bytes."""
-    names = [c for c in nodes.columns if c not in ("d", "e")]
+    """nodes (d, e, ...) with the full set of one text each, as bytes. Sets, not texts, are shuffled, and those of texts
+    that are no node are left out before, as far as a bitmap of bounded size can tell."""
+    flags = texts.sparkSession.sparkContext.broadcast(bitmap(nodes, "d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
-        for batch in batches:
-            keep, out = [], []
-            for i, (d, e) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if (d, e) in seen:  # copies come to the same task
+        for batch in slices(batches):
+            ids, grams = [], []
+            for i in np.flatnonzero(flagged(flags.value, batch.column(0).to_numpy())).tolist():
+                key = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if key in seen:  # a copy in the same task has the same set
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add((d, e))
-                keep.append(i)
-                out.append(shingles(batch.column(2)[i].as_py(), n).tobytes())
-            if keep:
-                some = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*(some.column(3 + i) for i in range(len(names))), pa.array(out, pa.binary())], names=[*names, "grams"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in nodes.select(*names).dtypes)
-    return texts.join(nodes, ["d", "e"]).select("d", "e", "text", *names).mapInArrow(run, f"{schema}, grams binary")
+                seen.add(key)
+                ids.append(key)
+                grams.append(shingles(batch.column(2)[i].as_py(), n).tobytes())
+            if ids:
+                d, e = zip(*ids, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(grams, pa.binary())], names=["d", "e", "grams"])
+
+    sets = texts.select("d", "e", "text").mapInArrow(run, "d long, e long, grams binary")
+    return sets.join(nodes, ["d", "e"]).drop("d", "e")
 
 
 def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK_WINDOWS) -> DataFrame:
