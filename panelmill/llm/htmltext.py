@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ddl
+from .common import ddl, slices
 
 # Element names of HTML by role, and words of class, id and role attributes that mark what is no article
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -252,7 +252,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     names = [c for c in pages.columns if c not in (column, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x.as_py()) for x in batch.column(len(names))]
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "text", "n_chars"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, mix64
+from .common import ddl, mix64, slices
 
 BUCKETS = 1 << 15  # of hashed trigrams, per language: bounds the model
 SWITCH = 12.0  # cost of a change of language, in nats
@@ -105,7 +105,7 @@ def train(docs: DataFrame) -> dict:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table = seen.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
                 for piece in _pieces(text):
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",))
     span = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [label(t.as_py(), shared.value) for t in batch.column(read.index("text"))]
             cols = [batch.column(i) for i in range(len(names))]
             cols += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]

@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, mix64, settle
+from .common import hinted, mix64, settle, slices
 
 K, BINS, PICK = 9, 64, 2
 BIN_BITS = 6  # 2 ** BIN_BITS = BINS
@@ -123,7 +123,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, id, text, signature) of the row that waits for the next one
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for rng, ahead, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 mine = signature(text)

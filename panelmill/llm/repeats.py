@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import mix64, settle, text_bytes
+from .common import mix64, settle, slices, text_bytes
 
 LEAST = 400
-SEGMENT = 1 << 20  # bytes of a text hashed at a time
+SEGMENT = 1 << 18  # bytes of a text hashed at a time
 GROUP = 100_000  # surroundings of one anchor sorted in one task
 SEEN = 1_000_000  # texts a task remembers
 
@@ -120,9 +120,12 @@ def keyed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def _anchors(texts: DataFrame, least: int) -> DataFrame:
+    """h, ctx, d, e, pos of every anchor. Anchors with equal surroundings in one batch are folded before any shuffle: each
+    is marked ``twice``, and all but one of them ``spare``, as what they repeat is known already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             d, e = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, ends = text_bytes(batch.column(2))
             out = []
@@ -137,16 +140,22 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
                 pos, h, ctx = anchors_of(data[ends[i] : ends[i + 1]], least)
                 out.append((h.view(np.int64), ctx.view(np.int64), np.full(len(pos), d[i]), np.full(len(pos), e[i]), pos.astype(np.int32)))
                 size += len(pos)
-                if size > 200_000:
+                if size > 100_000:
                     yield _batch(out)
                     out, size = [], 0
             if out:
                 yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "ctx", "d", "e", "pos"])
+        h, ctx, d, e, pos = (np.concatenate(c) for c in zip(*out, strict=True))
+        by = np.lexsort((ctx, h))
+        again = np.zeros(len(by), bool)
+        again[1:] = (h[by][1:] == h[by][:-1]) & (ctx[by][1:] == ctx[by][:-1])
+        twice = again.copy()
+        twice[:-1] |= again[1:]
+        return pa.RecordBatch.from_arrays([pa.array(x[by]) for x in (h, ctx, d, e, pos)] + [pa.array(twice), pa.array(again)], names=["h", "ctx", "d", "e", "pos", "twice", "spare"])
 
-    return texts.where(F.octet_length("text") >= least).select("d", "e", "text").mapInArrow(run, "h long, ctx long, d long, e long, pos int")
+    return texts.where(F.octet_length("text") >= least).select("d", "e", "text").mapInArrow(run, "h long, ctx long, d long, e long, pos int, twice boolean, spare boolean")
 
 
 def _surroundings(texts: DataFrame, asked: DataFrame, least: int) -> DataFrame:
@@ -156,13 +165,11 @@ def _surroundings(texts: DataFrame, asked: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches):
             data, ends = text_bytes(batch.column(2))
             want = batch.column(3)
-            lists = want.offsets.to_numpy()
-            flat = want.values.flatten() if not want.offset else pa.concat_arrays([want]).values.flatten()
-            h, ctx, pos = (x.to_numpy(zero_copy_only=False) for x in flat)
-            base = lists[0] if want.offset else 0
+            lists = want.offsets.to_numpy() - want.offsets[0].as_py()
+            h, ctx, pos = (x.to_numpy(zero_copy_only=False) for x in want.flatten().flatten())
             rows = []
             for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if key in seen:
@@ -171,10 +178,10 @@ def _surroundings(texts: DataFrame, asked: DataFrame, least: int) -> DataFrame:
                     seen.clear()
                 seen.add(key)
                 text = data[ends[i] : ends[i + 1]]
-                for j in range(lists[i] - base, lists[i + 1] - base):
+                for j in range(lists[i], lists[i + 1]):
                     p = int(pos[j])
                     rows.append((h[j], ctx[j], text[max(0, p - reach) : p][::-1].tobytes(), text[p : p + least].tobytes()))
-                    if len(rows) >= 20_000:
+                    if len(rows) >= 5_000:
                         yield _rows(rows)
                         rows = []
             if rows:
@@ -248,17 +255,19 @@ def _sorted_groups(around: DataFrame, least: int) -> DataFrame:
             return
         keep = list(one.values())
         ctx, left, right = [ctx[i] for i in keep], [left[i] for i in keep], [right[i] for i in keep]
-        spans: dict[int, list[tuple[int, int]]] = {}
+        # every repeat holds the anchor, so what they cover together is one range
+        back, ahead = [-1] * len(ctx), [0] * len(ctx)
         for upto, _, members in maximal_repeats(left, right, least, reach):
-            for m, back in members:
-                spans.setdefault(m, []).append((-back, upto))
-        for m, got in spans.items():
-            for a, b in _covered(got):
-                yield ctx[m], a, b
+            for m, far in members:
+                back[m] = max(back[m], far)
+                ahead[m] = max(ahead[m], upto)
+        for m, c in enumerate(ctx):
+            if back[m] >= 0:
+                yield c, -back[m], ahead[m]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [], [])
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for h, c, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 if h != at:
@@ -301,15 +310,17 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """
     reach = least - _gram(least)
     anchors = settle(_anchors(texts, least), "repeat-anchors")
-    group, same = W.partitionBy("h"), W.partitionBy("h", "ctx")
+    group, same, times = W.partitionBy("h"), W.partitionBy("h", "ctx"), F.when(F.col("twice"), 2).otherwise(1)
     hits = (
-        anchors.repartition("h")
+        anchors.where("not spare")
+        .drop("spare")
+        .repartition("h")
         .dropDuplicates()
         .select(
             "*",
-            F.count(F.lit(1)).over(group).alias("n"),
+            F.sum(times).over(group).alias("n"),
             (F.min("ctx").over(group) != F.max("ctx").over(group)).alias("differ"),
-            F.count(F.lit(1)).over(same).alias("n_same"),
+            F.sum(times).over(same).alias("n_same"),
             F.row_number().over(same.orderBy("d", "e", "pos")).alias("nth"),
         )
         .where("n > 1")
@@ -322,7 +333,8 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
         found = found.unionByName(_counted_groups(_surroundings(texts, asked.where(F.col("size") > GROUP), least), least))
     found = settle(found, "repeat-found")
     # surroundings that occur twice are covered as far as they go; the cut at a text's end is made with its length at hand
-    whole = hits.where("n_same > 1").select("d", "e", (F.col("pos") - reach).alias("start"), (F.col("pos") + least).alias("stop"))
+    known = hits.where("n_same > 1").select("d", "e", "pos").unionByName(anchors.where("spare").select("d", "e", "pos"))
+    whole = known.select("d", "e", (F.col("pos") - reach).alias("start"), (F.col("pos") + least).alias("stop"))
     partly = hits.where("n_same = 1 and differ").join(found, ["h", "ctx"]).select("d", "e", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"))
     copies = texts.where(F.octet_length("text") >= least).groupBy("d", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = copies.select("d", "e", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"))
@@ -340,7 +352,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
     joined = texts.join(repeated_spans(texts, least), ["d", "e"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, ends = text_bytes(batch.column(1))
             out = []
             for i, spans in enumerate(batch.column(2)):
@@ -367,7 +379,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     joined = texts.join(repeated_spans(texts, least), ["d", "e"], "left").select(*names, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             data, ends = text_bytes(batch.column(len(names)))
             out = []
             for i, spans in enumerate(batch.column(len(names) + 1)):
