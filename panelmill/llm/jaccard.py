@@ -263,7 +263,8 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, the one of the least doc_id."""
     stay = classes(docs).where("stays").select(F.col("doc_id").alias("_id"), F.col("d").alias("_d"), F.col("e").alias("_e")).distinct()
-    rows = keyed(docs.withColumn("_text", F.col("text")), tuple(c for c in docs.columns if c != "text") + ("_text",))
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")  # whatever their names are
+    rows = keyed(docs.select("doc_id", rest, F.col("text").isNull().alias("_null"), "text"), ("doc_id", "_rest", "_null"))
     same = (F.col("d") == F.col("_d")) & (F.col("e") == F.col("_e")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     kept = rows.join(stay, same).dropDuplicates(["d", "e", "_id"])
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return kept.select(*[F.when(~F.col("_null"), F.col("text")).alias("text") if c == "text" else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -128,7 +128,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows it does not take are left out."""
     sizes = settle(sized(docs), "mix-sizes")
-    rule = hinted(shares(sizes))
-    times = (F.col("copies") + (doc_hash() < F.col("below")).cast("long")).cast("int")
-    rows = docs.join(rule, F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_times", times).where("_times > 0")
-    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rule = hinted(shares(sizes).select(F.col("_s").alias("_mix_source"), F.col("copies").alias("_mix_copies"), F.col("below").alias("_mix_below")))
+    times = (F.col("_mix_copies") + (doc_hash() < F.col("_mix_below")).cast("long")).cast("int")
+    rows = docs.join(rule, F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_times", times).where("_mix_times > 0")
+    return rows.withColumn("_mix_again", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

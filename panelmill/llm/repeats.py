@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import mix64, settle, slices, text_bytes
+from .common import ddl, mix64, settle, slices, text_bytes
 
 LEAST = 400
 SEGMENT = 1 << 18  # bytes of a text hashed at a time
@@ -374,24 +374,23 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The rows of ``docs`` with their repeats cut out of ``text``, to the next whole character, and n_chars to match."""
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    texts = keyed(docs, tuple(names))
-    joined = texts.join(repeated_spans(texts, least), ["d", "e"], "left").select(*names, "text", "spans")
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("_rest")  # whatever their names are
+    texts = keyed(docs.select(rest, "text"), ("_rest",))
+    joined = texts.join(repeated_spans(texts, least), ["d", "e"], "left").select("_rest", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, ends = text_bytes(batch.column(len(names)))
+            data, ends = text_bytes(batch.column(1))
             out = []
-            for i, spans in enumerate(batch.column(len(names) + 1)):
+            for i, spans in enumerate(batch.column(2)):
                 text = data[ends[i] : ends[i + 1]]
                 kept, at = [], 0
                 for a, b in merged(spans.as_py() if spans.is_valid else None, len(text)):
                     kept.append(text[at:a].tobytes())
                     at = b
                 kept.append(text[at:].tobytes())
-                out.append(b"".join(part.decode("utf-8", "ignore").encode() for part in kept).decode())
-            cols = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*names, "text", "n_chars"])
+                out.append("".join(part.decode("utf-8", "ignore") for part in kept))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["_rest", "text", "n_chars"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return joined.mapInArrow(run, f"{schema}, text string, n_chars long").select(*[c for c in docs.columns if c in (*names, "text", "n_chars")])
+    left = joined.mapInArrow(run, f"{ddl(joined.select('_rest'))}, text string, n_chars long")
+    return left.select(*[F.col(c) if c in ("text", "n_chars") else F.col(f"_rest.`{c}`") for c in docs.columns])

@@ -20,6 +20,7 @@ from .common import settle
 from .textstats import with_text_stats
 
 ITERATIONS = 50
+BELIEF = 0.01  # weight of what is believed of the rules beforehand, in shares of the documents
 GOOD, BAD, NONE = 1, 0, 2
 
 
@@ -51,7 +52,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[floa
         good = sum(w * n for w, (_, n) in zip(weight, patterns, strict=True))
         prior = (good + 1) / (total + 2)
         for r in range(n_rules):
-            sums = [[1.0] * 2, [1.0] * 2]  # one vote of each kind keeps every probability above 0
+            # belief before any data: good documents hardly ever get a bad vote, bad ones get either
+            sums = [[0.0] * 2, [0.0] * 2]
+            sums[GOOD][BAD], sums[GOOD][GOOD] = 1 + 0.001 * BELIEF * total, 1 + 0.999 * BELIEF * total
+            sums[BAD][BAD], sums[BAD][GOOD] = 1 + 0.5 * BELIEF * total, 1 + 0.5 * BELIEF * total
             for w, (votes, n) in zip(weight, patterns, strict=True):
                 if votes[r] != NONE:  # abstaining says nothing about the document
                     sums[GOOD][votes[r]] += w * n
