@@ -21,8 +21,10 @@ LEAST_SCORE = 0.2  # of a language
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the documents themselves have taught."""
-    found = langid.identify(docs, trained(docs), tuple(docs.columns))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest")  # whatever their names are
+    found = langid.identify(docs.select(rest, "text"), trained(docs), ("_rest", "text"))
+    likely = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    return likely.select(*[F.col(c) if c == "text" else F.col(f"_rest.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
