@@ -13,6 +13,7 @@ tokenised piece by piece, cut at white space, and its ids are the same as of the
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
