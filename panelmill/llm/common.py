@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +77,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
         pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # workers outlive their tasks; not every C library has this
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
