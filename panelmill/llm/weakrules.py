@@ -5,6 +5,8 @@ rule votes which way on good and on bad documents, and how common good ones are;
 replaces the all-rules-must-pass filter. Spark counts the patterns (3 to the number of rules at most); the driver iterates
 over that bounded table; the posterior is a sum of log odds by vote, a column expression again.
 
+A kind of junk that shows in one rule only, and rarely, may be taken for noise of that rule.
+
 Defined cases: a null or empty text has 0 words and fails the base rule; a rule without evidence (no lines, no words)
 abstains; an empty table gives no rows; other columns are ignored.
 """
@@ -20,7 +22,7 @@ from .common import settle
 from .textstats import with_text_stats
 
 ITERATIONS = 50
-BELIEF = 0.01  # weight of what is believed of the rules beforehand, in shares of the documents
+BELIEF = 0.2  # weight of what is believed of the rules beforehand, in shares of the documents
 GOOD, BAD, NONE = 1, 0, 2
 
 
