@@ -30,12 +30,12 @@ WINDOW = 4096
 SEPARATOR = 2
 BLOCK = 1000  # pieces packed together, about
 CHUNK = 250_000  # characters tokenised at a time
-KNOWN_WORDS = 150_000  # words a worker remembers
+KNOWN_WORDS = 600_000  # words a worker remembers
 # Fixed value: what Unicode calls white space
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 # Characters that keep their form under the tokenizer's normaliser but for case, and how it cuts them
 SIMPLE = re.compile("[\\t\\n\\r -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]*")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+PIECE = re.compile("[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+")
 RUN = re.compile("[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+|'[stmd]|'(?:re|ve|ll)")
 
 _WORKERS: dict[str, "WordIds"] = {}
@@ -60,8 +60,9 @@ class WordIds:
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        runs = [w for w in words if RUN.fullmatch(w)]
-        rest = [w for w in words if not RUN.fullmatch(w)]
+        runs, rest = [], []
+        for w in words:
+            (runs if RUN.fullmatch(w) else rest).append(w)
         # many runs in one call, a blank between them; the tokenizer numbers them
         joined = [runs[a : a + 500] for a in range(0, len(runs), 500)]
         some = self.tokenizer.encode_batch([" ".join(j) for j in joined], add_special_tokens=False)
@@ -85,11 +86,12 @@ class WordIds:
         if not words:
             return [np.zeros(0, np.uint32)] * len(texts)
         known = self.known
-        if new := dict.fromkeys(w for w in words if w not in known):
+        distinct = set(words)
+        if new := [w for w in distinct if w not in known]:
             if len(known) + len(new) > KNOWN_WORDS:
                 self.forget()
-                new, known = dict.fromkeys(words), self.known
-            self._learn(list(new))
+                new, known = list(distinct), self.known
+            self._learn(new)
         index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         size = self.size[index]
         ends = np.cumsum(size)
@@ -153,7 +155,6 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             if rows:
                 kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        ids_of.forget()  # workers outlive their tasks
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
