@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ WINDOW = 4096
 SEPARATOR = 2
 BLOCK = 1000  # pieces packed together, about
 CHUNK = 250_000  # characters tokenised at a time
-KNOWN_WORDS = 600_000  # words a worker remembers
+KNOWN_WORDS = 600_000  # words a worker remembers, and those of one more call
 # Fixed value: what Unicode calls white space
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 # Characters that keep their form under the tokenizer's normaliser but for case, and how it cuts them
@@ -41,6 +42,19 @@ RUN = re.compile("[a-z\\u00df-\\u00f6\\u00f8-\\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+|'
 _WORKERS: dict[str, "WordIds"] = {}
 
 
+class _Numbers(dict):
+    """Numbers words in the order they first come; ``new`` holds those numbered since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordIds:
     """Ids of texts by way of remembered words.
 
@@ -56,43 +70,47 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
+        self.used = 0  # ids in flat
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
+        """Ids of the words numbered last."""
         runs, rest = [], []
-        for w in words:
-            (runs if RUN.fullmatch(w) else rest).append(w)
+        for i, w in enumerate(words):
+            (runs if RUN.fullmatch(w) else rest).append(i)
         # many runs in one call, a blank between them; the tokenizer numbers them
         joined = [runs[a : a + 500] for a in range(0, len(runs), 500)]
-        some = self.tokenizer.encode_batch([" ".join(j) for j in joined], add_special_tokens=False)
+        some = self.tokenizer.encode_batch([" ".join([words[i] for i in j]) for j in joined], add_special_tokens=False)
         sizes = [np.bincount(np.array(e.word_ids, np.int64), minlength=len(j)) for e, j in zip(some, joined, strict=True)]
         ids = [np.array(e.ids, np.uint32) for e in some]
-        for e in self.tokenizer.encode_batch(rest, add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False):
             ids.append(np.array(e.ids, np.uint32))
             sizes.append(np.array([len(e.ids)]))
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
-        for w in (*runs, *rest):
-            self.known[w] = len(self.known)
+        size = np.concatenate(sizes)
+        order = np.array(runs + rest, np.int64)
+        first, last = len(self.known) - len(words), len(self.known)
+        got = np.concatenate(ids)
+        self.start, self.size = _room(self.start, last), _room(self.size, last)
+        self.flat = _room(self.flat, self.used + len(got))
+        self.start[first + order] = self.used + np.cumsum(size) - size
+        self.size[first + order] = size
+        self.flat[self.used : self.used + len(got)] = got
+        self.used += len(got)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
         found = [PIECE.findall(t.lower()) if SIMPLE.fullmatch(t) and "<|" not in t else WORD.findall(t) for t in texts]
         count = np.fromiter(map(len, found), np.int64, len(found))
-        words = [w for f in found for w in f]
-        if not words:
+        total = int(count.sum())
+        if not total:
             return [np.zeros(0, np.uint32)] * len(texts)
-        known = self.known
-        distinct = set(words)
-        if new := [w for w in distinct if w not in known]:
-            if len(known) + len(new) > KNOWN_WORDS:
-                self.forget()
-                new, known = list(distinct), self.known
-            self._learn(new)
-        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, total)
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         size = self.size[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[index] - (ends - size), size) + np.arange(int(ends[-1]))]
@@ -101,6 +119,15 @@ class WordIds:
         return np.split(ids, stops[:-1])
 
 
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy of at least twice its length, with room for n numbers."""
+    if n <= len(array):
+        return array
+    more = np.zeros(max(n, 2 * len(array)), array.dtype)
+    more[: len(array)] = array
+    return more
+
+
 def _segments(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > CHUNK:
