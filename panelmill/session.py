@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None, app: str = "panelmill") -> SparkSession:
     """Session for local runs; on a cluster use the session you already have."""
     cores = os.cpu_count() if cpus in ("*", None) else int(cpus)
@@ -48,3 +53,28 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a wide derived table under the checkpoint folder and read it back; removed when the application ends.
+
+    Unlike ``settle`` the result carries nothing of the plan it came from (a checkpoint keeps the constraints of its
+    lineage, and each later filter walks them), nor its partitions.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone already  # noqa: BLE001
+            return
