@@ -115,12 +115,14 @@ def daily_sentiment(
 
 
 def source_breakdown(rows: DataFrame, keys: Sequence[str], score: str, source: str, sources: Sequence[str] = ()) -> DataFrame:
-    """Source diversity, share of the commonest source, and mean/count per listed source.
+    """Source diversity, share of the commonest source among all rows, and mean/count per listed source.
+
+    A missing source is none: it adds to the rows only; without any named source the share is null.
 
     Two aggregation levels: the first leaves one row per source and day.
     """
     each = rows.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_k"), F.avg(score).alias("_m"))
-    aggs = [F.count(source).alias("source_diversity"), (F.max("_k") / F.sum("_k")).alias("dominant_source_pct")]
+    aggs = [F.count(source).alias("source_diversity"), (F.max(F.when(C(source).isNotNull(), C("_k"))) / F.sum("_k")).alias("dominant_source_pct")]
     for name in sources:
         hit = C(source) == name
         aggs += [

@@ -97,11 +97,10 @@ def quality_sink(history: str, kind: str = "market", **kw) -> Callable[[DataFram
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            done = not spark.read.parquet(history).filter(C("batch_id") == batch_id).isEmpty()
-        except Exception:  # noqa: BLE001 - no history yet
-            done = False
-        if done:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(history)
+        known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        # any failure to read an existing history stops the batch, rather than write it twice
+        if known and not spark.read.schema("batch_id int").parquet(history).filter(C("batch_id") == batch_id).isEmpty():
             return
         issues, _ = validation.validate(batch, kind, **kw)
         append_history(issues.withColumn("batch_id", F.lit(batch_id)), history)

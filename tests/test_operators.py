@@ -13,7 +13,7 @@ from panelmill.functions.axis import DAILY, Axis, apply_waves
 from panelmill.functions.recursive import ewm
 from panelmill.functions.rolling import rolling_apply, rolling_means, rolling_moments
 from panelmill.operators import backtest as bt
-from panelmill.operators import clean, evaluate, forecast, indicators, joins, ml, quality_history, validation
+from panelmill.operators import clean, evaluate, forecast, indicators, joins, ml, quality_history, sentiment, validation
 from panelmill.sources import economic, market, news, orderbook, sinks
 
 BAR = "symbol string, ts date, open double, high double, low double, close double, volume double"
@@ -371,3 +371,10 @@ def test_key_of_two_columns(spark):
     axis = Axis(key=("symbol", "venue"))
     out = indicators.add_moving_averages(b, axis, sma=(5,), ema=(), wma=())
     assert out.filter("SMA_5 is null").count() == 0
+
+
+def test_missing_source_is_not_dominant(spark):
+    rows = spark.createDataFrame([("A", 1, 0.5, "x"), ("A", 1, 0.1, None), ("A", 1, 0.2, None), ("B", 1, 0.3, None)], "symbol string, day int, score double, source string")
+    got = {r["symbol"]: (r["source_diversity"], r["dominant_source_pct"]) for r in sentiment.source_breakdown(rows, ["symbol", "day"], "score", "source").collect()}
+    assert got["A"] == (1, pytest.approx(1 / 3))
+    assert got["B"] == (0, None)
