@@ -228,6 +228,7 @@ def training_summary(runs: DataFrame, model: str = "model", ok: str = "succeeded
 def success_criteria(metrics: DataFrame) -> DataFrame:
     """Targets smape < 50, direction >= 55, correlation >= 0.3, and a 0-100 closeness score."""
     s, d, c = C("smape"), C("direction_accuracy"), C("correlation")
+    # The targets, weights and scales below
     clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     score = (0.5 * clip((200 - s) / 150) + 0.3 * clip(d / 60) + 0.2 * clip((c + 1) / 1.3)) * 100
     return metrics.withColumns(
