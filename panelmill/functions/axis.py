@@ -222,14 +222,17 @@ def number_rows(df: DataFrame, axis: Axis, name: str = "__rn", partitions: int |
     own rows; a table of (key, task) counts, no larger than tasks + keys,
     supplies the offsets.  The numbered rows are checkpointed because both the
     counts and the final rows must see the very same cut.  ``count`` names an
-    extra column for the rows of the key.  Key columns must not be NULL.
+    extra column for the rows of the key.  A NULL in a key column raises an
+    error: the counts are joined by equality, which would lose such rows.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = [*axis.key, *axis.order]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = {k: F.coalesce(F.col(k), F.raise_error(F.lit(f"NULL in key column {k}"))) for k in axis.key}
     laid = (
-        df.repartitionByRange(n, *order)
+        df.withColumns(named)
+        .repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("__id", F.monotonically_increasing_id())
         .withColumn("__task", F.shiftright("__id", 33))
@@ -306,15 +309,30 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """Linear-interpolated quantiles per key by distributed sort: one row per key.
 
     For groups too large for ``percentile``, whose state holds every distinct
-    value of a group.  Only the two neighbours of each quantile are kept.
+    value of a group.  Copies of a value are folded to one row with a count
+    before the range shuffle, so a value held by most rows meets in no task.
+    Only the two neighbours of each quantile are kept.
     """
-    axis = Axis(key=tuple(keys), ts=value)
-    rows = number_rows(df.select(*keys, value).filter(F.col(value).isNotNull()), axis, "__rn", count="__cnt")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folded = df.select(*keys, value).filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    laid = folded.repartitionByRange(n, *keys, value).withColumn("__task", F.spark_partition_id()).checkpoint()
+    near = Window.partitionBy(*keys, "__task").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = laid.groupBy(*keys, "__task").agg(F.sum("__n").alias("__m"))  # one row per key and task at most
+    offsets = offsets.withColumns({"__off": F.coalesce(F.sum("__m").over(earlier), F.lit(0)), "__cnt": F.sum("__m").over(Window.partitionBy(*keys))})
+    renamed = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__task").alias("__t"), "__off", "__cnt")
+    same = F.col("__task") == F.col("__t")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    rows = laid.withColumn("__upto", F.sum("__n").over(near)).join(renamed, same)
+    last = F.col("__off") + F.col("__upto") - 1  # 0-based positions of the copies of a value
     aggs = []
     for name, p in probs.items():
         at = (F.col("__cnt") - 1) * F.lit(float(p))
-        lo, part = F.floor(at), at - F.floor(at)
-        below = F.max(F.when(F.col("__rn") == lo, F.col(value)))
-        above = F.max(F.when(F.col("__rn") == F.ceil(at), F.col(value)))
-        aggs.append((below + (above - below) * F.max(part)).alias(name))
+        holds = lambda x: (x <= last) & (x > last - F.col("__n"))
+        below = F.max(F.when(holds(F.floor(at)), F.col(value)))
+        above = F.max(F.when(holds(F.ceil(at)), F.col(value)))
+        aggs.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
     return rows.groupBy(*keys).agg(*aggs)

@@ -107,21 +107,26 @@ def batch_forecast(requested: DataFrame, bars: DataFrame, horizon: int = 5, axis
 # ------------------------------------------------------------ fitted forecasters
 
 
+# Every fitter takes windows of equal length, one per row, and returns (forecasts, one-step errors), one row per window.
+
+
 def _smooth(y: np.ndarray, sp: int, alpha: np.ndarray, beta: np.ndarray, gamma: np.ndarray):
-    """Additive exponential smoothing for many parameter sets at once; returns final state and errors."""
-    k = len(alpha)
-    season = np.zeros((max(sp, 1), k))
+    """Additive exponential smoothing for many windows and parameter sets at once; returns final state and errors."""
+    windows, n = y.shape
+    shape = (windows, len(alpha))
+    season = np.zeros((max(sp, 1), *shape))
     if sp > 1:
-        level = np.full(k, y[:sp].mean())
-        trend = np.full(k, (y[sp : 2 * sp].mean() - y[:sp].mean()) / sp)
-        season[:] = (y[:sp] - y[:sp].mean())[:, None]
+        mean = y[:, :sp].mean(axis=1)
+        level = np.broadcast_to(mean[:, None], shape)
+        trend = np.broadcast_to(((y[:, sp : 2 * sp].mean(axis=1) - mean) / sp)[:, None], shape)
+        season[:] = (y[:, :sp] - mean[:, None]).T[:, :, None]
         start = 0
     else:
-        level, trend, start = np.full(k, y[0]), np.full(k, y[1] - y[0] if len(y) > 1 else 0.0), 1
-    errors = np.empty((len(y) - start, k))
-    for i in range(start, len(y)):
+        level, trend, start = np.broadcast_to(y[:, :1], shape), np.broadcast_to(y[:, 1:2] - y[:, :1] if n > 1 else 0.0, shape), 1
+    errors = np.empty((n - start, *shape))
+    for i in range(start, n):
         s = season[i % sp] if sp > 1 else 0.0
-        e = y[i] - (level + trend + s)
+        e = y[:, i, None] - (level + trend + s)
         errors[i - start] = e
         level, trend = level + trend + alpha * e, trend + alpha * beta * e
         if sp > 1:
@@ -134,46 +139,47 @@ _STEPS = (0.1, 0.3, 0.5, 0.7, 0.9)
 
 def _holt(y: np.ndarray, h: int, sp: int) -> tuple[np.ndarray, np.ndarray]:
     """Additive trend (and season) smoothing; parameters by least squared one-step error over a grid."""
-    if sp > 1 and len(y) < 2 * sp:
+    windows, n = y.shape
+    if sp > 1 and n < 2 * sp:
         sp = 1
     grid = np.array(list(itertools.product(_STEPS, (0.01, 0.1, 0.3), (0.1, 0.5) if sp > 1 else (0.0,))))
     level, trend, season, err = _smooth(y, sp, grid[:, 0], grid[:, 1], grid[:, 2])
-    best = int(np.argmin((err**2).sum(axis=0))) if len(err) else 0
+    best, row = np.argmin((err**2).sum(axis=0), axis=1), np.arange(windows)
     step = np.arange(1, h + 1)
-    seasonal = season[(len(y) - 1 + step) % sp, best] if sp > 1 else 0.0
-    return level[best] + step * trend[best] + seasonal, err[:, best]
+    seasonal = season[(n - 1 + step) % sp][:, row, best].T if sp > 1 else 0.0
+    return level[row, best][:, None] + step * trend[row, best][:, None] + seasonal, err[:, row, best].T
 
 
 def _theta(y: np.ndarray, h: int, sp: int) -> tuple[np.ndarray, np.ndarray]:
     """Theta method: simple smoothing plus half the linear slope."""
     alphas = np.linspace(0.05, 0.95, 19)
-    n = len(y)
-    level = np.full(len(alphas), y[0])
-    err = np.empty((n, len(alphas)))
+    windows, n = y.shape
+    level = np.broadcast_to(y[:, :1], (windows, len(alphas)))
+    err = np.empty((n, windows, len(alphas)))
     for i in range(n):
-        err[i] = y[i] - level
+        err[i] = y[:, i, None] - level
         level = level + alphas * err[i]
-    best = int(np.argmin((err**2).sum(axis=0)))
-    t = np.arange(n)
-    slope = ((t - t.mean()) * (y - y.mean())).sum() / max(((t - t.mean()) ** 2).sum(), 1e-12)
-    a = alphas[best]
-    step = np.arange(h)
-    drift = 0.5 * slope * (step + (1 - (1 - a) ** n) / a)
-    return level[best] + drift, err[1:, best]
+    best, row = np.argmin((err**2).sum(axis=0), axis=1), np.arange(windows)
+    t = np.arange(n) - (n - 1) / 2
+    slope = (y - y.mean(axis=1, keepdims=True)) @ t / max((t**2).sum(), 1e-12)
+    a = alphas[best][:, None]
+    drift = 0.5 * slope[:, None] * (np.arange(h) + (1 - (1 - a) ** n) / a)
+    return level[row, best][:, None] + drift, err[1:, row, best].T
 
 
 def _naive(y: np.ndarray, h: int, sp: int) -> tuple[np.ndarray, np.ndarray]:
     """Last value (or last season) repeated."""
-    sp = sp if sp > 1 and len(y) >= sp else 1
-    return y[-sp:][np.arange(h) % sp], y[sp:] - y[:-sp]
+    sp = sp if sp > 1 and y.shape[1] >= sp else 1
+    return y[:, -sp:][:, np.arange(h) % sp], y[:, sp:] - y[:, :-sp]
 
 
 def _ensemble(y: np.ndarray, h: int, sp: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [f(y, h, sp) for f in (_holt, _theta, _naive)]
-    m = min(len(e) for _, e in parts)
-    return np.mean([p for p, _ in parts], axis=0), np.mean([e[len(e) - m :] for _, e in parts], axis=0)
+    m = min(e.shape[1] for _, e in parts)
+    return np.mean([p for p, _ in parts], axis=0), np.mean([e[:, e.shape[1] - m :] for _, e in parts], axis=0)
 
 
+FITTED_AT_ONCE = 100_000  # values of overlapping windows; errors are kept for each of up to 30 parameter sets
 MODELS = {"exp_smoothing": _holt, "theta": _theta, "naive": _naive, "ensemble": _ensemble}
 
 
@@ -183,7 +189,7 @@ def fit_forecast(y: np.ndarray, model: str, h: int, sp: int = 1, log: bool = Fal
     if log:
         shift = abs(y.min()) + 1e-8 if y.min() <= 0 else 0.0
         y = np.log(y + shift)
-    point, err = MODELS[model](y, h, sp)
+    point, err = (part[0] for part in MODELS[model](np.asarray(y, float)[None, :], h, sp))
     sigma = err.std(ddof=1) if len(err) > 1 else 0.0
     band = NormalDist().inv_cdf(0.5 + coverage / 2) * sigma * np.sqrt(np.arange(1, h + 1))
     cols = [point, point - band, point + band]
@@ -203,31 +209,36 @@ def forecast(
     coverage: float = 0.9,
     min_rows: int = 3,
 ) -> DataFrame:
-    """Fit every (series, model) as its own task group and forecast ``horizon`` business days.
+    """Fit every model of a series in one task group and forecast ``horizon`` business days.
 
     For series bounded by the calendar (one row a day): a group is a few
-    thousand numbers at most.
+    thousand numbers at most.  ``too_short`` names the series left out.
     """
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in axis.key) + ", model string, step int, predicted double, lower double, upper double"
     keys = list(axis.key)
     slim = df.filter(C(value).isNotNull()).select(*keys, C(axis.ts).alias("_ts"), C(value).cast("double").alias("_y"))
-    slim = slim.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("_ts")["_y"].to_numpy()
-        model = pdf["model"].iloc[0]
+        names = [*keys, "model", "step", "predicted", "lower", "upper"]
         if len(y) < min_rows:
-            return pd.DataFrame(columns=[*keys, "model", "step", "predicted", "lower", "upper"])
-        out = fit_forecast(y, model, horizon, seasonal_period, log, coverage)
-        out.insert(0, "model", model)
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    done = slim.groupBy(*keys, "model").applyInPandas(fit, schema)
+            return pd.DataFrame(columns=names)
+        out = pd.concat([fit_forecast(y, m, horizon, seasonal_period, log, coverage).assign(model=m) for m in models])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[names]
+
+    done = slim.groupBy(*keys).applyInPandas(fit, schema)
     return done.join(cal.future_business_days(df, horizon, axis), [*keys, "step"])
 
 
+def too_short(df: DataFrame, axis: Axis = DAILY, value: str = "close", min_rows: int = 3) -> DataFrame:
+    """Series that get no forecast, with the number of known values and the reason."""
+    known = df.groupBy(*axis.key).agg(F.count(value).alias("known"))
+    reason = F.concat(C("known").cast("string"), F.lit(f" known values, {min_rows} needed"))
+    return known.filter(C("known") < min_rows).withColumn("reason", reason)
+
+
 def update_forecast(history: DataFrame, fresh: DataFrame, **kw) -> DataFrame:
     """Forecast again after new observations have arrived."""
     return forecast(history.unionByName(fresh), **kw)
@@ -243,28 +254,37 @@ def cross_validate(
     value: str = "close",
     seasonal_period: int = 1,
 ) -> DataFrame:
-    """Sliding-window folds (window n // (splits+1)), metrics per (series, model, fold)."""
+    """Sliding-window folds (window n // (splits+1)), metrics per (series, model, fold).
+
+    A series is sent once; its folds are overlapping windows of one array, fitted
+    together in parts of bounded size.  A series with a window under 3 rows, or
+    shorter than window and horizon, has no folds.
+    """
     keys = list(axis.key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rows = df.select(*keys, C(value).cast("double").alias("_y"), F.row_number().over(axis.by_time()).alias("_rn"), n.alias("_n"))
-    width = F.floor(C("_n") / (splits + 1))
-    last_start = C("_n") - width - test_size
-    # a row belongs to the folds whose window or horizon covers it
-    lo = F.greatest(F.lit(0), F.ceil((C("_rn") - width - test_size) / step))
-    hi = F.least(F.floor((C("_rn") - 1) / step), F.floor(last_start / step))
-    rows = rows.withColumn("_w", width).filter((C("_w") >= 3) & (hi >= lo)).withColumn("fold", F.explode(F.sequence(lo, hi)))
-    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    slim = df.select(*keys, C(axis.ts).alias("_ts"), C(value).cast("double").alias("_y"))
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", model string, fold long, actual double, predicted double"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        y, w = pdf["_y"].to_numpy(), int(pdf["_w"].iloc[0])
-        out = pd.DataFrame({"actual": y[w:], "predicted": fit_forecast(y[:w], pdf["model"].iloc[0], len(y) - w, seasonal_period)["predicted"].to_numpy()})
-        for k in (*keys, "model", "fold"):
+        y = pdf.sort_values("_ts")["_y"].to_numpy()
+        names = [*keys, "model", "fold", "actual", "predicted"]
+        width = len(y) // (splits + 1)
+        if width < 3 or len(y) < width + test_size:
+            return pd.DataFrame(columns=names)
+        windows = np.lib.stride_tricks.sliding_window_view(y, width + test_size)[::step]
+        size = max(1, FITTED_AT_ONCE // width)
+        parts = []
+        for at in range(0, len(windows), size):
+            past, ahead = windows[at : at + size, :width], windows[at : at + size, width:]
+            fold = np.repeat(np.arange(at, at + len(past)), test_size)
+            for m in models:
+                guess = MODELS[m](past, test_size, seasonal_period)[0]
+                parts.append(pd.DataFrame({"model": m, "fold": fold, "actual": ahead.ravel(), "predicted": guess.ravel()}))
+        out = pd.concat(parts)
+        for k in keys:
             out[k] = pdf[k].iloc[0]
-        return out[[*keys, "model", "fold", "actual", "predicted"]]
+        return out[names]
 
-    paired = rows.groupBy(*keys, "model", "fold").applyInPandas(fit, schema)
+    paired = slim.groupBy(*keys).applyInPandas(fit, schema)
     return forecast_metrics(paired, by=(*keys, "model", "fold"))
 
 

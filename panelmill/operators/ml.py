@@ -63,18 +63,21 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str = "target", m
     order is the same.  Two aggregates over the data; no rows are collected.
     """
     stats = df.agg(
-        *[F.avg(C(c).isNull().cast("double")).alias(f"n{i}") for i, c in enumerate(cols)],
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
         *[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)],
     ).first()
-    keep = [c for i, c in enumerate(cols) if stats[f"n{i}"] is not None and stats[f"n{i}"] < max_missing and stats[f"v{i}"]]
+    keep = [c for i, c in enumerate(cols) if stats["n"] and 1 - stats[f"n{i}"] / stats["n"] < max_missing and stats[f"v{i}"]]
     if not keep:
         return []
     whole = df.na.drop(subset=[*keep, target])
-    y = C(target)
     r = whole.agg(
-        *[F.try_divide(F.pow(F.covar_samp(C(c), y), 2), F.var_samp(C(c)) * F.var_samp(y)).alias(f"r{i}") for i, c in enumerate(keep)]
+        F.var_samp(target).alias("y"),
+        *[F.covar_samp(c, target).alias(f"c{i}") for i, c in enumerate(keep)],
+        *[F.var_samp(c).alias(f"x{i}") for i, c in enumerate(keep)],
     ).first()
-    scored = [(c, r[f"r{i}"] if r[f"r{i}"] is not None else 0.0) for i, c in enumerate(keep)]
+    spread = [(r[f"x{i}"] or 0.0) * (r["y"] or 0.0) for i in range(len(keep))]
+    scored = [(c, r[f"c{i}"] ** 2 / spread[i] if spread[i] else 0.0) for i, c in enumerate(keep)]
     return sorted(scored, key=lambda s: (-s[1], s[0]))
 
 
@@ -172,8 +175,19 @@ def time_folds(df: DataFrame, splits: int = 3, ts: str = "ts") -> list[tuple[obj
     return [(r["lo"], r["hi"]) for r in starts[1:]]
 
 
-def grid_search(df: DataFrame, fit, grid: dict[str, Sequence], features: Sequence[str], target: str = "target", splits: int = 3, ts: str = "ts", parallelism: int = 4) -> list[dict]:
-    """Mean rmse of every parameter set over expanding time folds, best first."""
+# The default grid of a forest (30 is the deepest tree Spark grows). Spark has no parameter for the rows
+# needed to split a node; the rows needed in each child stand for both.
+FOREST_GRID = {
+    "numTrees": [50, 100, 200],
+    "maxDepth": [5, 10, 15, 30],
+    "minInstancesPerNode": [1, 2, 4],
+    "featureSubsetStrategy": ["sqrt", "log2", "0.3"],
+}
+
+
+def grid_search(df: DataFrame, fit, grid: dict[str, Sequence] | None, features: Sequence[str], target: str = "target", splits: int = 3, ts: str = "ts", parallelism: int = 4) -> list[dict]:
+    """Mean rmse of every parameter set over expanding time folds, best first.  Without a grid: ``FOREST_GRID``."""
+    grid = FOREST_GRID if grid is None else grid
     folds = time_folds(df, splits, ts)
     combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
     data = df.select(ts, target, *features).persist()

@@ -29,7 +29,7 @@ def daily_sentiment(
     score: str = "sentiment_score",
     confidence: str | None = "confidence",
     source: str | None = "source",
-    sources: Sequence[str] = (),
+    sources: Sequence[str] | None = None,
     recency_decay: float = 0.1,
     weight_by_confidence: bool = True,
     weight_by_recency: bool = True,
@@ -114,13 +114,17 @@ def daily_sentiment(
     return out
 
 
-def source_breakdown(rows: DataFrame, keys: Sequence[str], score: str, source: str, sources: Sequence[str] = ()) -> DataFrame:
-    """Source diversity, share of the commonest source among all rows, and mean/count per listed source.
+def source_breakdown(rows: DataFrame, keys: Sequence[str], score: str, source: str, sources: Sequence[str] | None = None) -> DataFrame:
+    """Source diversity, share of the commonest source among all rows, and mean/count per source.
+
+    ``sources=None`` gives columns to every source present (one distinct query, sources are few); a list gives them to those only.
 
     A missing source is none: it adds to the rows only; without any named source the share is null.
 
     Two aggregation levels: the first leaves one row per source and day.
     """
+    if sources is None:
+        sources = sorted(r[0] for r in rows.select(C(source).cast("string")).filter(C(source).isNotNull()).distinct().collect())
     each = rows.groupBy(*keys, source).agg(F.count(F.lit(1)).alias("_k"), F.avg(score).alias("_m"))
     aggs = [F.count(source).alias("source_diversity"), (F.max(F.when(C(source).isNotNull(), C("_k"))) / F.sum("_k")).alias("dominant_source_pct")]
     for name in sources:

@@ -305,14 +305,13 @@ def tick_split_fill(spark, sf):
     "pad_context",
     Shape(["symbol"], [], ["n"], ["total"], ["oldest", "newest"]),
     f"""{BARS},
-t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars WHERE month(ts) = 3 AND year(ts) = 1998),
-a AS (SELECT symbol, count(*) AS k, min(rn) AS r0, sum(close) FILTER (WHERE rn <= 16) AS s, max_by(close, rn) FILTER (WHERE rn <= 16) AS f, min_by(close, rn) AS l FROM t GROUP BY 1),
-res AS (SELECT symbol, 16 AS n, f AS oldest, l AS newest, s + CASE WHEN k < 16 THEN (16 - k) * f ELSE 0 END AS total FROM a)""",
+t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars),
+a AS (SELECT symbol, count(*) AS k, min(rn) AS r0, sum(close) FILTER (WHERE rn <= 512) AS s, max_by(close, rn) FILTER (WHERE rn <= 512) AS f, min_by(close, rn) AS l FROM t GROUP BY 1),
+res AS (SELECT symbol, 512 AS n, f AS oldest, l AS newest, s + CASE WHEN k < 512 THEN (512 - k) * f ELSE 0 END AS total FROM a)""",
 )
 def pad_context(spark, sf):
-    b = fx.bars(spark, sf).filter((F.month("ts") == 3) & (F.year("ts") == 1998))
-    arrays = b.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda s: s["close"]).alias("ctx"))
-    a = clean.pad_context(arrays, "ctx", 16)
+    arrays = fx.bars(spark, sf).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda s: s["close"]).alias("ctx"))
+    a = clean.pad_context(arrays, "ctx", 512)
     return a.select(
         "symbol", F.size("ctx").alias("n"), F.aggregate("ctx", F.lit(0.0), lambda x, y: x + y).alias("total"),
         F.element_at("ctx", 1).alias("oldest"), F.element_at("ctx", -1).alias("newest"),

@@ -9,7 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import forecast as fc
 from ..operators import ml
 from ..operators import unified as un
-from ..session import settle
+from ..session import settle, written
 from . import fixtures as fx
 from .catalog import Shape, query
 from .sqlkit import wins
@@ -152,7 +152,7 @@ def holt_forecast(spark, sf):
 
 @query("cross_validation", Shape(["symbol"], [], ["model", "fold", "num_samples"], ["smape", "direction_accuracy"], ["rmse", "mae"]))
 def cross_validation(spark, sf):
-    return fc.cross_validate(fx.levels(spark, sf), step=60)
+    return fc.cross_validate(fx.levels(spark, sf))
 
 
 @query(
@@ -160,18 +160,18 @@ def cross_validation(spark, sf):
     Shape(["symbol"], [], ["fold", "num_samples"], ["smape"], ["mae"]),
     f"""{LEVELS},
 n AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM levels {wins()}),
-f AS (SELECT symbol, n, n // 6 AS width, unnest(generate_series(0, (n - n // 6 - 30) // 60)) AS fold FROM (SELECT DISTINCT symbol, n FROM n)),
-p AS (SELECT f.symbol, f.fold, b.close AS predicted, t.close AS actual FROM f JOIN n b ON b.symbol = f.symbol AND b.rn = f.fold * 60 + f.width
-  JOIN n t ON t.symbol = f.symbol AND t.rn > f.fold * 60 + f.width AND t.rn <= f.fold * 60 + f.width + 30),
+f AS (SELECT symbol, n, n // 6 AS width, unnest(generate_series(0, n - n // 6 - 30)) AS fold FROM (SELECT DISTINCT symbol, n FROM n)),
+p AS (SELECT f.symbol, f.fold, b.close AS predicted, t.close AS actual FROM f JOIN n b ON b.symbol = f.symbol AND b.rn = f.fold + f.width
+  JOIN n t ON t.symbol = f.symbol AND t.rn > f.fold + f.width AND t.rn <= f.fold + f.width + 30),
 res AS (SELECT symbol, fold, count(*) AS num_samples, avg(abs(actual - predicted)) AS mae, avg(abs(actual - predicted) / ((abs(actual) + abs(predicted)) / 2)) * 100 AS smape FROM p GROUP BY 1, 2)""",
 )
 def naive_cross_validation(spark, sf):
-    return fc.cross_validate(fx.levels(spark, sf), ["naive"], step=60)
+    return fc.cross_validate(fx.levels(spark, sf), ["naive"])
 
 
 @query("best_forecaster", Shape(["symbol"], ["ts"], ["step", "model"], [], ["predicted"]))
 def best_forecaster(spark, sf):
-    return fc.select_best(fx.levels(spark, sf), step=120)[0]
+    return fc.select_best(fx.levels(spark, sf))[0]
 
 
 # ------------------------------------------------------------ evaluation
@@ -419,36 +419,40 @@ def feature_scaling(spark, sf):
     return ml.scale(b, scaler).select("symbol", "ts", C("close").alias("standard"), C("volume").alias("minmax"), C("open").alias("robust"))
 
 
-_FEATS = ["SMA_10_ratio", "RSI_14", "ROC_5", "Volume_ratio_20", "BB_position_20", "ATR_normalized"]
+def _model_frame(spark, sf):
+    levels = fx.levels(spark, sf).join(fx.bars(spark, sf).drop("close", "open"), ["symbol", "ts"])
+    frame = ml.model_frame(levels.select("symbol", "ts", C("close").alias("open"), "high", "low", "close", "volume"))
+    return written(frame).filter(C("target").isNotNull())
 
 
 def _model_data(spark, sf):
-    levels = fx.levels(spark, sf).join(fx.bars(spark, sf).drop("close", "open"), ["symbol", "ts"])
-    frame = ml.model_frame(levels.select("symbol", "ts", C("close").alias("open"), "high", "low", "close", "volume"))
-    return settle(ml.impute(frame.select("symbol", "ts", "target", *_FEATS), _FEATS).filter(C("target").isNotNull()))
+    """(frame with the 50 best of all numeric features, imputed; their names)."""
+    frame = _model_frame(spark, sf)
+    chosen = ml.select_features(frame, ml.feature_columns(frame))
+    return written(ml.impute(frame.select("symbol", "ts", "target", *chosen), chosen)), chosen
 
 
 @query("ml_feature_selection", Shape(["feature"], [], [], ["score"]))
 def ml_feature_selection(spark, sf):
-    scores = ml.feature_scores(_model_data(spark, sf), _FEATS)
-    return spark.createDataFrame(scores, "feature string, score double")
+    frame = _model_frame(spark, sf)
+    return spark.createDataFrame(ml.feature_scores(frame, ml.feature_columns(frame))[:50], "feature string, score double")
 
 
 @query("ml_forest", Shape(["symbol"], ["ts"], [], ["prediction"]))
 def ml_forest(spark, sf):
-    data = _model_data(spark, sf)
+    data, features = _model_data(spark, sf)
     cut = ml.time_folds(data, 4)[-1][0]
     train = data.filter(C("ts") < F.lit(cut))
-    best = ml.grid_search(train, ml.fit_forest, {"numTrees": [10], "maxDepth": [3, 5]}, _FEATS, splits=2)[0]
+    best = ml.grid_search(train, ml.fit_forest, {"numTrees": [10], "maxDepth": [3, 5]}, features, splits=2)[0]
     best.pop("rmse")
-    return ml.predict(ml.fit_forest(train, _FEATS, **best), data.filter(C("ts") >= F.lit(cut)))
+    return ml.predict(ml.fit_forest(train, features, **best), data.filter(C("ts") >= F.lit(cut)))
 
 
 @query("ml_ensemble", Shape(["symbol"], ["ts"], [], ["prediction", "prediction_ridge", "prediction_forest", "prediction_boosted"]))
 def ml_ensemble(spark, sf):
-    data = _model_data(spark, sf)
+    data, features = _model_data(spark, sf)
     cut = ml.time_folds(data, 4)[-1][0]
-    models = ml.fit_ensemble(data.filter(C("ts") < F.lit(cut)), _FEATS, trees=10)
+    models = ml.fit_ensemble(data.filter(C("ts") < F.lit(cut)), features, trees=10)
     return ml.predict_ensemble(models, data.filter(C("ts") >= F.lit(cut)))
 
 

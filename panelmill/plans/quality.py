@@ -128,6 +128,14 @@ def time_gaps(spark, sf):
     return val.time_gaps(fx.faulty_bars(spark, sf))
 
 
+def _outliers_sql(source: str, *columns: str) -> str:
+    """Rows of the outlier rule over one dataset: level, column, rows, percentage."""
+    one = lambda c: f"""SELECT CASE WHEN k / known * 100 > 25 THEN 'ERROR' WHEN k / known * 100 > 10 THEN 'WARNING' ELSE 'INFO' END AS severity, 'outliers' AS category, '{c}' AS "column",
+    k AS row_count, k / known * 100 AS percentage FROM (SELECT count({c}) AS known, any_value(q3 - q1) AS iqr, count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS k
+    FROM {source}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {source})) WHERE known > 10 AND iqr > 0 AND k > 0"""
+    return " UNION ALL ".join(one(c) for c in columns)
+
+
 @query(
     "sentiment_quality",
     Shape([], [], ["severity", "category", "column", "row_count"], ["percentage"]),
@@ -145,8 +153,8 @@ res AS (SELECT * FROM (
   UNION ALL SELECT 'ERROR', 'business_logic', 'sentiment_score', slo + shi, NULL FROM a WHERE slo + shi > 0
   UNION ALL SELECT 'ERROR', 'business_logic', 'confidence', chi, NULL FROM a WHERE chi > 0
   UNION ALL SELECT 'WARNING', 'duplicates', NULL, k, k / n * 100 FROM dr, a WHERE k > 0
-  UNION ALL SELECT 'ERROR', 'index', 'ts', dts, NULL FROM a WHERE dts > 0) u
-  WHERE category <> 'outliers')""",
+  UNION ALL SELECT 'ERROR', 'index', 'ts', dts, NULL FROM a WHERE dts > 0
+  UNION ALL {_outliers_sql("s", "sentiment_score", "confidence")}) u)""",
 )
 def sentiment_quality(spark, sf):
     """One dataset for the whole table, with the distributed (heavy) forms of order-dependent rules."""
@@ -156,29 +164,40 @@ def sentiment_quality(spark, sf):
         (C("sentiment_score") * F.when(C("event_id") % 50 == 0, 3).otherwise(1)).alias("sentiment_score"),
         F.when(C("event_id") % 4 == 0, None).otherwise(C("confidence") * 1.2).alias("confidence"),
     )
-    issues, _ = val.validate_sentiment(shifted, by=(), now=NOW, heavy=True)
-    return issues.filter(C("category") != "outliers")
+    return val.validate_sentiment(shifted, by=(), now=NOW, heavy=True)[0]
 
 
 @query(
     "economic_quality",
-    Shape([], [], ["severity", "category", "column", "row_count"], []),
+    Shape([], [], ["severity", "category", "column", "row_count"], ["percentage"]),
     f"""{fx.macro_sql()},
 w AS (SELECT date, max(value) FILTER (WHERE series_id = 'QTY') * 2 AS DFF, max(value) FILTER (WHERE series_id = 'TAX') - 4 AS DGS10 FROM macro GROUP BY 1),
-a AS (SELECT count(*) AS n, count(*) FILTER (WHERE DFF > 50) AS hi, count(*) FILTER (WHERE DGS10 < 0) AS lo FROM w),
-res AS (SELECT 'INFO' AS severity, 'index' AS category, 'date' AS "column", NULL::BIGINT AS row_count FROM a
-  UNION ALL SELECT 'ERROR', 'value_ranges', 'DFF', hi FROM a WHERE hi > 0
-  UNION ALL SELECT 'ERROR', 'value_ranges', 'DGS10', lo FROM a WHERE lo > 0
-  UNION ALL SELECT 'WARNING', 'business_logic', 'DFF', hi FROM a WHERE hi > 0
-  UNION ALL SELECT 'WARNING', 'business_logic', 'DGS10', lo FROM a WHERE lo > 0)""",
+a AS (SELECT count(*) AS n, count(*) FILTER (WHERE DFF > 50) AS hi, count(*) FILTER (WHERE DGS10 < 0) AS lo, count(*) FILTER (WHERE DFF > 50 OR DFF < 0) AS r1,
+  count(*) FILTER (WHERE DGS10 > 50 OR DGS10 < 0) AS r2, count(*) FILTER (WHERE DFF IS NULL AND DGS10 IS NULL) AS bare, count(*) - count(DFF) AS n1, count(*) - count(DGS10) AS n2 FROM w),
+st AS (SELECT date_diff('day', lag(date) OVER (ORDER BY date), date) AS step FROM w),
+sc AS (SELECT step, count(*) AS k FROM st WHERE step IS NOT NULL GROUP BY 1),
+gp AS (SELECT sum(k) FILTER (WHERE step > 1.5 * (SELECT step FROM sc ORDER BY k DESC, step LIMIT 1)) AS k FROM sc),
+dr AS (SELECT sum(c - 1)::BIGINT AS k FROM (SELECT count(*) AS c FROM w GROUP BY DFF, DGS10)),
+res AS (SELECT 'INFO' AS severity, 'index' AS category, 'date' AS "column", NULL::BIGINT AS row_count, NULL::DOUBLE AS percentage FROM a
+  UNION ALL SELECT 'WARNING', 'structure', NULL, n, NULL FROM a WHERE n > 0 AND n < 10
+  UNION ALL SELECT 'ERROR', 'value_ranges', 'DFF', hi, hi / n * 100 FROM a WHERE hi > 0
+  UNION ALL SELECT 'ERROR', 'value_ranges', 'DGS10', lo, lo / n * 100 FROM a WHERE lo > 0
+  UNION ALL SELECT 'WARNING', 'missing_data', NULL, NULL, (n1 + n2) / (2 * n) * 100 FROM a WHERE (n1 + n2) / (2 * n) > 0.2
+  UNION ALL SELECT 'ERROR', 'missing_data', NULL, bare, NULL FROM a WHERE bare > 0
+  UNION ALL SELECT CASE WHEN n1 / n > 0.5 THEN 'ERROR' ELSE 'WARNING' END, 'missing_data', 'DFF', n1, n1 / n * 100 FROM a WHERE n1 / n > 0.1
+  UNION ALL SELECT CASE WHEN n2 / n > 0.5 THEN 'ERROR' ELSE 'WARNING' END, 'missing_data', 'DGS10', n2, n2 / n * 100 FROM a WHERE n2 / n > 0.1
+  UNION ALL SELECT 'WARNING', 'business_logic', 'DFF', r1, NULL FROM a WHERE r1 > 0
+  UNION ALL SELECT 'WARNING', 'business_logic', 'DGS10', r2, NULL FROM a WHERE r2 > 0
+  UNION ALL SELECT 'WARNING', 'duplicates', NULL, k, k / n * 100 FROM dr, a WHERE k > 0
+  UNION ALL SELECT 'WARNING', 'time_series', NULL, k::BIGINT, NULL FROM gp WHERE k > 0
+  UNION ALL {_outliers_sql("w", "DFF", "DGS10")})""",
 )
 def economic_quality(spark, sf):
     m = fx.macro(spark, sf)
     wide = m.groupBy("date").agg(
         (F.max(F.when(C("series_id") == "QTY", C("value"))) * 2).alias("DFF"), (F.max(F.when(C("series_id") == "TAX", C("value"))) - 4).alias("DGS10")
     )
-    issues, _ = val.validate_economic(wide, by=(), ts="date", now=NOW)
-    return issues.filter(C("category").isin("index", "value_ranges", "business_logic"))
+    return val.validate_economic(wide, by=(), ts="date", now=NOW)[0]
 
 
 # ------------------------------------------------------------ history

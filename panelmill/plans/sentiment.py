@@ -39,7 +39,7 @@ daily AS (SELECT a.*, {", ".join(f"{p}_sentiment_count / sentiment_count AS {p}_
 
 
 def _daily(spark, sf):
-    return sen.daily_sentiment(fx.news(spark, sf), tie=["event_id"], sources=fx.SOURCES)
+    return sen.daily_sentiment(fx.news(spark, sf), tie=["event_id"])
 
 
 @query(

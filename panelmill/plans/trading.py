@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.axis import in_blocks
 from ..operators import backtest as bt
-from ..sources.market import in_range
 from . import fixtures as fx
 from .catalog import Shape, query
 from .sqlkit import full, wins
@@ -106,11 +105,11 @@ def param_sweep(spark, sf):
 @query(
     "numeric_signals",
     Shape(["symbol"], ["ts"], [], ["position", "net_return"]),
-    f"""{LEVELS}, nw AS (SELECT *, greatest(-1.0, least(1.0, ((close % 700) - 350) / 199.0)) AS w FROM levels WHERE ts >= DATE '1999-01-01' AND ts <= DATE '2000-12-31'),
+    f"""{LEVELS}, nw AS (SELECT *, greatest(-1.0, least(1.0, ((close % 700) - 350) / 199.0)) AS w FROM levels),
 {_run_sql("nw")}, res AS (SELECT * FROM q4)""",
 )
 def numeric_signals(spark, sf):
-    b = in_range(fx.levels(spark, sf), "1999-01-01", "2000-12-31")
+    b = fx.levels(spark, sf)
     signals = b.select("symbol", "ts", (((C("close") % 700) - 350) / 199.0).alias("signal"))
     return bt.run(bt.check_alignment(b, signals))
 

@@ -118,3 +118,21 @@ def test_layout_follows_the_data(ticks):
     same(pick(10), pick(10_000), cols)
     assert "__block" in pick(10)._jdf.queryExecution().logical().toString()
     assert "__block" not in pick(10_000)._jdf.queryExecution().logical().toString()
+
+
+def test_quantiles_where_half_of_the_rows_hold_one_value(spark):
+    rows = spark.range(4000).select(F.lit("A").alias("symbol"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    want = rows.toPandas()["v"].quantile([0.25, 0.5, 0.9]).tolist()
+    got = exact_quantiles(rows, ["symbol"], "v", {"a": 0.25, "b": 0.5, "c": 0.9})
+    assert list(got.select("a", "b", "c").first()) == pytest.approx(want)
+
+
+def test_quantiles_keep_a_missing_key(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("A", 5.0), ("A", None)], "symbol string, v double")
+    assert {r["symbol"]: r["m"] for r in exact_quantiles(rows, ["symbol"], "v", {"m": 0.5}).collect()} == {None: 2.0, "A": 5.0}
+
+
+def test_numbering_refuses_a_missing_key(spark):
+    rows = spark.createDataFrame([("A", 1), (None, 2)], "symbol string, ts long")
+    with pytest.raises(Exception, match="NULL in key column symbol"):
+        number_rows(rows, Axis()).collect()

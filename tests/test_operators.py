@@ -378,3 +378,28 @@ def test_missing_source_is_not_dominant(spark):
     got = {r["symbol"]: (r["source_diversity"], r["dominant_source_pct"]) for r in sentiment.source_breakdown(rows, ["symbol", "day"], "score", "source").collect()}
     assert got["A"] == (1, pytest.approx(1 / 3))
     assert got["B"] == (0, None)
+
+
+def test_cross_validation_visits_every_fold(spark):
+    rnd = np.random.default_rng(3)
+    series = {"A": 100 + rnd.normal(size=70).cumsum(), "B": 50 + rnd.normal(size=41).cumsum(), "C": np.arange(9.0)}
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(v)) for k, ys in series.items() for i, v in enumerate(ys)]
+    bars = spark.createDataFrame(rows, "symbol string, ts date, close double")
+    models = ["exp_smoothing", "theta", "naive", "ensemble"]
+    got = {(r["symbol"], r["model"], r["fold"]): r["mae"] for r in forecast.cross_validate(bars, models, splits=4, test_size=6).collect()}
+    want = {}
+    for k, ys in series.items():
+        w = len(ys) // 5
+        for at in range(len(ys) - w - 6 + 1 if w >= 3 else 0):
+            for m in models:
+                guess = forecast.fit_forecast(ys[at : at + w], m, 6)["predicted"].to_numpy()
+                want[k, m, at] = np.abs(ys[at + w : at + w + 6] - guess).mean()
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v), k
+
+
+def test_series_too_short_are_named(spark):
+    rows = [("A", i, float(i)) for i in range(5)] + [("B", 0, 1.0), ("B", 1, None)]
+    got = forecast.too_short(spark.createDataFrame(rows, "symbol string, ts int, close double")).collect()
+    assert [(r["symbol"], r["known"], r["reason"]) for r in got] == [("B", 1, "1 known values, 3 needed")]
