@@ -13,6 +13,7 @@ from .clean import back_fill, forward_fill, interpolate
 
 C = F.col
 SMALL_ROWS = 200_000
+SLOW_SHARE = 0.5  # a macro series with fewer rows than this share of the market's times is matched as of the day
 
 
 def small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -83,8 +84,8 @@ def daily_lookup(series: DataFrame, until: Column | str | None = None, date: str
     return s.select("series_id", C(date).alias("observed"), "value", F.explode(F.sequence(C(date), C("_end"))).alias("day"))
 
 
-def is_low_frequency(market: DataFrame, series: DataFrame, axis: Axis = DAILY, share: float = 0.5) -> bool:
-    """A series counts as slow if it has fewer rows than half the market's distinct times (two counts)."""
+def is_low_frequency(market: DataFrame, series: DataFrame, axis: Axis = DAILY, share: float = SLOW_SHARE) -> bool:
+    """A series counts as slow if it has fewer rows than this share of the market's distinct times (two counts)."""
     return series.count() < share * market.select(axis.ts).distinct().count()
 
 
@@ -94,38 +95,46 @@ def align_macro(
     series: Sequence[str],
     axis: Axis = DAILY,
     how: str = "left",
-    slow: bool = True,
+    slow: bool | None = None,
     fill: str | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """Attach long-form macro series to market rows as one column each.
 
     Slow series are matched as of the day, with ``<name>_days_since_update``;
-    fast ones on equal dates.  The lookup table holds at most one row per
+    fast ones on equal dates.  ``slow`` says so for all series; without it each
+    is judged by its rows (fewer than half of the market's distinct times: slow).
+    The lookup table holds at most one row per
     calendar day, so it is broadcast (after a size check) and the market side
     is not shuffled for inner and left joins.
     """
     wanted = macro.filter(C("series_id").isin(*series))
-    if slow:
-        last_day = market.agg(F.max(C(axis.ts).cast("date"))).first()[0]
-        looked = daily_lookup(wanted, until=None if last_day is None else F.lit(last_day))
-    else:
-        looked = wanted.select("series_id", C("date").cast("date").alias("observed"), "value", C("date").cast("date").alias("day"))
+    last_day, lagging = None, set(series) if slow else set()
+    if slow is not False:
+        sizes = [F.max(C(axis.ts).cast("date")).alias("last")] + ([F.count_distinct(axis.ts).alias("times")] if slow is None else [])
+        seen = market.agg(*sizes).first()
+        last_day = seen["last"]
+        if slow is None:
+            rows = dict(wanted.groupBy("series_id").count().collect())  # one row per series named
+            lagging = {s for s in series if rows.get(s, 0) < SLOW_SHARE * seen["times"]}
+    sent = C("series_id").isin(*lagging) if lagging else F.lit(False)
+    looked = wanted.filter(~sent).select("series_id", C("date").cast("date").alias("observed"), "value", C("date").cast("date").alias("day"))
+    if lagging:
+        looked = looked.unionByName(daily_lookup(wanted.filter(sent), until=None if last_day is None else F.lit(last_day)))
     names = {s: f"{prefix}{s}" for s in series}
     aggs = []
     for s in series:
         hit = F.when(C("series_id") == s, C("value"))
         aggs.append(F.max(hit).alias(names[s]))
-        if slow:
+        if s in lagging:
             aggs.append(F.max(F.when(C("series_id") == s, C("observed"))).alias(f"_obs_{s}"))
     wide = looked.groupBy("day").agg(*aggs)
     left = market.withColumn("day", C(axis.ts).cast("date"))
     out = left.join(small(wide) if how in ("left", "inner") else wide, "day", how)
     if how in ("right", "outer", "full"):
         out = out.withColumn(axis.ts, F.coalesce(C(axis.ts), C("day").cast(market.schema[axis.ts].dataType)))
-    if slow:
-        out = out.withColumns({f"{names[s]}_days_since_update": F.datediff("day", f"_obs_{s}") for s in series})
-    out = out.drop("day", *[f"_obs_{s}" for s in series])
+    out = out.withColumns({f"{names[s]}_days_since_update": F.datediff("day", f"_obs_{s}") for s in series if s in lagging})
+    out = out.drop("day", *[f"_obs_{s}" for s in lagging])
     cols = [c for c in out.columns if c not in (*axis.key, *axis.order)]
     numeric = [c for c, t in out.dtypes if c in cols and t in ("double", "float", "int", "bigint")]
     if fill == "ffill":

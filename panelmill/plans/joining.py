@@ -28,7 +28,7 @@ res AS (SELECT b.symbol, b.ts, b.close, {", ".join(f"{s.lower()}_.value AS {s},
   FROM bars b {" ".join(_asof(s, s.lower() + "_") for s in SERIES)})""",
 )
 def asof_macro(spark, sf):
-    return joins.align_macro(fx.bars(spark, sf), fx.macro(spark, sf), SERIES)
+    return joins.align_macro(fx.bars(spark, sf), fx.macro(spark, sf), SERIES, slow=True)
 
 
 @query(
@@ -42,6 +42,30 @@ def macro_same_day(spark, sf):
     return joins.align_macro(fx.bars(spark, sf), fx.macro(spark, sf), ("DISC", "TAX"), how="inner", slow=False)
 
 
+@query(
+    "macro_auto",
+    Shape(["symbol"], ["ts"], ["DISC_days_since_update"], ["DISC", "QTY"], ["close"]),
+    f"""{BARS},{MACRO},{fx.macro_sql("daily", "day")},
+res AS (SELECT b.symbol, b.ts, b.close, m.value AS DISC, CAST(date_diff('day', m.date, b.ts) AS INTEGER) AS DISC_days_since_update, d.value AS QTY
+  FROM bars b ASOF LEFT JOIN (SELECT date, value FROM macro WHERE series_id = 'DISC') m ON b.ts >= m.date LEFT JOIN daily d ON d.series_id = 'QTY' AND d.date = b.ts)""",
+)
+def macro_auto(spark, sf):
+    """A monthly and a daily series, each matched as its number of rows asks for."""
+    both = fx.macro(spark, sf).filter(C("series_id") == "DISC").unionByName(fx.macro(spark, sf, "day").filter(C("series_id") == "QTY"))
+    return joins.align_macro(fx.bars(spark, sf), both, ("DISC", "QTY"))
+
+
+@query(
+    "macro_outer_fill",
+    Shape(["symbol"], ["ts"], [], ["TAX"], ["close"]),
+    f"""{BARS},{MACRO},
+j AS (SELECT b.symbol, coalesce(b.ts, m.date) AS ts, b.close, m.value AS TAX FROM bars b FULL JOIN (SELECT * FROM macro WHERE series_id = 'TAX') m ON m.date = b.ts),
+res AS (SELECT symbol, ts, last_value(close IGNORE NULLS) OVER cum AS close, last_value(TAX IGNORE NULLS) OVER cum AS TAX FROM j {wins()})""",
+)
+def macro_outer_fill(spark, sf):
+    return joins.align_macro(fx.bars(spark, sf), fx.macro(spark, sf), ("TAX",), how="outer", slow=False, fill="ffill")
+
+
 @query(
     "asof_quotes",
     Shape(["symbol"], [], ["event_id"], ["last_score"], [], ["seen_at"]),

@@ -375,9 +375,9 @@ def _lagged_levels(spark, sf):
 _XY = f"{LEVELS}, xy AS (SELECT * FROM (SELECT symbol, ts, close / 1000 AS y, lag(close) OVER w / 1000 AS x FROM levels {wins()}) WHERE x IS NOT NULL)"
 
 
-def _linear_rows(spark, sf, penalty):
+def _linear_rows(spark, sf, penalty, degree=1):
     data = _lagged_levels(spark, sf)
-    model = ml.fit_linear(data, ["x"], "target", penalty)
+    model = ml.fit_linear(data, ["x"], "target", penalty, degree=degree)
     return ml.predict(model, data)
 
 
@@ -406,6 +406,27 @@ def ml_lasso(spark, sf):
     return _linear_rows(spark, sf, "lasso")
 
 
+@query(
+    "ml_elastic",
+    Shape(["symbol"], ["ts"], [], [], [], [], ["prediction"]),
+    f"""{_XY}, g AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM xy),
+res AS (SELECT symbol, ts, my + sign(c) * greatest(abs(c) - 0.5, 0) / (v + 0.5) * (x - mx) AS prediction FROM xy, g)""",
+)
+def ml_elastic(spark, sf):
+    return _linear_rows(spark, sf, "elastic")
+
+
+@query(
+    "ml_polynomial",
+    Shape(["symbol"], ["ts"], [], [], [], [], ["prediction"]),
+    f"""{_XY}, g AS (SELECT count(*) AS n, avg(y) AS my, avg(x) AS m1, avg(x * x) AS m2, var_pop(x) * count(*) + 1 AS a, var_pop(x * x) * count(*) + 1 AS b,
+  covar_pop(x, x * x) * count(*) AS c, covar_pop(x, y) * count(*) AS p, covar_pop(x * x, y) * count(*) AS q FROM xy),
+res AS (SELECT symbol, ts, my + ((b * p - c * q) * (x - m1) + (a * q - c * p) * (x * x - m2)) / (a * b - c * c) AS prediction FROM xy, g)""",
+)
+def ml_polynomial(spark, sf):
+    return _linear_rows(spark, sf, "ridge", degree=2)
+
+
 @query(
     "feature_scaling",
     Shape(["symbol"], ["ts"], [], ["standard", "minmax", "robust"]),
