@@ -149,10 +149,10 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray | None, threshold: fl
 def _verified(dealt: DataFrame, threshold: float) -> DataFrame:
     """(s1, s2, r1, r2, links): a set's root in its task's group and the documents it is linked to there."""
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solve(i: int, j: int, rows: list[tuple]) -> list[tuple]:
         one = {(r[0], r[1]): r for r in rows}
         rows = list(one.values())
-        if len(rows) < 2:
+        if len(rows) < 2 or (i != j and len({r[2] for r in rows}) < 2):  # one block only: its pairs are those of (i, i)
             return []
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         side = np.array([r[2] for r in rows])
@@ -166,27 +166,27 @@ def _verified(dealt: DataFrame, threshold: float) -> DataFrame:
                 x = root[x]
             return x
 
-        for i, near in similar_pairs(sets, side if len(set(side.tolist())) > 1 else None, threshold):
-            links[i] += weight[near].sum()
-            links[near] += weight[i]
-            for j in near.tolist():
-                a, b = find(i), find(j)
+        for x, near in similar_pairs(sets, side if i != j else None, threshold):
+            links[x] += weight[near].sum()
+            links[near] += weight[x]
+            for y in near.tolist():
+                a, b = find(x), find(y)
                 if a != b:
                     root[max(a, b)] = min(a, b)
         return [(r[0], r[1], *rows[find(k)][:2], int(links[k])) for k, r in enumerate(rows) if links[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held = (None, 0, 0), []
         for batch in slices(batches):
             out = []
             for row in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
                 if row[:3] != at:
-                    out += solve(held)
+                    out += solve(*at[1:], held)
                     at, held = row[:3], []
                 held.append(row[3:])
             if out:
                 yield _rows(out)
-        if out := solve(held):
+        if out := solve(*at[1:], held):
             yield _rows(out)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -128,6 +128,20 @@ def test_jaccard(spark, block):
     assert stay == {c for c, _ in brute_classes(texts)}
 
 
+def test_jaccard_counts_links_once_with_empty_blocks(spark):
+    """Few sets over many blocks: most blocks hold none of them."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    texts = []
+    for size in (2, 2, 2, 3, 3):
+        base = [word() for _ in range(80)]
+        texts += [" ".join([*base, f"end{k}"]) for k in range(size)]
+    want = brute_classes(texts)
+    for block in (20, 60, 100):
+        got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard.classes(frame(spark, texts), block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want, block
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(20)]
