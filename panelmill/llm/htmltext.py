@@ -40,6 +40,7 @@ NOISE_WORDS = frozenset(
 )
 HEADERS = frozenset("header masthead banner".split())
 KEPT = frozenset("html body article main".split())
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())  # all else ends an open head
 SAME = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist"), "tbody": ("tbody thead tfoot tr td th", "table"), "thead": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
 SAME = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in SAME.items()}
 
@@ -76,7 +77,10 @@ class Page:
         at, size = 0, len(source)
         while at < size:
             m = MARKUP.search(source, at)
-            if (end := m.start() if m else size) > at and not skip:
+            end = m.start() if m else size
+            if skip and self.tag[stack[-1]] == "head" and source[at:end].strip():
+                skip = self._end_head(stack, skip)
+            if end > at and not skip:
                 self.runs.append((stack[-1], entities.unescape(source[at:end])))
             if not m:
                 break
@@ -103,6 +107,8 @@ class Page:
                 continue
             if tag in ("html", "body") and any(self.tag[i] == tag for i in stack[1:]):
                 continue
+            if skip and (tag in ("body", "frameset") or (tag not in IN_HEAD and self.tag[stack[-1]] == "head")):
+                skip = self._end_head(stack, skip)
             depth = self._implied(tag, stack)
             if depth is not None:
                 for i in stack[depth:]:
@@ -135,6 +141,14 @@ class Page:
                 stack.append(len(self.tag) - 1)
                 inside += tag in ("article", "main")
 
+    def _end_head(self, stack: list[int], skip: int) -> int:
+        """Drops an open head from the stack, as its end tag may be left out; the depth of pruning after it."""
+        depth = next((k for k, i in enumerate(stack) if self.tag[i] == "head"), None)
+        if depth is None:
+            return skip
+        del stack[depth:]
+        return 0 if depth <= skip else skip
+
     def _cut(self, tag: str) -> None:
         if tag in BLOCK:
             self.breaks.append((len(self.runs), 1))

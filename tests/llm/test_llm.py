@@ -168,6 +168,15 @@ def test_main_text():
     assert htmltext.main_text("plain") == "plain" and htmltext.main_text("<p>a<p>b") == "a\nb"
 
 
+def test_main_text_without_head_end_tag():
+    head, text = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style><noscript><p>no script</p></noscript>", "A paragraph of the article."
+    assert htmltext.main_text(f"{head}<body><p>{text}") == text
+    assert htmltext.main_text(f"{head}<p>{text}") == text
+    assert htmltext.main_text(f"{head}{text}") == text
+    assert htmltext.main_text(f"{head}<noscript><body><p>{text}") == text
+    assert htmltext.main_text(f"{head}</head><body><p>{text}</p></body></html>") == text
+
+
 def test_extract_keeps_other_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     assert [tuple(x) for x in htmltext.extract(pages).orderBy("page_id").collect()] == [(1, "u", "x", 1), (2, None, "", 0)]
