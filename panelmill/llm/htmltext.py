@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A tolerant parser builds the node list of a page. What is never article text (scripts, forms, navigation, adverts,
-comments and so on, by element, role, class or id) is pruned. For every node left, the density is its characters per tag,
+comments and so on, by element) is pruned while parsing. A form, and what a role, class or id marks, is pruned after a
+first measure of the whole tree, unless that shows the article to be in it. For every node left, the density is its characters per tag,
 lowered by the share of characters and tags in links. The node whose children's densities add up to most is the article;
 the least density on its path to the body is the threshold over which other subtrees count as article too.
 
@@ -31,13 +32,14 @@ BLOCK = frozenset(
 )
 CELL = frozenset("td th br img".split())
 CLOSES_P = BLOCK - frozenset("option optgroup tbody thead tfoot tr caption legend body html".split())
-NOISE_TAGS = frozenset("head script style noscript template nav aside footer form button select textarea input iframe svg canvas object embed dialog menu".split())
+NOISE_TAGS = frozenset("head script style noscript template nav aside footer button select textarea input iframe svg canvas object embed dialog menu".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer comment comments disqus reply replies cookie cookies consent notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup social share sharing related recommended widget masthead toolbar pagination pager login "
     "contentinfo complementary search hidden".split()
 )
+DENIED = frozenset("no not non without has have with".split())  # a keyword behind these names a layout, not the element
 HEADERS = frozenset("header masthead banner".split())
 KEPT = frozenset("html body article main".split())
 IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())  # all else ends an open head
@@ -49,21 +51,26 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+(
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _is_noise(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article or main element, where a header holds the heading."""
+def _noise(tag: str, attrs: str, inside: bool) -> int:
+    """2 never article text, 1 none as far as a form, class, id or role tells, 0 else. inside: within an article or main
+    element, where a header holds the heading."""
     if tag in NOISE_TAGS or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in KEPT:
-        return False
+        return 2
+    if tag in KEPT:
+        return 0
+    kind = int(tag == "form")
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and HIDING.search(value):
-            return True
+            return 2
         if name in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & NOISE_WORDS or (words & HEADERS and not inside):
-                return True
-    return False
+            for token in value.split():
+                for word in re.split(r"[^a-z0-9]+", token):
+                    if word in DENIED:
+                        break
+                    if word in NOISE_WORDS or (word in HEADERS and not inside):
+                        kind = 1
+    return kind
 
 
 class Page:
@@ -71,8 +78,9 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent = ["html"], [-1]
+        self.marked: list[int] = []  # nodes that a form, class, id or role marks as noise
         self.runs: list[tuple[int, str]] = []  # text by node
-        self.breaks: list[tuple[int, int]] = []  # (position in runs, 1 block or 0 space)
+        self.breaks: list[tuple[int, int, int]] = []  # (position in runs, 1 block or 0 space, node it lies in)
         stack, skip, inside = [0], 0, 0  # skip: depth in the stack of the pruned element we are in
         at, size = 0, len(source)
         while at < size:
@@ -90,7 +98,7 @@ class Page:
                 continue
             if m[1] or m[4]:
                 if tag in ("p", "br") and not skip:
-                    self._cut(tag)
+                    self._cut(tag, stack[-1])
                 named = [self.tag[i] for i in stack] if len(stack) < 64 else None
                 if named is not None and tag not in named:
                     continue
@@ -99,7 +107,7 @@ class Page:
                         for i in stack[depth:]:
                             inside -= self.tag[i] in ("article", "main")
                             if not skip or skip > depth:
-                                self._cut(self.tag[i])
+                                self._cut(self.tag[i], stack[depth - 1])
                         del stack[depth:]
                         if skip and skip >= len(stack):
                             skip = 0 if skip >= len(stack) and depth <= skip else skip
@@ -117,17 +125,20 @@ class Page:
                 if skip and depth <= skip:
                     skip = 0
             attrs = m[3] or m[6] or ""
-            noise = not skip and _is_noise(tag, attrs, inside > 0)
+            kind = 0 if skip else _noise(tag, attrs, inside > 0)
+            noise = kind == 2
             if not skip:
-                self._cut(tag)
+                self._cut(tag, stack[-1])
             closed = tag in VOID
             if tag in RAW and not closed:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                if not (noise or skip) and tag not in ("title",):
+                if not (kind or skip) and tag not in ("title",):
                     self.runs.append((stack[-1], source[at : end.start() if end else size]))
                 at = end.end() if end else size
                 continue
             if not skip and not noise:
+                if kind:
+                    self.marked.append(len(self.tag))
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
             if closed:
@@ -149,11 +160,11 @@ class Page:
         del stack[depth:]
         return 0 if depth <= skip else skip
 
-    def _cut(self, tag: str) -> None:
+    def _cut(self, tag: str, node: int) -> None:
         if tag in BLOCK:
-            self.breaks.append((len(self.runs), 1))
+            self.breaks.append((len(self.runs), 1, node))
         elif tag in CELL:
-            self.breaks.append((len(self.runs), 0))
+            self.breaks.append((len(self.runs), 0, node))
 
     def _implied(self, tag: str, stack: list[int]) -> int | None:
         """Depth from which a start tag ends open elements (an open paragraph, a list item before the next one)."""
@@ -177,8 +188,50 @@ class Page:
         return found
 
 
-def _content(page: Page) -> set[int]:
-    """Nodes whose whole subtrees are article text."""
+def _prune(page: Page) -> None:
+    """Takes marked elements out, but not one that holds the article: the subtree of the largest density sum, most of the
+    body's characters outside links, or the article or main elements of a page that has none elsewhere. Where a page has
+    such an element outside of all marked ones, marked ones beside it (comments, other articles) go whatever their size."""
+    if not page.marked:
+        return
+    n = len(page.tag)
+    measured = _content(page, prune=True)
+    if measured is None:
+        return
+    top, own, body = measured
+    marked = set(page.marked)
+    below, within, holds = [False] * n, [False] * n, [False] * n  # in a marked element; in a plain article; holds an article
+    plain = False
+    for i in range(1, n):
+        p = page.parent[i]
+        if p < 0:
+            continue
+        below[i] = below[p] or i in marked
+        article = page.tag[i] in ("article", "main") and own[i] > 0
+        holds[i] = article
+        within[i] = within[p] or (article and not below[i])
+        plain = plain or (article and not below[i])
+    for i in range(n - 1, 0, -1):
+        if page.parent[i] >= 0 and holds[i]:
+            holds[page.parent[i]] = True
+    best = set()
+    while top >= 0:
+        best.add(top)
+        top = page.parent[top]
+    gone = [False] * n
+    for i in range(1, n):
+        if (p := page.parent[i]) < 0:
+            continue
+        kept = (within[i] or not plain) and (i in best or 2 * own[i] > own[body] or (holds[i] and not plain))
+        gone[i] = gone[p] or (i in marked and not kept)
+    for i in range(1, n):
+        if gone[i]:
+            page.parent[i] = -2
+
+
+def _content(page: Page, prune: bool = False):
+    """Nodes whose whole subtrees are article text; with ``prune``, instead, (node of the largest density sum, characters
+    outside links of every subtree, body), or None without characters."""
     n = len(page.tag)
     chars, tags, link_chars, link_tags, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
     for i in range(1, n):
@@ -196,7 +249,7 @@ def _content(page: Page) -> set[int]:
             link_tags[p] += link_tags[i] + (page.tag[i] == "a")
     body = next((i for i in range(n) if page.tag[i] == "body" and page.parent[i] >= 0), 0)
     if not chars[0]:
-        return set()
+        return None if prune else set()
     if not chars[body]:
         body = 0
     ratio = link_chars[body] / chars[body]
@@ -222,6 +275,8 @@ def _content(page: Page) -> set[int]:
     for i in range(body + 1, n):
         inner[i] = page.parent[i] >= 0 and inner[page.parent[i]]
     top = -best[body][1]
+    if prune:
+        return top, [c - lc for c, lc in zip(chars, link_chars, strict=True)], body
     threshold, i = density[top], top
     while i != body and i > 0:
         i = page.parent[i]
@@ -243,6 +298,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
+    _prune(page)
     chosen = _content(page)
     take = [False] * len(page.tag)
     for i in range(len(take)):
@@ -251,7 +307,9 @@ def main_text(source: str | None) -> str:
     cut = 0
     for k, (node, text) in enumerate(page.runs):
         while cut < len(page.breaks) and page.breaks[cut][0] <= k:
-            if page.breaks[cut][1]:
+            if page.parent[page.breaks[cut][2]] == -2:
+                pass
+            elif page.breaks[cut][1]:
                 blocks.append([])
             else:
                 blocks[-1].append(" ")

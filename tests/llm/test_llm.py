@@ -168,6 +168,18 @@ def test_main_text():
     assert htmltext.main_text("plain") == "plain" and htmltext.main_text("<p>a<p>b") == "a\nb"
 
 
+def test_main_text_inside_marked_wrappers():
+    text = ["The first paragraph of an article that has enough words.", "A second paragraph of it, with some more words to read."]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    around = "<ul class=menu><li><a href=/>Home</a></li></ul>{}<div class=sidebar>side</div><div id=comments><p>Nice.</p></div>"
+    for name in ("content no-sidebar", "has-sidebar", "with-left-sidebar", "widget-page", "search-results", "social-article"):
+        for wrapped in (f"<div class='{name}'>{body}</div>", f"<div id='{name}'><article>{body}</article></div>", f"<main><div class='{name}'>{body}</div></main>"):
+            assert htmltext.main_text(f"<html><body>{around.format(wrapped)}</body></html>") == "\n".join(text), wrapped
+    assert htmltext.main_text(f"<html><body><form>{around.format(body)}<input name=q></form></body></html>") == "\n".join(text)
+    long = "<p>A reader's comment, and longer than the article is.</p>" * 9
+    assert htmltext.main_text(f"<body><article>{body}</article><div id=comments>{long}</div></body>") == "\n".join(text)
+
+
 def test_main_text_without_head_end_tag():
     head, text = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style><noscript><p>no script</p></noscript>", "A paragraph of the article."
     assert htmltext.main_text(f"{head}<body><p>{text}") == text
