@@ -258,6 +258,28 @@ def test_licences(spark):
     assert all(len(x.found) == n for x, n in zip(got, (2, 1, 2, 1, 0, 0), strict=True))
 
 
+def test_licences_by_their_own_text(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        'Unless required by applicable law or agreed to in writing, software\n distributed under the License is distributed on an "AS IS" BASIS': "apache-2.0",
+        "This library is free software; you can redistribute it and/or modify it as follows": "",
+        "see http://www.apache.org/licenses/LICENSE-2.0 for it": "apache-2.0",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl,gpl-2.0",
+        "The Software is provided \u201cas is\u201d, and the author disclaims all warranties with regard to this software": "isc",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa",
+        "Permission is granted to anyone, free, to use the garden": "",
+        " ".join(gate for _, gate, *_ in licences.TEXTS): None,  # every pattern is tried
+    }
+    got = [x.labels for x in licences.scan(frame(spark, list(texts))).orderBy("doc_id").collect()]
+    assert got[:-1] == list(texts.values())[:-1] and got[-1]
+    patterns = [x[-1] for x in [*licences.LICENCES, *licences.TEXTS]]
+    assert len(set(patterns)) == len(patterns) >= 170
+
+
 def test_fingerprints(spark):
     r = random.Random(4)
     texts = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 900))) for _ in range(40)] + ["", "ab", "ab"]
