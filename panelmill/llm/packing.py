@@ -221,9 +221,10 @@ def windows(lengths: list[int], capacity: int = WINDOW) -> list[list[int]]:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    cut = settle(pieces(docs, tokenizer, window), "pack-pieces")
+    # the row number, stable once written, deals equal pieces to all blocks
+    cut = settle(pieces(docs, tokenizer, window).withColumn("salt", F.monotonically_increasing_id()), "pack-pieces")
     blocks = max(1, -(-cut.count() // BLOCK))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(blocks))).drop("salt")
 
     def fill(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)

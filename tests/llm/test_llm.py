@@ -321,6 +321,13 @@ def test_pack_round_trip(spark):
     assert rows.length.sum() / 4096 / rows.sequence_id.nunique() > 0.9
 
 
+def test_equal_pieces_are_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 50)
+    docs = spark.createDataFrame([(None, "alpha beta gamma")] * 600, "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, TOKENIZER).withColumn("block", F.expr("shiftright(sequence_id, 32)")).groupBy("block").count().collect()
+    assert sum(x["count"] for x in rows) == 600 and max(x["count"] for x in rows) < 150
+
+
 def test_differencing():
     r = random.Random(7)
     sizes = [r.randint(1, 900) for _ in range(300)]
