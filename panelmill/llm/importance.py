@@ -18,6 +18,7 @@ first among equal scores; rows equal in score and id are ranked in the order rea
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,6 +42,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, BREAK), lambda w: w != "")
 
 
+def _run_from(w: Column, n: int, slot: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda i: slot(F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+
+
 def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), grams: int = GRAMS, buckets: int = BUCKETS) -> DataFrame:
     """``keep`` columns, n_words, and slots: the bucket of every feature, repeats included."""
     at = docs.select(*keep, words_of(F.col("text")).alias("_w"))
@@ -49,7 +54,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), grams: int =
     runs = [F.transform(w, slot)]
     for n in range(2, grams + 1):
         places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(places, lambda i, n=n: slot(F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))))
+        runs.append(F.transform(places, _run_from(w, n, slot)))
     return at.select(*keep, F.size(w).cast("long").alias("n_words"), (F.concat(*runs) if len(runs) > 1 else runs[0]).alias("slots"))
 
 
@@ -106,7 +111,8 @@ def bracket(scores: DataFrame, draw: int, total: int) -> tuple[int | None, int |
     return None, None, 0
 
 
-ORDER = [F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("row")]
+def _order() -> list[Column]:
+    return [F.desc("score"), F.asc_nulls_first("doc_id"), F.asc("row")]
 
 
 def draw(scores: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -119,12 +125,12 @@ def draw(scores: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
         return scores.withColumn("rank", nothing)
     low, high, above = bracket(able, wanted, total)
     inside = able.select("doc_id", "score", "row") if low is None else able.where(F.col("score").between(low, high)).select("doc_id", "score", "row")
-    last = numbered(inside, ORDER, "place").where(F.col("place") == wanted - above).first()
+    last = numbered(inside, _order(), "place").where(F.col("place") == wanted - above).first()
     id_col = F.col("doc_id")
     after = id_col.isNotNull() if last["doc_id"] is None else F.coalesce(id_col > F.lit(last["doc_id"]), F.lit(False))
     out = (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (after | (id_col.eqNullSafe(F.lit(last["doc_id"])) & (F.col("row") > last["row"]))))
     out = out | (F.col("n_words") < least_words)
-    return numbered(scores.where(~out), ORDER, "rank").unionByName(scores.where(out).withColumn("rank", nothing))
+    return numbered(scores.where(~out), _order(), "rank").unionByName(scores.where(out).withColumn("rank", nothing))
 
 
 def resample(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int = BUCKETS, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
