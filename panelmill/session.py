@@ -55,6 +55,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the checkpoint folder; what is written there is removed when the application ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a wide derived table under the checkpoint folder and read it back; removed when the application ends.
 
@@ -62,12 +72,8 @@ def written(df: DataFrame) -> DataFrame:
     lineage, and each later filter walks them), nor its partitions.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_sweep)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
