@@ -13,12 +13,13 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 500_000  # characters cut at a time
-KNOWN_WORDS = 400_000  # words a worker remembers, and those of one more call
+SEGMENT = 1_000_000  # characters cut at a time
+KNOWN_WORDS = 1_000_000  # words a worker remembers, and those of one more call
 LETTER, NUMBER, BLANK, SIGN, BEYOND = range(5)
 SAFE = re.compile("[A-Za-z](?=[ \\n])")  # no word goes on behind such a letter
 # White space of Unicode below U+2070, and the blocks whose characters have had one kind in all its versions
@@ -35,6 +36,9 @@ def _kinds() -> np.ndarray:
 
 
 KIND = _kinds()
+# how a byte-level model writes bytes: printable ones as they are, the others from U+0100 on
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
@@ -98,9 +102,11 @@ class ByteWords:
         if new:
             for w in new:
                 self.known[w] = len(self.known)
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            sizes = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, *[np.array(e.ids, self.dtype) for e in got]])
+            # the model alone: what stands before it in the library, the cut into words, is done
+            merge = self.tokenizer.model.tokenize
+            got = [[t.id for t in merge(w.encode().decode("latin-1").translate(SHOWN))] for w in new]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.dtype, int(sizes.sum()))])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
@@ -143,7 +149,7 @@ class ByteWords:
         np.cumsum(width, out=upto[1:])
         words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(upto[at], upto[-1])), pa.py_buffer(data.encode()))
         folded = words.dictionary_encode()
-        number = self._numbers(folded.dictionary.to_pylist())[folded.indices.to_numpy()]
+        number = self._numbers(folded.dictionary.to_numpy(zero_copy_only=False).tolist())[folded.indices.to_numpy()]
         begin, count = self.ends[number], self.ends[number + 1] - self.ends[number]
         ends = np.cumsum(count)
         ids = self.ids[np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]))]
