@@ -10,6 +10,9 @@ members differ there is a maximal repeat, and its occurrences are all members, n
 
 Groups of over GROUP surroundings do not go to one task: their windows are counted by hash, spread over the cluster.
 
+The same pass can tell two lengths of repeats apart: anchors are then set for the shorter one (``passage``), which any longer
+repeat holds too, and each interval is measured against both.
+
 Defined cases: a null text is empty; texts under ``least`` bytes have no repeats; equal texts are told by 128 bits of
 hash, and a text with a copy is repeated whole; rows with equal or null ids are rows like others; an empty table gives no
 rows; other columns are ignored.
@@ -29,6 +32,7 @@ from pyspark.sql import Window as W
 from .common import ddl, mix64, settle, slices, text_bytes
 
 LEAST = 400
+PASSAGE = 240  # bytes; prose of over 50 words is longer
 SEGMENT = 1 << 18  # bytes of a text hashed at a time
 GROUP = 100_000  # surroundings of one anchor sorted in one task
 SEEN = 1_000_000  # texts a task remembers
@@ -80,15 +84,16 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors_of(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash of GRAM bytes, hash of the surroundings) of the anchors of one text."""
-    k, n = _gram(least), len(data)
-    width, reach = least - k + 1, least - k
+def anchors_of(data: np.ndarray, least: int, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash of GRAM bytes, hash of the surroundings) of the anchors of one text: the surroundings are what a string
+    of ``least`` bytes around the anchor can reach."""
+    k, n = _gram(passage), len(data)
+    width, reach = passage - k + 1, least - k
     where, grams, around = [], [], []
     last = -1
-    for a in range(0, n - least + 1, SEGMENT):
+    for a in range(0, n - passage + 1, SEGMENT):
         # windows that start in [a, b); bytes of their anchors' surroundings
-        b = min(a + SEGMENT, n - least + 1)
+        b = min(a + SEGMENT, n - passage + 1)
         lo, hi = max(0, a - reach), min(n, b + 2 * least)
         part = data[lo:hi]
         rolling = Rolling(part, 0)
@@ -119,8 +124,8 @@ def keyed(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return docs.select(*keep, text.alias("text"), F.xxhash64(text).alias("d"), F.xxhash64(F.lit(7), text).alias("e"))
 
 
-def _anchors(texts: DataFrame, least: int) -> DataFrame:
-    """h, ctx, d, e, pos of every anchor. Anchors with equal surroundings in one batch are folded before any shuffle: each
+def _anchors(texts: DataFrame, least: int, passage: int) -> DataFrame:
+    """h, ctx, d, e, pos of every anchor of a string of ``passage`` bytes. Anchors with equal surroundings in one batch are folded before any shuffle: each
     is marked ``twice``, and all but one of them ``spare``, as what they repeat is known already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +137,12 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
             size = 0
             for i in range(len(d)):
                 key = (int(d[i]), int(e[i]))
-                if ends[i + 1] - ends[i] < least or key in seen:  # a copy in the same task has the same anchors
+                if ends[i + 1] - ends[i] < passage or key in seen:  # a copy in the same task has the same anchors
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                pos, h, ctx = anchors_of(data[ends[i] : ends[i + 1]], least)
+                pos, h, ctx = anchors_of(data[ends[i] : ends[i + 1]], least, passage)
                 out.append((h.view(np.int64), ctx.view(np.int64), np.full(len(pos), d[i]), np.full(len(pos), e[i]), pos.astype(np.int32)))
                 size += len(pos)
                 if size > 100_000:
@@ -155,12 +160,12 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
         twice[:-1] |= again[1:]
         return pa.RecordBatch.from_arrays([pa.array(x[by]) for x in (h, ctx, d, e, pos)] + [pa.array(twice), pa.array(again)], names=["h", "ctx", "d", "e", "pos", "twice", "spare"])
 
-    return texts.where(F.octet_length("text") >= least).select("d", "e", "text").mapInArrow(run, "h long, ctx long, d long, e long, pos int, twice boolean, spare boolean")
+    return texts.where(F.octet_length("text") >= passage).select("d", "e", "text").mapInArrow(run, "h long, ctx long, d long, e long, pos int, twice boolean, spare boolean")
 
 
-def _surroundings(texts: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+def _surroundings(texts: DataFrame, asked: DataFrame, least: int, passage: int) -> DataFrame:
     """(h, ctx, left, right) bytes around one occurrence of every asked anchor; left is reversed."""
-    reach = least - _gram(least)
+    reach = least - _gram(passage)
     wanted = asked.groupBy("d", "e").agg(F.collect_list(F.struct("h", "ctx", "pos")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,16 +228,41 @@ def prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int
 def maximal_repeats(left: list[bytes], right: list[bytes], least: int, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """Maximal repeat groups around one anchor: (bytes to the right, number of members, [(member, bytes to the left)]), the
     members being all whose left side goes on equally with another's far enough to make ``least`` bytes."""
-    order = sorted(range(len(right)), key=right.__getitem__)
-    lcp = [_common(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
+    for upto, size, members, far in _repeats(left, right, least, reach):
+        yield upto, size, list(zip(members.tolist(), far.tolist(), strict=True))
+
+
+def _repeats(left: list[bytes], right: list[bytes], least: int, reach: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same with the members and their bytes to the left as arrays.
+
+    Left sides are sorted once. In an interval its members are put in order of their left rank, and what neighbours share is
+    the least of the shared lengths between their ranks, looked up in a table of minima over spans of 2**i ranks.
+    """
+    n = len(right)
+    order = np.array(sorted(range(n), key=right.__getitem__), np.int64)
+    lcp = [_common(right[a], right[b]) for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
+    by_left = sorted(range(n), key=left.__getitem__)
+    minima = [np.array([_common(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False)], np.int64)]
+    while len(minima[-1]) > 1 << (len(minima) - 1):
+        span = 1 << (len(minima) - 1)
+        minima.append(np.minimum(minima[-1][:-span], minima[-1][span:]))
+    table = np.zeros((len(minima), n), np.int64)
+    for i, row in enumerate(minima):
+        table[i, : len(row)] = row
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    of_rank = np.array(by_left, np.int64)
     for first, last, upto in prefix_intervals(lcp, least - reach):
-        members = sorted((order[i] for i in range(first, last + 1)), key=left.__getitem__)
-        near = [_common(left[a], left[b]) for a, b in zip(members, members[1:], strict=False)]
+        at = np.sort(rank[order[first : last + 1]])
+        level = np.frexp((at[1:] - at[:-1]).astype(np.float64))[1] - 1
+        near = np.minimum(table[level, at[:-1]], table[level, at[1:] - (1 << level)])
         # left-diverse or not is what these lengths say: an end of text or another byte stops each of them
-        far = [max(near[i - 1] if i else 0, near[i] if i < len(near) else 0) for i in range(len(members))]
-        found = [(m, x) for m, x in zip(members, far, strict=True) if x + upto >= least]
-        if found:
-            yield upto, len(members), found
+        far = np.zeros(len(at), np.int64)
+        far[:-1] = near
+        far[1:] = np.maximum(far[1:], near)
+        found = far + upto >= least
+        if found.any():
+            yield upto, len(at), of_rank[at[found]], far[found]
 
 
 def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -245,25 +275,33 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _sorted_groups(around: DataFrame, least: int) -> DataFrame:
-    """(h, ctx, a, b): bytes [pos + a, pos + b) of an anchor with these surroundings are repeated."""
-    reach = least - _gram(least)
+def _sorted_groups(around: DataFrame, least: int, passage: int) -> DataFrame:
+    """(h, ctx, a, b, long): bytes [pos + a, pos + b) of an anchor with these surroundings are in repeats of ``least`` bytes (long)
+    or of ``passage`` bytes."""
+    reach = passage - _gram(passage)
 
-    def solve(ctx: list[int], left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    def solve(ctx: list[int], left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, int, int, bool]]:
         one = {c: i for i, c in enumerate(ctx)}  # a surrounding that came twice counts once
         if len(one) < 2:
             return
         keep = list(one.values())
         ctx, left, right = [ctx[i] for i in keep], [left[i] for i in keep], [right[i] for i in keep]
-        # every repeat holds the anchor, so what they cover together is one range
-        back, ahead = [-1] * len(ctx), [0] * len(ctx)
-        for upto, _, members in maximal_repeats(left, right, least, reach):
-            for m, far in members:
-                back[m] = max(back[m], far)
-                ahead[m] = max(ahead[m], upto)
-        for m, c in enumerate(ctx):
-            if back[m] >= 0:
-                yield c, -back[m], ahead[m]
+        if len(ctx) == 2:  # one interval
+            far, upto = _common(*left), _common(*right)
+            if upto >= passage - reach and far + upto >= passage:
+                yield from ((c, -far, upto, far + upto >= least) for c in ctx)
+            return
+        # every repeat holds the anchor, so what those of one length cover together is one range
+        back, ahead = np.full((2, len(ctx)), -1, np.int64), np.zeros((2, len(ctx)), np.int64)
+        for upto, _, members, far in _repeats(left, right, passage, reach):
+            for long, size in enumerate((passage, least)):
+                hit = far + upto >= size
+                back[long, members[hit]] = np.maximum(back[long, members[hit]], far[hit])
+                ahead[long, members[hit]] = np.maximum(ahead[long, members[hit]], upto)
+        more = (back[0] != back[1]) | (ahead[0] != ahead[1])
+        for long, which in ((1, back[1] >= 0), (0, more & (back[0] >= 0))):
+            for m in np.flatnonzero(which).tolist():
+                yield ctx[m], -int(back[long, m]), int(ahead[long, m]), bool(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [], [])
@@ -282,15 +320,19 @@ def _sorted_groups(around: DataFrame, least: int) -> DataFrame:
             yield _rows(out)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "ctx", "a", "b"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "ctx", "a", "b", "long"])
+
+    return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, ctx long, a int, b int, long boolean")
+
 
-    return around.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, ctx long, a int, b int")
+def _counted_groups(around: DataFrame, least: int, passage: int) -> DataFrame:
+    """The same for anchors with very many surroundings: each window is counted by 128 bits of hash."""
+    found = _counted(around, least, least - _gram(passage)).withColumn("long", F.lit(True))
+    return found if passage == least else found.unionByName(_counted(around, passage, passage - _gram(passage)).withColumn("long", F.lit(False)))
 
 
-def _counted_groups(around: DataFrame, least: int) -> DataFrame:
-    """The same for anchors with very many surroundings: each window of ``least`` bytes is counted by 128 bits of hash."""
-    reach = least - _gram(least)
+def _counted(around: DataFrame, least: int, reach: int) -> DataFrame:
     back = F.least(F.lit(reach), F.length("left"))
     steps = F.filter(F.sequence(F.lit(0), back), lambda x: x + F.length("right") >= least)
     rows = around.dropDuplicates(["h", "ctx"]).select("h", "ctx", "left", "right", F.explode(steps).alias("l"))
@@ -301,15 +343,17 @@ def _counted_groups(around: DataFrame, least: int) -> DataFrame:
     return hit.select("h", "ctx", (-F.col("l")).cast("int").alias("a"), (F.lit(least) - F.col("l")).cast("int").alias("b"))
 
 
-def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(d, e, spans) of every text with a repeat: (start, stop) byte ranges that cover what is repeated; they may overlap and
-    pass the ends of the text (see merged()).
+def repeated_spans(texts: DataFrame, least: int = LEAST, passage: int | None = None) -> DataFrame:
+    """(d, e, spans) of every text with a repeat: (start, stop, long) byte ranges that cover what is repeated in strings of
+    ``least`` bytes (long) or of ``passage`` bytes (all; if None, as ``least``); they may overlap and pass the ends of the text (see
+    merged()).
 
     ``texts``: rows of keyed(). Copies of a text count as one here; a text that has one is repeated whole, and its
     spans say so.
     """
-    reach = least - _gram(least)
-    anchors = settle(_anchors(texts, least), "repeat-anchors")
+    passage = passage or least
+    reach = least - _gram(passage)
+    anchors = settle(_anchors(texts, least, passage), "repeat-anchors")
     group, same, times = W.partitionBy("h"), W.partitionBy("h", "ctx"), F.when(F.col("twice"), 2).otherwise(1)
     hits = (
         anchors.where("not spare")
@@ -328,28 +372,32 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     hits = settle(hits, "repeat-hits")
     asked = hits.where("differ and nth = 1").select("h", "ctx", "d", "e", "pos", F.count(F.lit(1)).over(group).alias("size"))
     asked = settle(asked, "repeat-asked")
-    found = _sorted_groups(_surroundings(texts, asked.where(F.col("size") <= GROUP), least), least)
+    found = _sorted_groups(_surroundings(texts, asked.where(F.col("size") <= GROUP), least, passage), least, passage)
     if asked.where(F.col("size") > GROUP).limit(1).count():
-        found = found.unionByName(_counted_groups(_surroundings(texts, asked.where(F.col("size") > GROUP), least), least))
+        found = found.unionByName(_counted_groups(_surroundings(texts, asked.where(F.col("size") > GROUP), least, passage), least, passage))
     found = settle(found, "repeat-found")
     # surroundings that occur twice are covered as far as they go; the cut at a text's end is made with its length at hand
     known = hits.where("n_same > 1").select("d", "e", "pos").unionByName(anchors.where("spare").select("d", "e", "pos"))
-    whole = known.select("d", "e", (F.col("pos") - reach).alias("start"), (F.col("pos") + least).alias("stop"))
-    partly = hits.where("n_same = 1 and differ").join(found, ["h", "ctx"]).select("d", "e", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"))
-    copies = texts.where(F.octet_length("text") >= least).groupBy("d", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = copies.select("d", "e", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"))
-    spans = whole.unionByName(partly).unionByName(copies).groupBy("d", "e").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    whole = known.select("d", "e", (F.col("pos") - reach).alias("start"), (F.col("pos") + least).alias("stop"), F.lit(True).alias("long"))
+    partly = hits.where("n_same = 1 and differ").join(found, ["h", "ctx"]).select("d", "e", (F.col("pos") + F.col("a")).alias("start"), (F.col("pos") + F.col("b")).alias("stop"), "long")
+    copies = texts.where(F.octet_length("text") >= passage).groupBy("d", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = copies.select("d", "e", F.lit(0).alias("start"), F.lit(2**31 - 1).alias("stop"), F.lit(True).alias("long"))
+    spans = whole.unionByName(partly).unionByName(copies).groupBy("d", "e").agg(F.collect_list(F.struct("start", "stop", "long")).alias("spans"))
     return spans
 
 
-def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
-    return _covered([(max(0, s["start"]), min(size, s["stop"])) for s in spans or ()])
+def merged(spans: list[dict] | None, size: int, least: int = 0) -> list[tuple[int, int]]:
+    """Ranges that repeats of ``least`` bytes cover (the long spans; none in a shorter text), or if it is 0 all spans."""
+    if size < least:
+        return []
+    return _covered([(max(0, s["start"]), min(size, s["stop"])) for s in spans or () if s["long"] or not least])
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def deduplicate(docs: DataFrame, least: int = LEAST, passage: int = PASSAGE) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage: bytes in strings of ``passage`` bytes that also
+    start elsewhere, which stay where they are in no longer repeat."""
     texts = keyed(docs)
-    joined = texts.join(repeated_spans(texts, least), ["d", "e"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(repeated_spans(texts, least, passage), ["d", "e"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -357,19 +405,21 @@ def deduplicate(docs: DataFrame, least: int = LEAST) -> DataFrame:
             out = []
             for i, spans in enumerate(batch.column(2)):
                 text = data[ends[i] : ends[i + 1]]
-                gone = merged(spans.as_py() if spans.is_valid else None, len(text))
+                found = spans.as_py() if spans.is_valid else None
+                gone = merged(found, len(text), least)
                 sha, at = hashlib.sha256(), 0
                 for a, b in gone:
                     sha.update(text[at:a].tobytes())
                     at = b
                 sha.update(text[at:].tobytes())
-                out.append((len(text), sum(b - a for a, b in gone), len(gone), sha.hexdigest()))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(text), sum(b - a for a, b in gone), len(gone), sha.hexdigest(), sum(b - a for a, b in merged(found, len(text)))))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
