@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +22,15 @@ def _neighbour_equal(rows: Column, same) -> Column:
     return F.filter(rows, lambda x, i: F.coalesce(same(x, F.get(rows, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(rows, i + 1)), F.lit(False)))
 
 
-def with_text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(pattern)
+
+
+def with_text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), marks: bool = False) -> DataFrame:
     """``keep`` columns and, for the whole text (null: empty): n_chars, n_words, word_chars, n_symbols, n_pipes, n_capitals,
     n_lines (with a word), n_dup_lines (equal to an earlier line), n_distinct (words), n_repeat_words (words inside
-    three-word windows that occur twice or more in the text).
+    three-word windows that occur twice or more in the text), and with ``marks`` n_marked (words that hold a symbol) and
+    n_lettered (words that hold a letter).
 
     Repeated windows: 34 bits of each window's hash are sorted together with its position; windows that share those bits
     are compared by their words, so equal bits alone count for nothing.
@@ -44,8 +51,10 @@ def with_text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     )
     w = F.col("_w")
     packed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    kinds = {"n_marked": f"[{SYMBOLS}]", "n_lettered": r"\p{L}"} if marks else {}
     at = at.select(
         "*",
+        *[F.size(F.filter("_w", _matches(kind))).cast("long").alias(c) for c, kind in kinds.items()],
         F.size("_w").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),

@@ -5,7 +5,9 @@ rule votes which way on good and on bad documents, and how common good ones are;
 replaces the all-rules-must-pass filter. Spark counts the patterns (3 to the number of rules at most); the driver iterates
 over that bounded table; the posterior is a sum of log odds by vote, a column expression again.
 
-A kind of junk that shows in one rule only, and rarely, may be taken for noise of that rule.
+Rules are told apart from noise by voting together, so a kind of junk should show in two rules at least: symbols are counted
+by the word they come with, by the words that hold one, and by the words without a letter that they make. A kind that shows in
+one rule only, and rarely, may be taken for noise of that rule.
 
 Defined cases: a null or empty text has 0 words and fails the base rule; a rule without evidence (no lines, no words)
 abstains; an empty table gives no rows; other columns are ignored.
@@ -38,6 +40,8 @@ def rules() -> dict[str, Column]:
         "length": _vote(words < 50, words >= 100),
         "word_length": _vote(some & ((chars < 3 * words) | (chars > 12 * words)), some & (chars >= 4 * words) & (chars <= 9 * words)),
         "symbols": _vote(some & (10 * F.col("n_symbols") > words), some & (100 * F.col("n_symbols") <= words)),
+        "marked": _vote(some & (10 * F.col("n_marked") > 3 * words), some & (50 * F.col("n_marked") <= words)),
+        "lettered": _vote(some & (10 * F.col("n_lettered") < 8 * words), some & (10 * F.col("n_lettered") >= 9 * words)),
         "capitals": _vote(some & (10 * F.col("n_capitals") > 4 * chars), some & (10 * F.col("n_capitals") <= chars)),
         "dup_lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), (F.col("n_lines") > 2) & (F.col("n_dup_lines") == 0)),
         "repeats": _vote(100 * F.col("n_repeat_words") > 30 * words, some & (100 * F.col("n_repeat_words") <= 10 * words)),
@@ -74,7 +78,7 @@ def _odds(prior: float, table: list, votes: tuple[int, ...]) -> float:
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the counts of with_text_stats, votes, base_failed, p_good, kept."""
-    stats = settle(with_text_stats(docs), "quality-stats")
+    stats = settle(with_text_stats(docs, marks=True), "quality-stats")
     named = rules()
     votes = stats.select("*", *[v.alias(f"vote_{n}") for n, v in named.items()])
     cols = [f"vote_{n}" for n in named]
