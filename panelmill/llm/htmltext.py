@@ -12,6 +12,7 @@ tags, broken character references and nesting of any depth; a page without artic
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -31,6 +32,7 @@ BLOCK = frozenset(
     "tr ul caption".split()
 )
 CELL = frozenset("td th br img".split())
+WALLS = (BLOCK - {"p"}) | {"td", "th", "button"}
 CLOSES_P = BLOCK - frozenset("option optgroup tbody thead tfoot tr caption legend body html".split())
 NOISE_TAGS = frozenset("head script style noscript template nav aside footer button select textarea input iframe svg canvas object embed dialog menu".split())
 NOISE_WORDS = frozenset(
@@ -82,6 +84,8 @@ class Page:
         self.runs: list[tuple[int, str]] = []  # text by node
         self.breaks: list[tuple[int, int, int]] = []  # (position in runs, 1 block or 0 space, node it lies in)
         stack, skip, inside = [0], 0, 0  # skip: depth in the stack of the pruned element we are in
+        self.open: dict[str, list[int]] = {}  # depths of the open elements of a name, all but the first of the stack
+        self.walls: list[int] = []  # depths of those that an open paragraph ends at
         at, size = 0, len(source)
         while at < size:
             m = MARKUP.search(source, at)
@@ -99,29 +103,25 @@ class Page:
             if m[1] or m[4]:
                 if tag in ("p", "br") and not skip:
                     self._cut(tag, stack[-1])
-                named = [self.tag[i] for i in stack] if len(stack) < 64 else None
-                if named is not None and tag not in named:
-                    continue
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        for i in stack[depth:]:
-                            inside -= self.tag[i] in ("article", "main")
-                            if not skip or skip > depth:
-                                self._cut(self.tag[i], stack[depth - 1])
-                        del stack[depth:]
-                        if skip and skip >= len(stack):
-                            skip = 0 if skip >= len(stack) and depth <= skip else skip
-                        break
+                depth = self._last(tag)
+                if depth:
+                    for i in stack[depth:]:
+                        inside -= self.tag[i] in ("article", "main")
+                        if not skip or skip > depth:
+                            self._cut(self.tag[i], stack[depth - 1])
+                    self._close(stack, depth)
+                    if skip >= depth:
+                        skip = 0
                 continue
-            if tag in ("html", "body") and any(self.tag[i] == tag for i in stack[1:]):
+            if tag in ("html", "body") and self._last(tag):
                 continue
             if skip and (tag in ("body", "frameset") or (tag not in IN_HEAD and self.tag[stack[-1]] == "head")):
                 skip = self._end_head(stack, skip)
-            depth = self._implied(tag, stack)
+            depth = self._implied(tag)
             if depth is not None:
                 for i in stack[depth:]:
                     inside -= self.tag[i] in ("article", "main")
-                del stack[depth:]
+                self._close(stack, depth)
                 if skip and depth <= skip:
                     skip = 0
             attrs = m[3] or m[6] or ""
@@ -146,18 +146,40 @@ class Page:
             if noise or skip:
                 self.tag.append(tag)
                 self.parent.append(-2)  # pruned: kept on the stack only
-                stack.append(len(self.tag) - 1)
+                self._enter(stack)
                 skip = skip or len(stack) - 1
             else:
-                stack.append(len(self.tag) - 1)
+                self._enter(stack)
                 inside += tag in ("article", "main")
 
+    def _enter(self, stack: list[int]) -> None:
+        """Puts the newest node on the stack."""
+        tag = self.tag[-1]
+        self.open.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            self.walls.append(len(stack))
+        stack.append(len(self.tag) - 1)
+
+    def _close(self, stack: list[int], depth: int) -> None:
+        """Takes all from a depth on off the stack."""
+        for i in stack[depth:]:
+            self.open[self.tag[i]].pop()
+        while self.walls and self.walls[-1] >= depth:
+            self.walls.pop()
+        del stack[depth:]
+
+    def _last(self, tag: str) -> int:
+        """Depth of the innermost open element of a name, or 0."""
+        found = self.open.get(tag)
+        return found[-1] if found else 0
+
     def _end_head(self, stack: list[int], skip: int) -> int:
         """Drops an open head from the stack, as its end tag may be left out; the depth of pruning after it."""
-        depth = next((k for k, i in enumerate(stack) if self.tag[i] == "head"), None)
-        if depth is None:
+        found = self.open.get("head")
+        if not found:
             return skip
-        del stack[depth:]
+        depth = found[0]
+        self._close(stack, depth)
         return 0 if depth <= skip else skip
 
     def _cut(self, tag: str, node: int) -> None:
@@ -166,25 +188,18 @@ class Page:
         elif tag in CELL:
             self.breaks.append((len(self.runs), 0, node))
 
-    def _implied(self, tag: str, stack: list[int]) -> int | None:
+    def _implied(self, tag: str) -> int | None:
         """Depth from which a start tag ends open elements (an open paragraph, a list item before the next one)."""
         found = None
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[depth]]
-                if name == "p":
-                    found = depth
-                    break
-                if name in BLOCK or name in ("td", "th", "button"):
-                    break
+            depth = self._last("p")
+            if depth and depth > (self.walls[-1] if self.walls else 0):
+                found = depth
         if tag in SAME:
             ends, bounds = SAME[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                name = self.tag[stack[depth]]
-                if name in bounds:
-                    break
-                if name in ends:
-                    found = depth
+            wall = max(map(self._last, bounds))
+            outermost = [depths[k] for name in ends if (depths := self.open.get(name)) and (k := bisect.bisect_right(depths, wall)) < len(depths)]
+            found = min(outermost, default=found)
         return found
 
 
