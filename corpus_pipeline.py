@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that occur more than once."""
-    return repeats.without_repeats(docs)
+    """Documents without the strings of repeats.PASSAGE bytes (prose of some 45 words) that occur more than once."""
+    return repeats.without_repeats(docs, repeats.PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

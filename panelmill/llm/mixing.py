@@ -5,8 +5,8 @@ documents whose hash lies under a threshold. The threshold is found from histogr
 the bucket in which the running sum passes the budget is cut into finer buckets, again and again, until it holds one hash
 value. No document is sorted, and the sets of two budgets are nested.
 
-Defined cases: a null text has size 0; null is a source of its own and the last one; rows with equal doc_id and rows
-without one fall under the threshold together; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text has size 0; null is a source of its own and the last one; rows equal in doc_id (or without one) and
+in text fall under the threshold together, other rows of one doc_id do not; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ CAP = 3
 
 
 def doc_hash() -> Column:
-    """60 bits of md5 over the id as text; a missing id counts as empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+    """60 bits of md5 over the id as text (missing: empty) and the md5 of the text, so that rows of one id fall apart."""
+    name, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    both = F.concat(name, F.lit("/"), F.md5(text.cast("binary")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:

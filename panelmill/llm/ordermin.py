@@ -13,13 +13,15 @@ document goes by ascending doc_id, nulls first, equal ids by text; other columns
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import hinted, mix64, settle, slices
 
@@ -86,12 +88,22 @@ def as_text(sig: np.ndarray) -> str:
     return sig.astype(">u2").tobytes().hex()
 
 
+def _as_number(rows: DataFrame) -> Column:
+    """The id as a number in the same order, or nearly: for ids as text, the six bytes behind what all of them begin with."""
+    if not isinstance(rows.schema["doc_id"].dataType, StringType):
+        return F.col("doc_id").cast("double")
+    low, high = (x.encode() if x is not None else b"" for x in rows.agg(F.min("doc_id"), F.max("doc_id")).first())
+    same = len(os.path.commonprefix([low, high]))
+    digits = F.rpad(F.hex(F.substring(F.encode("doc_id", "utf-8"), same + 1, 6)), 12, "0")
+    return F.when(F.col("doc_id").isNotNull(), F.conv(digits, 16, 10).cast("double"))
+
+
 def in_ranges(docs: DataFrame) -> DataFrame:
     """(rng, ahead, doc_id, text) dealt by ranges of doc_id and sorted; each range ends with a copy of the row that comes
     next after it (ahead = 1), the last range with a copy of the first row. Ranges follow approximate quantiles of the
     ids, which only shape the work: any bounds give the same pairs."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+    key = F.coalesce(_as_number(rows), F.lit(float("-inf")))
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, n // ROWS_PER_RANGE))
     inner: list[float] = []
