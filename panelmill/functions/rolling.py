@@ -113,3 +113,41 @@ def rolling_moments(x: str | Column, axis: Axis, n: int, mean: str, std: str, ta
     mu = F.col(f"_t_mo{tag}_m")
     squares = fold(lambda acc, p: acc + F.greatest(p["k"] - 1, F.lit(0.0)) * p["v"] + p["k"] * (p["a"] - mu) * (p["a"] - mu))
     return [first, gather, middle, {mean: F.when(count == n, mu), std: F.when(count == n, F.sqrt(squares / (count - 1)))}]
+
+
+def rolling_correlation(a: str | Column, b: str | Column, axis: Axis, n: int, name: str, need: int | None = None, tag: str = "") -> list[Wave]:
+    """Pearson correlation over the last n rows from short pieces, as waves; NULL with fewer than ``need`` complete pairs (default
+    n) or a constant side.
+
+    A piece is kept as the count of its pairs, both means, both sums of squared deviations and of cross products, and
+    the ranges. Pieces are merged by Chan's rule, as deviations from the common mean, so that no large sums are subtracted.
+    """
+    a, b, need = col(a), col(b), n if need is None else need
+    pair = a.isNotNull() & b.isNotNull()
+    x, y = F.when(pair, a), F.when(pair, b)
+    m = _parts(n) or n
+    w = axis.last(m)
+    piece = F.struct(
+        F.count(x).over(w).cast("double").alias("k"), F.avg(x).over(w).alias("mx"), F.avg(y).over(w).alias("my"),
+        F.var_pop(x).over(w).alias("vx"), F.var_pop(y).over(w).alias("vy"), F.covar_pop(x, y).over(w).alias("c"),
+        F.min(x).over(w).alias("lx"), F.max(x).over(w).alias("hx"), F.min(y).over(w).alias("ly"), F.max(y).over(w).alias("hy"),
+    )
+    p, got, mean, out = (f"_t_rc{tag}_{k}" for k in ("p", "all", "mean", "sums"))
+    first: Wave = {p: piece}
+    gather: Wave = {got: F.filter(F.array(F.col(p), *[axis.lag(p, j) for j in range(m, n, m)]), lambda e: e["k"] > 0)}
+    fold = lambda e: F.aggregate(got, F.lit(0.0), lambda acc, v: acc + e(v))
+    k = fold(lambda v: v["k"])
+    means: Wave = {mean: F.struct(k.alias("k"), div(fold(lambda v: v["k"] * v["mx"]), k).alias("x"), div(fold(lambda v: v["k"] * v["my"]), k).alias("y"))}
+    mu = F.col(mean)
+    sums: Wave = {
+        out: F.struct(
+            fold(lambda v: v["k"] * (v["vx"] + (v["mx"] - mu["x"]) * (v["mx"] - mu["x"]))).alias("xx"),
+            fold(lambda v: v["k"] * (v["vy"] + (v["my"] - mu["y"]) * (v["my"] - mu["y"]))).alias("yy"),
+            fold(lambda v: v["k"] * (v["c"] + (v["mx"] - mu["x"]) * (v["my"] - mu["y"]))).alias("xy"),
+        )
+    }
+    low = lambda f: F.array_min(F.transform(got, lambda v: v[f]))
+    high = lambda f: F.array_max(F.transform(got, lambda v: v[f]))
+    flat = (low("lx") == high("hx")) | (low("ly") == high("hy"))
+    s = F.col(out)
+    return [first, gather, means, sums, {name: F.when((mu["k"] >= need) & ~flat, F.try_divide(s["xy"], F.sqrt(s["xx"]) * F.sqrt(s["yy"])))}]

@@ -6,13 +6,11 @@ import itertools
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.axis import DAILY, Axis
-from ..functions.exprs import sign
+from ..functions.exprs import sign, total
 
 C = F.col
 
@@ -141,7 +139,7 @@ def _betacf(a: float, b: float, x: float) -> float:
 
 
 def t_two_sided(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t."""
+    """Two-sided p-value of Student's t, of plain numbers; ``two_sided_p`` is the column."""
     x = dof / (dof + t * t)
     a, b = dof / 2, 0.5
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
@@ -150,9 +148,39 @@ def t_two_sided(t: float, dof: float) -> float:
     return front * _betacf(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _betacf(b, a, 1 - x) / b
 
 
-@F.pandas_udf(T.DoubleType())
-def _p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(n) or n < 1 else t_two_sided(float(x), float(n)) for x, n in zip(t, dof)], dtype="float64")
+def log_gamma(z: Column) -> Column:
+    """ln Gamma(z) for z > 0: eight steps up, then Stirling's series."""
+    up = z + 8
+    series = 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5) - 1 / (1680 * up**7) + 1 / (1188 * up**9)
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + series - total([F.log(z + i) for i in range(8)])
+
+
+def _fraction(a: Column, b: Column, x: Column, steps: int) -> Column:
+    """Continued fraction of the incomplete beta function, folded from its far end inwards."""
+
+    def even(m: Column) -> Column:
+        return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+
+    def odd(m: Column) -> Column:
+        return -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+
+    # 1 + d1 / (1 + d2 / (1 + ...)) with d1 = odd(0), d2 = even(1), d3 = odd(1) ...
+    inner = F.aggregate(F.sequence(F.lit(steps), F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, m: 1 + even(m.cast("double")) / (1 + odd(m.cast("double")) / acc))
+    return 1 / (1 + odd(F.lit(0.0)) / inner)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 400) -> Column:
+    """Regularised incomplete beta function I_x(a, b) as a column; the side on which the fraction converges fast is taken."""
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log1p(-x))
+    near = front / a * _fraction(a, b, x, steps)
+    far = 1 - front / b * _fraction(b, a, 1 - x, steps)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+
+
+def two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t; NULL without a statistic or with fewer than one degree of freedom."""
+    n = dof.cast("double")
+    return F.when(t.isNotNull() & (n >= 1), incomplete_beta(n / 2, F.lit(0.5), n / (n + t * t)))
 
 
 def paired_t(
@@ -191,7 +219,7 @@ def paired_t(
         for i, (a, b) in enumerate(pairs)
     ]
     out = agg.select(*axis.key, F.inline(F.array(*structs)))
-    out = out.withColumn("p_value", _p_value("t_statistic", (C("n") - 1).cast("double")))
+    out = out.withColumn("p_value", two_sided_p(C("t_statistic"), C("n") - 1))
     return out.withColumn("significant", F.coalesce(C("p_value") < 0.05, F.lit(False)))
 
 

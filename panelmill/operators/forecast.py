@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import smoothing
 from ..functions.axis import DAILY, Axis
 from ..functions.exprs import div
 from . import calendar as cal
@@ -179,12 +180,11 @@ def _ensemble(y: np.ndarray, h: int, sp: int) -> tuple[np.ndarray, np.ndarray]:
     return np.mean([p for p, _ in parts], axis=0), np.mean([e[:, e.shape[1] - m :] for _, e in parts], axis=0)
 
 
-FITTED_AT_ONCE = 100_000  # values of overlapping windows; errors are kept for each of up to 30 parameter sets
 MODELS = {"exp_smoothing": _holt, "theta": _theta, "naive": _naive, "ensemble": _ensemble}
 
 
 def fit_forecast(y: np.ndarray, model: str, h: int, sp: int = 1, log: bool = False, coverage: float = 0.9) -> pd.DataFrame:
-    """h-step forecast with an interval from the one-step errors."""
+    """h-step forecast of one series at hand, with an interval from the one-step errors; tables go through ``forecast``."""
     shift = 0.0
     if log:
         shift = abs(y.min()) + 1e-8 if y.min() <= 0 else 0.0
@@ -198,6 +198,12 @@ def fit_forecast(y: np.ndarray, model: str, h: int, sp: int = 1, log: bool = Fal
     return pd.DataFrame({"step": np.arange(1, h + 1, dtype="int32"), "predicted": cols[0], "lower": cols[1], "upper": cols[2]})
 
 
+def _as_arrays(df: DataFrame, axis: Axis, value: str) -> DataFrame:
+    """One row per series: its values in time order. For series bounded by the calendar."""
+    rows = df.select(*axis.key, F.struct(C(axis.ts).alias("t"), C(value).cast("double").alias("v")).alias("_r"))
+    return rows.groupBy(*axis.key).agg(F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["v"]).alias("y"))
+
+
 def forecast(
     df: DataFrame,
     models: Sequence[str] = ("exp_smoothing", "theta", "naive"),
@@ -209,26 +215,23 @@ def forecast(
     coverage: float = 0.9,
     min_rows: int = 3,
 ) -> DataFrame:
-    """Fit every model of a series in one task group and forecast ``horizon`` business days.
+    """Fit every model to every series and forecast ``horizon`` business days, with an interval from the one-step errors.
 
-    For series bounded by the calendar (one row a day): a group is a few
-    thousand numbers at most.  ``too_short`` names the series left out.
+    A series is one array in one row and its fit a column expression (``smoothing``), for series bounded by the calendar:
+    a few thousand numbers at most.  ``too_short`` names the series left out.
     """
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in axis.key) + ", model string, step int, predicted double, lower double, upper double"
     keys = list(axis.key)
-    slim = df.filter(C(value).isNotNull()).select(*keys, C(axis.ts).alias("_ts"), C(value).cast("double").alias("_y"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("_ts")["_y"].to_numpy()
-        names = [*keys, "model", "step", "predicted", "lower", "upper"]
-        if len(y) < min_rows:
-            return pd.DataFrame(columns=names)
-        out = pd.concat([fit_forecast(y, m, horizon, seasonal_period, log, coverage).assign(model=m) for m in models])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[names]
-
-    done = slim.groupBy(*keys).applyInPandas(fit, schema)
+    series = _as_arrays(df.filter(C(value).isNotNull()), axis, value).filter(F.size("y") >= max(min_rows, 1))
+    series = series.withColumn("_shift", F.lit(0.0))
+    if log:
+        low = F.array_min("y")
+        series = series.withColumn("_shift", F.when(low <= 0, F.abs(low) + 1e-8).otherwise(0.0))
+        series = series.withColumn("y", F.transform("y", lambda v: F.ln(v + C("_shift"))))
+    fits = smoothing.fitted(series, models, horizon, seasonal_period).select(*keys, "_shift", F.inline_outer("fits"))
+    steps = fits.select(*keys, "_shift", "model", "sigma", F.posexplode_outer("path").alias("_i", "predicted"))
+    band = NormalDist().inv_cdf(0.5 + coverage / 2) * C("sigma") * F.sqrt(C("_i") + 1)
+    back = (lambda c: F.exp(c) - C("_shift")) if log else (lambda c: c)
+    done = steps.select(*keys, "model", (C("_i") + 1).alias("step"), back(C("predicted")).alias("predicted"), back(C("predicted") - band).alias("lower"), back(C("predicted") + band).alias("upper"))
     return done.join(cal.future_business_days(df, horizon, axis), [*keys, "step"])
 
 
@@ -256,36 +259,17 @@ def cross_validate(
 ) -> DataFrame:
     """Sliding-window folds (window n // (splits+1)), metrics per (series, model, fold).
 
-    A series is sent once; its folds are overlapping windows of one array, fitted
-    together in parts of bounded size.  A series with a window under 3 rows, or
-    shorter than window and horizon, has no folds.
+    A series is one array; its folds are stretches of it, one row each, dealt to all tasks and fitted as column
+    expressions.  A series with a window under 3 rows, or shorter than window and horizon, has no folds.
     """
     keys = list(axis.key)
-    slim = df.select(*keys, C(axis.ts).alias("_ts"), C(value).cast("double").alias("_y"))
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", model string, fold long, actual double, predicted double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("_ts")["_y"].to_numpy()
-        names = [*keys, "model", "fold", "actual", "predicted"]
-        width = len(y) // (splits + 1)
-        if width < 3 or len(y) < width + test_size:
-            return pd.DataFrame(columns=names)
-        windows = np.lib.stride_tricks.sliding_window_view(y, width + test_size)[::step]
-        size = max(1, FITTED_AT_ONCE // width)
-        parts = []
-        for at in range(0, len(windows), size):
-            past, ahead = windows[at : at + size, :width], windows[at : at + size, width:]
-            fold = np.repeat(np.arange(at, at + len(past)), test_size)
-            for m in models:
-                guess = MODELS[m](past, test_size, seasonal_period)[0]
-                parts.append(pd.DataFrame({"model": m, "fold": fold, "actual": ahead.ravel(), "predicted": guess.ravel()}))
-        out = pd.concat(parts)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[names]
-
-    paired = slim.groupBy(*keys).applyInPandas(fit, schema)
-    return forecast_metrics(paired, by=(*keys, "model", "fold"))
+    width, n = F.floor(F.size("y") / (splits + 1)).cast("int"), F.size("y")
+    series = _as_arrays(df, axis, value).withColumn("_w", width).filter((C("_w") >= 3) & (n >= C("_w") + test_size))
+    folds = series.select(*keys, "y", "_w", F.posexplode(F.sequence(F.lit(0), n - C("_w") - test_size, F.lit(step))).alias("fold", "_at"))
+    cut = folds.select(*keys, C("fold").cast("long").alias("fold"), F.slice("y", C("_at") + 1, C("_w")).alias("y"), F.slice("y", C("_at") + C("_w") + 1, F.lit(test_size)).alias("ahead"))
+    fits = smoothing.fitted(cut.repartition(*keys, "fold"), models, test_size, seasonal_period, bands=False)
+    fits = fits.select(*keys, "fold", "ahead", F.inline_outer("fits")).select(*keys, "fold", "model", F.inline_outer(F.arrays_zip(C("ahead").alias("actual"), C("path").alias("predicted"))))
+    return forecast_metrics(fits, by=(*keys, "model", "fold"))
 
 
 def select_best(df: DataFrame, horizon: int = 5, axis: Axis = DAILY, score: str = "smape", cv: DataFrame | None = None, **kw) -> tuple[DataFrame, DataFrame]:

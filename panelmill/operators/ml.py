@@ -16,7 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.axis import DAILY, Axis, exact_quantiles, per_key
+from ..functions.axis import DAILY, Axis, per_key
+from ..functions.quantiles import column_quantiles
 from ..functions.exprs import numeric_columns, total
 from . import clean
 from .evaluate import regression_metrics
@@ -100,8 +101,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> di
     if kind == "none":
         return {c: (0.0, 1.0) for c in cols}
     if kind == "robust":
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), C(c).cast("double").alias("value")) for c in cols])).alias("e"))
-        q = exact_quantiles(long.select("e.column", "e.value"), ["column"], "value", {"a": 0.25, "m": 0.5, "b": 0.75})
+        q = column_quantiles(df, [], list(cols), {"a": 0.25, "m": 0.5, "b": 0.75})
         got = {r["column"]: (r["m"], r["b"] - r["a"]) for r in q.collect()}  # one row per column
     else:
         pair = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, F.max)}[kind]

@@ -7,14 +7,17 @@ each.  The result is a long issue table plus a report per dataset.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis, exact_quantiles, in_blocks
+from ..functions.axis import Axis, in_blocks
 from ..functions.exprs import div, numeric_columns, total
+from ..functions.quantiles import column_quantiles
+from ..session import settle, written
 from .joins import small
 
 C = F.col
@@ -79,6 +82,26 @@ def _duplicates(df: DataFrame, by: list[str], on: list[str], out: str) -> DataFr
     return copies.groupBy(*by).agg(F.sum("_k").alias(out))
 
 
+def _fingerprint(on: Sequence[str]) -> list[Column]:
+    """128 bits of a row, as two numbers; equal rows have equal ones."""
+    return [F.xxhash64(*[C(c) for c in on]), F.xxhash64(F.lit(7), *[C(c) for c in on])]
+
+
+def duplicate_rows(df: DataFrame, by: Sequence[str], on: Sequence[str], out: str = "duplicates", fingerprint: Callable[[Sequence[str]], list[Column]] = _fingerprint) -> DataFrame:
+    """Rows equal in ``on`` to an earlier one, per dataset; datasets without any have no row.
+
+    The shuffle carries the keys and 128 bits of each row, folded in the tasks before. Only rows whose bits occur twice are
+    compared by their values, so equal bits alone make no copy.
+    """
+    a, b = fingerprint(on)
+    rows = df.select(*by, *on, a.alias("_fa"), b.alias("_fb"))
+    twice = settle(rows.groupBy(*by, "_fa", "_fb").agg(F.count(F.lit(1)).alias("_k")).filter(C("_k") > 1).drop("_k"))
+    keys = [*by, "_fa", "_fb"]
+    renamed = small(twice.select(*[C(k).alias(f"_j{i}") for i, k in enumerate(keys)]))
+    same = reduce(lambda x, y: x & y, [C(k).eqNullSafe(C(f"_j{i}")) for i, k in enumerate(keys)])
+    return _duplicates(rows.join(renamed, same, "left_semi"), list(by), list(on), out).filter(C(out) > 0)
+
+
 def time_gaps(df: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts", heavy: bool = False) -> DataFrame:
     """Per dataset: the commonest step in seconds (smallest on ties) and the steps above 1.5 times that."""
     axis = Axis(tuple(by), ts)
@@ -97,39 +120,28 @@ def time_gaps(df: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts", he
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("symbol",), heavy: bool = False) -> DataFrame:
-    """Per dataset and column: known values and how many lie outside 1.5 interquartile ranges.
+    """Per dataset and column: known values, how many lie outside 1.5 interquartile ranges, and that range.
 
-    For datasets bounded by the calendar the quartiles of all columns are one
-    aggregate (a counter per distinct value) and the counts a second one.
-    With ``heavy`` the quartiles come from a distributed sort, and values are
-    folded to counters before they meet them, so a dataset of any size is
-    spread over many tasks.
+    The quartiles of all columns come first, the counts follow as one aggregate over rows that meet their dataset's
+    quartiles; rows stay rows, no column is turned into rows of its own. For datasets bounded by the calendar the
+    quartiles are an aggregate (a counter per distinct value); with ``heavy`` they are selected by sketch and exact counts, so
+    that a dataset of any size is spread over many tasks.
     """
-    keys = [*by, "column"]
+    keys = list(by)
+    slim = df.select(*keys, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    span = range(len(columns))
     if heavy:
-        long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), C(c).cast("double").alias("value")) for c in columns])).alias("_e"))
-        long = long.select(*by, "_e.column", "_e.value").filter(C("value").isNotNull())
-        q = exact_quantiles(long, keys, "value", {"q1": 0.25, "q3": 0.75})
-        iqr = C("q3") - C("q1")
-        outside = (C("value") < C("q1") - 1.5 * iqr) | (C("value") > C("q3") + 1.5 * iqr)
-        folded = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_k"))
-        return (
-            folded.join(small(q), keys)
-            .groupBy(*keys)
-            .agg(F.sum("_k").alias("known"), F.sum(F.when(outside, C("_k")).otherwise(0)).alias("outliers"), F.max(iqr).alias("iqr"))
-        )
-    slim = df.select(*by, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    quarts = F.array(F.lit(0.25), F.lit(0.75))
-    q = slim.groupBy(*by).agg(*[F.percentile(f"_x{i}", quarts).alias(f"_q{i}") for i in range(len(columns))])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), C(f"_x{i}").alias("x"), C(f"_q{i}")[0].alias("lo"), C(f"_q{i}")[1].alias("hi")) for i, c in enumerate(columns)])
-    outside = (C("x") < C("lo") - 1.5 * (C("hi") - C("lo"))) | (C("x") > C("hi") + 1.5 * (C("hi") - C("lo")))
-    return (
-        slim.join(q, list(by))
-        .select(*by, F.inline(cells))
-        .filter(C("x").isNotNull())
-        .groupBy(*keys)
-        .agg(F.count("x").alias("known"), F.count_if(outside).alias("outliers"), F.max(C("hi") - C("lo")).alias("iqr"))
-    )
+        q = column_quantiles(slim, keys, [f"_x{i}" for i in span], {"lo": 0.25, "hi": 0.75})
+        q = q.groupBy(*keys).agg(*[F.max(F.when(C("column") == f"_x{i}", F.array("lo", "hi"))).alias(f"_q{i}") for i in span])
+    else:
+        quarts = F.array(F.lit(0.25), F.lit(0.75))
+        q = slim.groupBy(*keys).agg(*[F.percentile(f"_x{i}", quarts).alias(f"_q{i}") for i in span])
+    lo, hi = (lambda i: C(f"_q{i}")[0]), (lambda i: C(f"_q{i}")[1])
+    far = lambda i: (C(f"_x{i}") < lo(i) - 1.5 * (hi(i) - lo(i))) | (C(f"_x{i}") > hi(i) + 1.5 * (hi(i) - lo(i)))
+    aggs = [a for i in span for a in (F.count(f"_x{i}").alias(f"_n{i}"), F.count_if(far(i)).alias(f"_o{i}"), F.max(hi(i) - lo(i)).alias(f"_r{i}"))]
+    per = slim.join(small(settle(q)) if heavy else q, keys).groupBy(*keys).agg(*aggs)
+    cells = [F.struct(F.lit(c).alias("column"), C(f"_n{i}").alias("known"), C(f"_o{i}").alias("outliers"), C(f"_r{i}").alias("iqr")) for i, c in enumerate(columns)]
+    return per.select(*keys, F.inline(F.array(*cells))).filter(C("known") > 0)
 
 
 def validate(
@@ -141,13 +153,18 @@ def validate(
     ingest: str | None = None,
     now=None,
     heavy: bool = False,
+    derived: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(issues, reports).  ``ingest`` is the arrival order used for the sortedness rule; ``now`` the clock.
 
+    The rules read the table several times: a ``derived`` one is written first, a plain scan need not be. What they find is
+    written as well, a row per dataset, so that issues and reports come from the same counts.
+
     ``heavy`` is for datasets not bounded by the calendar; without ``by`` it is always on.
     """
     rules = RULES[kind]
     keys = list(by) or ["_all"]
+    df = written(df) if derived else df
     heavy = heavy or not by  # a whole table is one dataset of any size
     if not by:
         df = df.withColumn("_all", F.lit(1))
@@ -244,7 +261,7 @@ def validate(
 
     base = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs).withColumn("_all", F.lit(1))
     # duplicates, order, gaps
-    base = base.join(_duplicates(df, keys, values, "_dup_rows"), keys, "left")
+    base = base.join(duplicate_rows(df, keys, values, "_dup_rows"), keys, "left")
     found.append(_issue(C("_dup_rows") > 0, WARNING, "duplicates", None, _text(C("_dup_rows"), " duplicate rows"), C("_dup_rows"), div("_dup_rows", n) * 100))
     if ts is not None:
         base = base.join(_duplicates(df, keys, [ts], "_dup_ts"), keys, "left")
@@ -259,6 +276,7 @@ def validate(
         base = base.join(seen.groupBy(*keys).agg(F.coalesce(F.sum("_back"), F.lit(0)).alias("_unsorted")), keys, "left")
         found.append(_issue(C("_unsorted") > 0, ERROR, "index", ts, F.lit("Times are not sorted")))
 
+    base = settle(base)
     dataset = F.lit(name) if not by else F.concat_ws("/", F.lit(name), *[C(k).cast("string") for k in by])
     extra = ["_n", "_missing"]
     head = base.withColumn("_missing", F.when(n > 0, missing).otherwise(0.0))
@@ -281,7 +299,7 @@ def validate(
     if numeric:
         share = C("outliers") / C("known") * 100
         level = F.when(share > 25, ERROR).when(share > 10, WARNING).otherwise(INFO)
-        outl = outlier_counts(df, numeric, keys, heavy).filter((C("known") > 10) & (C("iqr") > 0) & (C("outliers") > 0))
+        outl = settle(outlier_counts(df, numeric, keys, heavy)).filter((C("known") > 10) & (C("iqr") > 0) & (C("outliers") > 0))
         issues = issues.unionByName(
             outl.select(
                 *keys,

@@ -203,6 +203,13 @@ def final_cleanup(spark, sf):
 
 
 # ------------------------------------------------------------ features
+CALENDAR_SQL = """CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(day(ts) AS INTEGER) AS day_of_month, CAST(weekofyear(ts) AS INTEGER) AS week_of_year,
+  CAST(month(ts) AS INTEGER) AS month, CAST(quarter(ts) AS INTEGER) AS quarter, CAST(year(ts) AS INTEGER) AS year,
+  CAST(isodow(ts) = 1 AS INTEGER) AS is_monday, CAST(isodow(ts) = 5 AS INTEGER) AS is_friday, CAST(day(ts) = 1 AS INTEGER) AS is_month_start,
+  CAST(ts = last_day(ts) AS INTEGER) AS is_month_end, CAST(ts = date_trunc('quarter', ts) AS INTEGER) AS is_quarter_start,
+  CAST(ts = last_day(CAST(date_trunc('quarter', ts) + INTERVAL 2 MONTHS AS DATE)) AS INTEGER) AS is_quarter_end"""
+
+
 @query(
     "lags_and_calendar",
     Shape(
@@ -216,11 +223,7 @@ def final_cleanup(spark, sf):
     f"""{BARS},
 r AS (SELECT *, close / lag(close) OVER w - 1 AS returns FROM bars {wins()}),
 res AS (SELECT *, {", ".join(f"lag(close, {k}) OVER w AS close_lag_{k}, lag(returns, {k}) OVER w AS returns_lag_{k}" for k in (1, 2, 3, 5, 10))},
-  CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(day(ts) AS INTEGER) AS day_of_month, CAST(weekofyear(ts) AS INTEGER) AS week_of_year,
-  CAST(month(ts) AS INTEGER) AS month, CAST(quarter(ts) AS INTEGER) AS quarter, CAST(year(ts) AS INTEGER) AS year,
-  CAST(isodow(ts) = 1 AS INTEGER) AS is_monday, CAST(isodow(ts) = 5 AS INTEGER) AS is_friday, CAST(day(ts) = 1 AS INTEGER) AS is_month_start,
-  CAST(ts = last_day(ts) AS INTEGER) AS is_month_end, CAST(ts = date_trunc('quarter', ts) AS INTEGER) AS is_quarter_start,
-  CAST(ts = last_day(CAST(date_trunc('quarter', ts) + INTERVAL 2 MONTHS AS DATE)) AS INTEGER) AS is_quarter_end FROM r {wins()})""",
+  {CALENDAR_SQL} FROM r {wins()})""",
 )
 def lags_and_calendar(spark, sf):
     b = fx.bars(spark, sf).withColumn("returns", DAILY.pct("close"))

@@ -257,10 +257,7 @@ def unified_indicators(spark, sf):
     return ind.apply_waves(fx.bars(spark, sf), ind.DAILY, ind.unified_indicators())
 
 
-@query(
-    "market_regime",
-    Shape(["symbol"], ["ts"], ["high_volatility"], ["volatility_20d", "volatility_60d", "volatility_ratio", "trend_strength"]),
-    f"""{BARS},
+_regime_sql = f"""
 r0 AS (SELECT *, close / lag(close) OVER w - 1 AS ret FROM bars {wins()}),
 r1 AS (SELECT *, {full(20, "ret", "stddev_samp(ret) OVER w20")} * sqrt(252) AS volatility_20d,
   {full(60, "ret", "stddev_samp(ret) OVER w60")} * sqrt(252) AS volatility_60d,
@@ -268,7 +265,13 @@ r1 AS (SELECT *, {full(20, "ret", "stddev_samp(ret) OVER w20")} * sqrt(252) AS v
   FROM r0 {wins(20, 50, 60)}),
 res AS (SELECT *, {d("volatility_20d", "volatility_60d")} AS volatility_ratio,
   {fl("volatility_20d > " + full(252, "volatility_20d", "avg(volatility_20d) OVER w252 + stddev_samp(volatility_20d) OVER w252"))} AS high_volatility
-  FROM r1 {wins(252)})""",
+  FROM r1 {wins(252)})"""
+
+
+@query(
+    "market_regime",
+    Shape(["symbol"], ["ts"], ["high_volatility"], ["volatility_20d", "volatility_60d", "volatility_ratio", "trend_strength"]),
+    f"{BARS},{_regime_sql}",
 )
 def market_regime(spark, sf):
     return ind.apply_waves(fx.bars(spark, sf), ind.DAILY, ind.market_regime())

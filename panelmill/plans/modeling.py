@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
+from ..functions.smoothing import HOLT_GRID, SEASONAL_GRID, THETA_GRID
 from ..operators import evaluate as ev
 from ..operators import forecast as fc
 from ..operators import ml
@@ -12,6 +13,8 @@ from ..operators import unified as un
 from ..session import settle, written
 from . import fixtures as fx
 from .catalog import Shape, query
+from .cleaning import CALENDAR_SQL
+from .market import _regime_sql, _unified_sql
 from .sqlkit import wins
 
 C = F.col
@@ -72,6 +75,14 @@ def long_format(spark, sf):
     return fc.long_format(fx.bars(spark, sf))
 
 
+_METRIC_SQL = """avg((actual - predicted) ** 2) AS mse, sqrt(avg((actual - predicted) ** 2)) AS rmse, avg(abs(actual - predicted)) AS mae,
+  avg(abs(actual - predicted) / greatest((abs(actual) + abs(predicted)) / 2, 1e-8)) * 100 AS smape,
+  avg(CASE WHEN (actual > 0) = (predicted > 0) THEN 1.0 ELSE 0.0 END) * 100 AS direction_accuracy,
+  CASE WHEN min(actual) < max(actual) AND min(predicted) < max(predicted) THEN corr(actual, predicted) ELSE 0 END AS correlation,
+  avg(actual) AS mean_actual, avg(predicted) AS mean_predicted, stddev_pop(actual) AS std_actual, stddev_pop(predicted) AS std_predicted,
+  avg(predicted) - avg(actual) AS prediction_bias, count(*) AS num_samples"""
+
+
 # ------------------------------------------------------------ forecasts
 _SIGNAL = """CASE WHEN r > 0.02 THEN 'buy' WHEN r < -0.02 THEN 'sell' ELSE 'hold' END AS signal,
   CASE WHEN abs(r) > 0.02 THEN least(abs(r) / 0.05, 1.0) ELSE 0.5 - abs(r) / 0.04 END AS strength"""
@@ -145,12 +156,70 @@ def theta_forecast(spark, sf):
     return fc.forecast(fx.levels(spark, sf), ["theta"])
 
 
-@query("holt_forecast", Shape(["symbol"], ["ts"], ["step", "model"], [], ["predicted", "lower", "upper"]))
+def _values(grid) -> str:
+    return ", ".join("(" + ", ".join(map(repr, [i, *map(float, row)])) + ")" for i, row in enumerate(grid))
+
+
+_Z90 = 1.6448536269514722
+# seasonal smoothing of the logs: the season is a list whose first element is the one of the row
+_HOLT = f"""{LEVELS},{_FUTURE},
+hx AS MATERIALIZED (SELECT symbol, ln(close) AS y, row_number() OVER w AS rn FROM levels {wins()}),
+hn AS MATERIALIZED (SELECT symbol, count(*) AS n, avg(y) FILTER (WHERE rn <= 5) AS m, avg(y) FILTER (WHERE rn BETWEEN 6 AND 10) AS m2, list(y ORDER BY rn) AS ys, regr_slope(y, rn) AS slope FROM hx GROUP BY 1),
+hg AS (SELECT nr, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c FROM (VALUES {_values(SEASONAL_GRID)}) t(nr, a, b, c)),
+hr AS (SELECT n.symbol, 0::BIGINT AS rn, g.nr, g.a, g.b, g.c, n.m AS l, (n.m2 - n.m) / 5 AS t, list_transform(n.ys[1:5], lambda v: v - n.m) AS s, 0.0::DOUBLE AS e FROM hn n, hg g
+  UNION ALL SELECT r.symbol, x.rn, r.nr, r.a, r.b, r.c, r.l + r.t + r.a * (x.y - (r.l + r.t + r.s[1])), r.t + r.a * r.b * (x.y - (r.l + r.t + r.s[1])),
+  list_append(r.s[2:], r.s[1] + r.c * (1 - r.a) * (x.y - (r.l + r.t + r.s[1]))), x.y - (r.l + r.t + r.s[1]) FROM hr r JOIN hx x ON x.symbol = r.symbol AND x.rn = r.rn + 1),
+hb AS (SELECT symbol, arg_min(nr, sse) AS nr FROM (SELECT symbol, nr, sum(e * e) AS sse FROM hr GROUP BY 1, 2) GROUP BY 1),
+hh AS MATERIALIZED (SELECT r.* FROM hr r JOIN hb b ON b.symbol = r.symbol AND b.nr = r.nr),
+tg AS (SELECT nr, a::DOUBLE AS a FROM (VALUES {_values([(x,) for x in THETA_GRID])}) t(nr, a)),
+tr AS (SELECT x.symbol, x.rn, g.nr, g.a, x.y AS l, 0.0::DOUBLE AS e FROM hx x, tg g WHERE x.rn = 1
+  UNION ALL SELECT r.symbol, x.rn, r.nr, r.a, r.l + r.a * (x.y - r.l), x.y - r.l FROM tr r JOIN hx x ON x.symbol = r.symbol AND x.rn = r.rn + 1),
+tb AS (SELECT symbol, arg_min(nr, sse) AS nr FROM (SELECT symbol, nr, sum(e * e) AS sse FROM tr GROUP BY 1, 2) GROUP BY 1),
+tt AS MATERIALIZED (SELECT r.* FROM tr r JOIN tb b ON b.symbol = r.symbol AND b.nr = r.nr),
+nv AS (SELECT symbol, rn, y - lag(y, 5) OVER (PARTITION BY symbol ORDER BY rn) AS e FROM hx),
+se AS (SELECT h.symbol, stddev_samp(h.e) AS s_holt, stddev_samp((h.e + t.e + v.e) / 3) FILTER (WHERE h.rn > 5) AS s_all
+  FROM hh h LEFT JOIN tt t ON t.symbol = h.symbol AND t.rn = h.rn LEFT JOIN nv v ON v.symbol = h.symbol AND v.rn = h.rn WHERE h.rn > 0 GROUP BY 1),
+pa AS (SELECT f.symbol, f.ts, f.step, h.l + f.step * h.t + h.s[(f.step - 1) % 5 + 1] AS p_holt,
+  t.l + 0.5 * n.slope * (f.step - 1 + (1 - pow(1 - t.a, n.n)) / t.a) AS p_theta, n.ys[n.n - 5 + (f.step - 1) % 5 + 1] AS p_naive, s_holt, s_all
+  FROM fs f JOIN hn n USING (symbol) JOIN hh h ON h.symbol = f.symbol AND h.rn = n.n JOIN tt t ON t.symbol = f.symbol AND t.rn = n.n JOIN se ON se.symbol = f.symbol WHERE f.step <= 5),
+pb AS (SELECT symbol, ts, step, 'exp_smoothing' AS model, p_holt AS p, s_holt AS s FROM pa UNION ALL SELECT symbol, ts, step, 'ensemble', (p_holt + p_theta + p_naive) / 3, s_all FROM pa),
+res AS (SELECT *, exp(p) AS predicted, exp(p - {_Z90} * s * sqrt(step)) AS lower, exp(p + {_Z90} * s * sqrt(step)) AS upper FROM pb)"""
+
+
+@query("holt_forecast", Shape(["symbol"], ["ts"], ["step", "model"], [], [], [], ["predicted", "lower", "upper"]), _HOLT)
 def holt_forecast(spark, sf):
     return fc.forecast(fx.levels(spark, sf), ["exp_smoothing", "ensemble"], seasonal_period=5, log=True)
 
 
-@query("cross_validation", Shape(["symbol"], [], ["model", "fold", "num_samples"], ["smape", "direction_accuracy"], ["rmse", "mae"]))
+def _fold_sql(y: str, source: str, keys: str) -> str:
+    """Smoothing and theta over list ``y`` of every row of ``source``: hf(keys, l, t) and tf(keys, l, a) with least squared error."""
+    return f"""
+hg AS (SELECT nr, a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES {_values([r[:2] for r in HOLT_GRID])}) t(nr, a, b)),
+tg AS (SELECT nr, a::DOUBLE AS a FROM (VALUES {_values([(x,) for x in THETA_GRID])}) t(nr, a)),
+hf AS MATERIALIZED (SELECT {keys}, arg_min(f, f.q) AS f FROM (SELECT {keys}, list_reduce(
+    list_prepend({{'y': 0.0::DOUBLE, 'l': {y}[1], 't': {y}[2] - {y}[1], 'q': 0.0::DOUBLE}}, list_transform({y}[2:], lambda v: {{'y': v, 'l': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'q': 0.0::DOUBLE}})),
+    lambda x, z: {{'y': z.y, 'l': x.l + x.t + a * (z.y - (x.l + x.t)), 't': x.t + a * b * (z.y - (x.l + x.t)), 'q': x.q + (z.y - (x.l + x.t)) * (z.y - (x.l + x.t))}}) AS f
+  FROM {source}, hg) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT {keys}, arg_min(f.l, f.q) AS l, arg_min(a, f.q) AS a FROM (SELECT {keys}, a, list_reduce(
+    list_prepend({{'y': 0.0::DOUBLE, 'l': {y}[1], 'q': 0.0::DOUBLE}}, list_transform({y}, lambda v: {{'y': v, 'l': 0.0::DOUBLE, 'q': 0.0::DOUBLE}})),
+    lambda x, z: {{'y': z.y, 'l': x.l + a * (z.y - x.l), 'q': x.q + (z.y - x.l) * (z.y - x.l)}}) AS f
+  FROM {source}, tg) GROUP BY ALL)"""
+
+
+_CV = f"""{LEVELS},
+ly AS (SELECT symbol, list(close ORDER BY ts) AS ys, count(*) AS n FROM levels GROUP BY 1),
+fw AS MATERIALIZED (SELECT symbol, fold, n // 6 AS w, ys[fold + 1:fold + n // 6] AS y, ys[fold + n // 6 + 1:fold + n // 6 + 30] AS ahead
+  FROM (SELECT *, unnest(generate_series(0, n - n // 6 - 30)) AS fold FROM ly WHERE n // 6 >= 3 AND n >= n // 6 + 30)),
+{_fold_sql("y", "fw", "symbol, fold").strip()},
+sl AS (SELECT symbol, fold, regr_slope(v, i) AS slope FROM (SELECT symbol, fold, unnest(y) AS v, unnest(generate_series(1, w)) AS i FROM fw) GROUP BY 1, 2),
+ah AS (SELECT symbol, fold, w, y[w] AS last, unnest(ahead) AS actual, unnest(generate_series(1, 30)) AS k FROM fw),
+pr AS (SELECT a.symbol, a.fold, a.actual, h.f.l + k * h.f.t AS p1, t.l + 0.5 * s.slope * (k - 1 + (1 - pow(1 - t.a, a.w)) / t.a) AS p2, a.last AS p3
+  FROM ah a JOIN hf h ON h.symbol = a.symbol AND h.fold = a.fold JOIN tf t ON t.symbol = a.symbol AND t.fold = a.fold JOIN sl s ON s.symbol = a.symbol AND s.fold = a.fold),
+cvp AS (SELECT symbol, fold, 'exp_smoothing' AS model, actual, p1 AS predicted FROM pr UNION ALL SELECT symbol, fold, 'theta', actual, p2 FROM pr UNION ALL SELECT symbol, fold, 'naive', actual, p3 FROM pr),
+cvm AS MATERIALIZED (SELECT symbol, fold, model, {_METRIC_SQL} FROM cvp GROUP BY 1, 2, 3)"""
+
+
+@query("cross_validation", Shape(["symbol"], [], ["model", "fold", "num_samples"], ["smape", "direction_accuracy"], ["rmse", "mae"]), f"{_CV}, res AS (SELECT * FROM cvm)")
 def cross_validation(spark, sf):
     return fc.cross_validate(fx.levels(spark, sf))
 
@@ -169,18 +238,23 @@ def naive_cross_validation(spark, sf):
     return fc.cross_validate(fx.levels(spark, sf), ["naive"])
 
 
-@query("best_forecaster", Shape(["symbol"], ["ts"], ["step", "model"], [], ["predicted"]))
+_whole = _fold_sql("ys", "ly", "symbol").replace("hg AS", "hg2 AS").replace("tg AS", "tg2 AS").replace("ly, hg)", "ly, hg2)").replace("ly, tg)", "ly, tg2)").replace("hf AS", "hf2 AS").replace("tf AS", "tf2 AS")
+_BEST = f"""{_CV},{_FUTURE},{_whole},
+bm AS (SELECT symbol, model, avg(smape) AS smape FROM cvm GROUP BY 1, 2),
+bb AS (SELECT symbol, arg_min(model, (smape, model)) AS model FROM bm GROUP BY 1),
+bs AS (SELECT symbol, regr_slope(v, i) AS slope FROM (SELECT symbol, unnest(ys) AS v, unnest(generate_series(1, n)) AS i FROM ly) GROUP BY 1),
+res AS (SELECT f.symbol, f.ts, f.step, b.model, CASE b.model WHEN 'exp_smoothing' THEN h.f.l + f.step * h.f.t
+    WHEN 'theta' THEN t.l + 0.5 * s.slope * (f.step - 1 + (1 - pow(1 - t.a, y.n)) / t.a) ELSE y.ys[y.n] END AS predicted
+  FROM fs f JOIN bb b USING (symbol) JOIN ly y ON y.symbol = f.symbol JOIN hf2 h ON h.symbol = f.symbol JOIN tf2 t ON t.symbol = f.symbol JOIN bs s ON s.symbol = f.symbol WHERE f.step <= 5)"""
+
+
+@query("best_forecaster", Shape(["symbol"], ["ts"], ["step", "model"], [], ["predicted"]), _BEST)
 def best_forecaster(spark, sf):
     return fc.select_best(fx.levels(spark, sf))[0]
 
 
 # ------------------------------------------------------------ evaluation
-_METRIC_SQL = """avg((actual - predicted) ** 2) AS mse, sqrt(avg((actual - predicted) ** 2)) AS rmse, avg(abs(actual - predicted)) AS mae,
-  avg(abs(actual - predicted) / greatest((abs(actual) + abs(predicted)) / 2, 1e-8)) * 100 AS smape,
-  avg(CASE WHEN (actual > 0) = (predicted > 0) THEN 1.0 ELSE 0.0 END) * 100 AS direction_accuracy,
-  CASE WHEN min(actual) < max(actual) AND min(predicted) < max(predicted) THEN corr(actual, predicted) ELSE 0 END AS correlation,
-  avg(actual) AS mean_actual, avg(predicted) AS mean_predicted, stddev_pop(actual) AS std_actual, stddev_pop(predicted) AS std_predicted,
-  avg(predicted) - avg(actual) AS prediction_bias, count(*) AS num_samples"""
+
 _FM = ["mse", "rmse", "mae", "smape", "direction_accuracy", "correlation"]
 _SCORED = f"{PREDS}, fm AS (SELECT symbol, model, {_METRIC_SQL} FROM preds GROUP BY 1, 2)"
 
@@ -253,19 +327,34 @@ def fold_summary(spark, sf):
     return ev.fold_summary(ev.rolling_evaluation(fx.predictions(spark, sf)))
 
 
+_PAIRED = f"""{PREDS}, er AS (SELECT *, abs(actual - predicted) AS e FROM preds),
+pp AS (SELECT a.symbol, a.model AS model_a, b.model AS model_b, a.e AS ea, b.e AS eb FROM er a JOIN er b ON a.symbol = b.symbol AND a.ts = b.ts
+  WHERE (a.model, b.model) IN (('naive', 'mom1'), ('naive', 'mean5'), ('mom1', 'mean5'))),
+pt AS (SELECT symbol, model_a, model_b, avg(ea - eb) / (stddev_samp(ea - eb) / sqrt(count(*))) AS t_statistic, count(*) AS n, avg(ea) AS mean_error_a, avg(eb) AS mean_error_b FROM pp GROUP BY 1, 2, 3)"""
+
+
 @query(
     "paired_t",
     Shape(["symbol"], [], ["model_a", "model_b", "n"], ["t_statistic", "mean_error_a", "mean_error_b"]),
-    f"""{PREDS}, er AS (SELECT *, abs(actual - predicted) AS e FROM preds),
-pp AS (SELECT a.symbol, a.model AS model_a, b.model AS model_b, a.e AS ea, b.e AS eb FROM er a JOIN er b ON a.symbol = b.symbol AND a.ts = b.ts
-  WHERE (a.model, b.model) IN (('naive', 'mom1'), ('naive', 'mean5'), ('mom1', 'mean5'))),
-res AS (SELECT symbol, model_a, model_b, avg(ea - eb) / (stddev_samp(ea - eb) / sqrt(count(*))) AS t_statistic, count(*) AS n, avg(ea) AS mean_error_a, avg(eb) AS mean_error_b FROM pp GROUP BY 1, 2, 3)""",
+    f"{_PAIRED}, res AS (SELECT * FROM pt)",
 )
 def paired_t(spark, sf):
     return ev.paired_t(fx.predictions(spark, sf), ["naive", "mom1", "mean5"])
 
 
-@query("paired_t_significance", Shape(["symbol"], [], ["model_a", "model_b", "significant"], ["p_value"]))
+# the share of Student's t within +-t as a finite sum of powers of the cosine, for whole degrees of freedom
+_PAIRED_P = f"""{_PAIRED},
+an AS (SELECT symbol, model_a, model_b, n - 1 AS v, atan(abs(t_statistic) / sqrt(n - 1)) AS theta FROM pt WHERE n > 1),
+tk AS (SELECT an.*, k.k, CASE WHEN k.k = 0 THEN 0.0 WHEN v % 2 = 0 THEN ln((2 * k.k - 1) / (2.0 * k.k)) ELSE ln(2 * k.k / (2 * k.k + 1.0)) END AS step
+  FROM an JOIN range(100000) k(k) ON k.k <= greatest(0, (v - 2 - v % 2) // 2)),
+ts AS (SELECT *, exp(sum(step) OVER (PARTITION BY symbol, model_a, model_b ORDER BY k) + (2 * k + v % 2) * ln(cos(theta))) AS term FROM tk),
+tw AS (SELECT symbol, model_a, model_b, any_value(v) AS v, any_value(theta) AS theta, sum(term) AS terms FROM ts GROUP BY 1, 2, 3),
+pv AS (SELECT *, 1 - CASE WHEN v % 2 = 0 THEN sin(theta) * terms WHEN v = 1 THEN 2 / pi() * theta ELSE 2 / pi() * (theta + sin(theta) * terms) END AS p_value FROM tw),
+res AS (SELECT p.symbol, p.model_a, p.model_b, w.p_value, coalesce(w.p_value < 0.05, FALSE) AS significant
+  FROM pt p LEFT JOIN pv w ON w.symbol = p.symbol AND w.model_a = p.model_a AND w.model_b = p.model_b)"""
+
+
+@query("paired_t_significance", Shape(["symbol"], [], ["model_a", "model_b", "significant"], ["p_value"]), _PAIRED_P)
 def paired_t_significance(spark, sf):
     return ev.paired_t(fx.predictions(spark, sf), ["naive", "mom1", "mean5"])
 
@@ -372,7 +461,7 @@ def _lagged_levels(spark, sf):
     return settle(b.filter(C("x").isNotNull()))
 
 
-_XY = f"{LEVELS}, xy AS (SELECT * FROM (SELECT symbol, ts, close / 1000 AS y, lag(close) OVER w / 1000 AS x FROM levels {wins()}) WHERE x IS NOT NULL)"
+_XY = f"{LEVELS}, xy AS MATERIALIZED (SELECT * FROM (SELECT symbol, ts, close / 1000 AS y, lag(close) OVER w / 1000 AS x FROM levels {wins()}) WHERE x IS NOT NULL)"
 
 
 def _linear_rows(spark, sf, penalty, degree=1):
@@ -488,26 +577,74 @@ def _supplier_news(spark, sf):
     )
 
 
-_UNIFIED = f"""{BARS},{fx.macro_sql()},
-md AS (SELECT date, value FROM macro WHERE series_id = 'DISC'),
+_SERIES = ("DISC", "TAX", "QTY")
+_LAGGED = ("u_returns", "close", "sentiment_score", "u_rsi")
+_U_FINE = ["u_returns", "u_log_returns", "u_bb_position", "u_rsi", "u_volume_ratio", *[f"u_sma_{n}_ratio" for n in (5, 10, 20, 50, 200)]]
+_U_COARSE = [
+    *[f"u_sma_{n}" for n in (5, 10, 20, 50, 200)], "u_ema_12", "u_ema_26", "u_macd", "u_macd_signal", "u_macd_diff", "u_bb_middle", "u_bb_upper", "u_bb_lower",
+    "u_bb_width", "u_volume_sma_10", "u_price_volume",
+]
+_REGIME = ["volatility_20d", "volatility_60d", "volatility_ratio", "trend_strength"]
+_CALENDAR = [
+    "day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year", "is_monday", "is_friday", "is_month_start", "is_month_end", "is_quarter_start", "is_quarter_end",
+]
+_MOOD = ["sentiment_score", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_volatility", "sentiment_momentum"]
+_BEFORE = [*_U_FINE, *_U_COARSE, *_REGIME, *_MOOD, *_SERIES]  # what may be missing in a row; 63 columns stand before the counts
+_PRICES = ["open", "high", "low", "close", "volume"]
+_LAGS = (1, 2, 3, 5, 10)
+_U_PLAIN = [*[f"{s}_days_since_update" for s in _SERIES], *_CALENDAR, "high_volatility", "missing_count"]
+_U_SIX = [*_U_FINE, *_REGIME, *_SERIES, "missing_pct", *[f"{c}_lag_{k}" for c in ("u_returns", "u_rsi") for k in _LAGS]]
+_U_FOUR = [*_PRICES, *_U_COARSE, *_MOOD, "sentiment_age_hours", *[f"{c}_lag_{k}" for c in ("close", "sentiment_score") for k in _LAGS]]
+_UNIFIED = f"""{_unified_sql.replace("res AS (", "uind AS MATERIALIZED (")},
+{_regime_sql.strip().replace("res AS (", "ureg AS MATERIALIZED (")},{fx.macro_sql()},
 sn AS (SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS ts, avg(round(l_discount * 100) * 20 - 100) AS sentiment_score FROM lineitem GROUP BY 1, 2),
-u0 AS (SELECT b.*, m.value AS DISC, CAST(date_diff('day', m.date, b.ts) AS INTEGER) AS DISC_days_since_update, s.sentiment_score
-  FROM bars b ASOF LEFT JOIN md m ON b.ts >= m.date LEFT JOIN sn s ON s.symbol = b.symbol AND s.ts = b.ts),
-u1 AS (SELECT *, row_number() OVER w AS rn, close / lag(close) OVER w - 1 AS u_returns, CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 END AS u_sma_20,
-  CASE WHEN count(*) OVER w3 = 3 THEN avg(sentiment_score) OVER w3 END AS sentiment_ma_3d FROM u0 {wins(3, 20)}),
-res AS (SELECT *, lag(close, 2) OVER w AS close_lag_2, lag(u_returns, 1) OVER w AS u_returns_lag_1 FROM u1 {wins()})"""
+{", ".join(f"m_{s} AS (SELECT date, value FROM macro WHERE series_id = '{s}')" for s in _SERIES)},
+um0 AS (SELECT b.symbol, b.ts, s.sentiment_score, {", ".join(f"m_{s}.value AS {s}, CAST(date_diff('day', m_{s}.date, b.ts) AS INTEGER) AS {s}_days_since_update" for s in _SERIES)}
+  FROM bars b {" ".join(f"ASOF LEFT JOIN m_{s} ON b.ts >= m_{s}.date" for s in _SERIES)} LEFT JOIN sn s ON s.symbol = b.symbol AND s.ts = b.ts),
+um1 AS (SELECT *, CASE WHEN count(sentiment_score) OVER w3 = 3 THEN avg(sentiment_score) OVER w3 END AS sentiment_ma_3d,
+  CASE WHEN count(sentiment_score) OVER w7 = 7 THEN avg(sentiment_score) OVER w7 END AS sentiment_ma_7d,
+  CASE WHEN count(sentiment_score) OVER w7 = 7 THEN stddev_samp(sentiment_score) OVER w7 END AS sentiment_volatility, 0.0 AS sentiment_age_hours FROM um0 {wins(3, 7)}),
+ua AS (SELECT b.*, {CALENDAR_SQL.replace("(ts", "(b.ts").replace("'quarter', ts", "'quarter', b.ts")}, m.* EXCLUDE (symbol, ts), m.sentiment_score - m.sentiment_ma_7d AS sentiment_momentum,
+  {", ".join(f"i.{c}" for c in [*_U_FINE, *_U_COARSE])}, {", ".join(f"r.{c}" for c in [*_REGIME, "high_volatility"])}
+  FROM bars b JOIN um1 m ON m.symbol = b.symbol AND m.ts = b.ts JOIN uind i ON i.symbol = b.symbol AND i.ts = b.ts JOIN ureg r ON r.symbol = b.symbol AND r.ts = b.ts),
+ub AS (SELECT *, {" + ".join(f"({c} IS NULL)::INT" for c in _BEFORE)} AS missing_count FROM ua),
+ures AS MATERIALIZED (SELECT *, missing_count / 63.0 AS missing_pct, {", ".join(f"lag({c}, {k}) OVER w AS {c}_lag_{k}" for c in _LAGGED for k in _LAGS)} FROM ub {wins()})"""
 
 
-@query(
-    "unified_dataset",
-    Shape(["symbol"], ["ts"], ["DISC_days_since_update"], ["DISC", "u_returns", "u_returns_lag_1"], ["close", "volume", "sentiment_score", "sentiment_ma_3d", "u_sma_20", "close_lag_2"]),
-    _UNIFIED,
-)
-def unified(spark, sf):
-    df, _, _ = un.unified_dataset(fx.bars(spark, sf), fx.macro(spark, sf), ["DISC"], _supplier_news(spark, sf), tie=["l_orderkey"])
-    return df
+def _unified(spark, sf, **kw):
+    return un.unified_dataset(fx.bars(spark, sf), fx.macro(spark, sf), list(_SERIES), _supplier_news(spark, sf), tie=["l_orderkey"], **kw)
 
 
-@query("unified_report", Shape(["symbol"], [], ["rows", "error_issues", "warning_issues", "is_valid"], ["missing_pct", "quality_score"]))
+@query("unified_dataset", Shape(["symbol"], ["ts"], _U_PLAIN, _U_SIX, _U_FOUR), f"{_UNIFIED}, res AS (SELECT * FROM ures)")
+def unified(spark, sf):
+    """All 84 columns of the merged dataset, with three macro series."""
+    return _unified(spark, sf)[0]
+
+
+_U_ALL = [*_U_PLAIN, *_U_SIX, *_U_FOUR]
+_UNIFIED_REPORT = f"""{_UNIFIED},
+ul AS MATERIALIZED (UNPIVOT (SELECT symbol, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _U_ALL)} FROM ures) ON COLUMNS(* EXCLUDE (symbol)) INTO NAME col VALUE v),
+un AS (SELECT symbol, count(*) AS n FROM ures GROUP BY 1),
+uq AS (SELECT symbol, col, count(*) AS known, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM ul GROUP BY 1, 2),
+uo AS (SELECT ul.symbol, ul.col, any_value(known) AS known, any_value(q3 - q1) AS iqr, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS k
+  FROM ul JOIN uq ON uq.symbol = ul.symbol AND uq.col = ul.col GROUP BY 1, 2),
+us AS (SELECT symbol, date_diff('day', lag(ts) OVER w, ts) AS step FROM ures {wins()}),
+uc AS (SELECT symbol, step, count(*) AS k FROM us WHERE step IS NOT NULL GROUP BY 1, 2),
+ue AS (SELECT *, first_value(step) OVER (PARTITION BY symbol ORDER BY k DESC, step) AS expected FROM uc),
+ug AS (SELECT symbol, coalesce(sum(k) FILTER (WHERE step > expected * 1.5), 0) AS gap_count FROM ue GROUP BY 1),
+ui AS (
+  SELECT symbol, 'WARNING' AS severity FROM un WHERE n < 10 UNION ALL
+  SELECT symbol, 'INFO' FROM un UNION ALL
+  SELECT symbol, 'WARNING' FROM ug WHERE gap_count > 0 UNION ALL
+  SELECT symbol, CASE WHEN (n - known) / n * 100 > 50 THEN 'ERROR' ELSE 'WARNING' END FROM uq JOIN un USING (symbol) WHERE (n - known) / n * 100 > 10 UNION ALL
+  SELECT symbol, CASE WHEN k / known * 100 > 25 THEN 'ERROR' WHEN k / known * 100 > 10 THEN 'WARNING' ELSE 'INFO' END FROM uo WHERE known > 10 AND iqr > 0 AND k > 0),
+uk AS (SELECT symbol, {", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}_issues" for s in ("CRITICAL", "ERROR", "WARNING", "INFO"))} FROM ui GROUP BY 1),
+ux AS (SELECT symbol, sum(known) AS known FROM uq GROUP BY 1),
+uz AS (SELECT un.symbol, n AS rows, (n * {len(_U_ALL)} - known) / (n * {len(_U_ALL)}.0) * 100 AS missing_pct, uk.* EXCLUDE (symbol) FROM un JOIN ux USING (symbol) JOIN uk USING (symbol)),
+res AS (SELECT *, greatest(0, 100 - 25 * critical_issues - 10 * error_issues - 5 * warning_issues - info_issues - 0.5 * missing_pct) AS quality_score,
+  critical_issues = 0 AS is_valid FROM uz)"""
+
+
+@query("unified_report", Shape(["symbol"], [], ["rows", "error_issues", "warning_issues", "info_issues", "is_valid"], ["missing_pct", "quality_score"]), _UNIFIED_REPORT)
 def unified_report(spark, sf):
-    return un.unified_dataset(fx.bars(spark, sf), fx.macro(spark, sf), ["DISC"], _supplier_news(spark, sf), tie=["l_orderkey"], now="2030-01-01")[2]
+    return _unified(spark, sf, now="2030-01-01")[2]

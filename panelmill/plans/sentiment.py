@@ -128,18 +128,17 @@ res AS (SELECT *, sentiment_mean - 2 * lag(sentiment_mean) OVER w + lag(sentimen
 _m = lambda *stems: [f"sentiment_{s}_{n}d" for s in stems for n in _W]
 
 
-@query(
-    "sentiment_momentum",
-    Shape(
-        ["symbol"], ["ts"], [*_m("regime", "momentum_persistence"), "sentiment_ma_bullish_cross", "sentiment_ma_bearish_cross"],
-        _m("trend", "position", "ema"),
-        [
-            *_m("momentum", "ma", "ma_momentum", "ema_momentum", "volatility", "volatility_norm", "momentum_acceleration", "roc"),
-            "sentiment_acceleration", "sentiment_momentum_fast_vs_slow",
-        ],
-    ),
-    _momentum_sql,
-)
+_MOMENTUM = (
+    [*_m("regime", "momentum_persistence"), "sentiment_ma_bullish_cross", "sentiment_ma_bearish_cross"],
+    _m("trend", "position", "ema"),
+    [
+        *_m("momentum", "ma", "ma_momentum", "ema_momentum", "volatility", "volatility_norm", "momentum_acceleration", "roc"),
+        "sentiment_acceleration", "sentiment_momentum_fast_vs_slow",
+    ],
+)
+
+
+@query("sentiment_momentum", Shape(["symbol"], ["ts"], *_MOMENTUM), _momentum_sql)
 def sentiment_momentum(spark, sf):
     return sen.momentum_table(_days(spark, sf))
 
@@ -172,26 +171,24 @@ res AS (SELECT *, CAST(sum(news_volume_spike) OVER (PARTITION BY symbol, g1 ORDE
   CAST(isodow(ts) = 5 AS INTEGER) AS is_friday FROM v3)"""
 
 
-@query(
-    "news_volume",
-    Shape(
-        ["symbol"], ["ts"],
-        [
-            *[f"news_volume_above_avg_{n}d" for n in (7, 30, 90)], "news_volume_spike", "news_volume_major_spike", "news_volume_dry_spell",
-            "zero_news_day", "consecutive_high_volume", "consecutive_low_volume", "positive_news_surprise", "negative_news_surprise",
-            "high_attention_regime", "low_attention_regime", "day_of_week", "is_weekend", "is_monday", "is_friday",
-            "cumulative_attention_7d", "cumulative_attention_30d",
-        ],
-        [
-            *[f"news_volume_{s}_{n}d" for s in ("ma", "ratio", "percentile") for n in (7, 30, 90)],
-            *[f"news_volume_{s}_{n}d" for s in ("volatility", "cv") for n in (7, 14, 30)],
-            *[f"news_volume_{s}_{k}d" for s in ("momentum", "roc") for k in (1, 3, 7)],
-            *[f"{a}_{s}" for a in _att for s in ("per_volume", "momentum_3d", "momentum_7d", "concentration_7d", "concentration_14d")],
-            "news_surprise_score", "attention_decay_score",
-        ],
-    ),
-    _volume_sql,
-)
+_VOLUME = (
+    [
+        *[f"news_volume_above_avg_{n}d" for n in (7, 30, 90)], "news_volume_spike", "news_volume_major_spike", "news_volume_dry_spell",
+        "zero_news_day", "consecutive_high_volume", "consecutive_low_volume", "positive_news_surprise", "negative_news_surprise",
+        "high_attention_regime", "low_attention_regime", "day_of_week", "is_weekend", "is_monday", "is_friday",
+        "cumulative_attention_7d", "cumulative_attention_30d",
+    ],
+    [
+        *[f"news_volume_{s}_{n}d" for s in ("ma", "ratio", "percentile") for n in (7, 30, 90)],
+        *[f"news_volume_{s}_{n}d" for s in ("volatility", "cv") for n in (7, 14, 30)],
+        *[f"news_volume_{s}_{k}d" for s in ("momentum", "roc") for k in (1, 3, 7)],
+        *[f"{a}_{s}" for a in _att for s in ("per_volume", "momentum_3d", "momentum_7d", "concentration_7d", "concentration_14d")],
+        "news_surprise_score", "attention_decay_score",
+    ],
+)
+
+
+@query("news_volume", Shape(["symbol"], ["ts"], *_VOLUME), _volume_sql)
 def news_volume(spark, sf):
     return sen.news_volume_table(_days(spark, sf))
 
@@ -209,9 +206,24 @@ def sentiment_interactions(spark, sf):
     return sen.sentiment_features(_days(spark, sf), momentum=False)
 
 
+_INTERACTIONS = ["sentiment_volume_weighted", "sentiment_intensity_high_volume", "sentiment_volume_adjusted"]
+# features that early days lack: all of momentum, and the changes of the count
+_GAPS = [c for part in _MOMENTUM for c in part] + ["sentiment_count_momentum_3d", "sentiment_count_momentum_7d"]
+_FEATURES = 79  # columns with sentiment in their name, the mean left out
+_full_sql = f"""{_momentum_sql.replace("res AS (", "mres AS (")},
+{_volume_sql.removeprefix(_BASE + ",").replace("res AS (", "vres AS (")},
+i0 AS (SELECT symbol, ts, sentiment_mean * ln(1 + news_volume) AS sentiment_volume_weighted,
+  CASE WHEN news_volume > quantile_cont(news_volume, 0.5) OVER (PARTITION BY symbol) THEN abs(sentiment_mean) ELSE 0 END AS sentiment_intensity_high_volume FROM b0),
+ires AS (SELECT i0.*, sentiment_mean * news_volume_percentile_30d AS sentiment_volume_adjusted FROM i0 JOIN vres USING (symbol, ts)),
+ares AS (SELECT m.*, v.* EXCLUDE (symbol, ts, sentiment_mean, news_volume, sentiment_count, source_diversity), i.* EXCLUDE (symbol, ts)
+  FROM mres m JOIN vres v ON v.symbol = m.symbol AND v.ts = m.ts JOIN ires i ON i.symbol = m.symbol AND i.ts = m.ts),
+res AS (SELECT *, {_FEATURES} AS sentiment_feature_count, ({_FEATURES} - ({" + ".join(f"({c} IS NULL)::INT" for c in _GAPS)})) / {_FEATURES}.0 AS sentiment_data_quality FROM ares)"""
+
+
 @query(
     "sentiment_full_features",
-    Shape(["symbol"], ["ts"], ["sentiment_feature_count"], ["sentiment_data_quality", "news_volume_percentile_30d"], ["sentiment_ema_14d", "sentiment_volume_adjusted"]),
+    Shape(["symbol"], ["ts"], [*_MOMENTUM[0], *_VOLUME[0], "sentiment_feature_count"], [*_MOMENTUM[1], *_VOLUME[1], "sentiment_data_quality"], [*_MOMENTUM[2], *_INTERACTIONS]),
+    _full_sql,
 )
 def sentiment_full_features(spark, sf):
     return sen.sentiment_features(_days(spark, sf))

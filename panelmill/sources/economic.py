@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis, Scan, running
-from ..functions.rolling import rolling_corr
+from ..functions.axis import Axis, Scan, apply_waves, running
+from ..functions.rolling import rolling_correlation
 
 C = F.col
 
@@ -91,7 +91,7 @@ def yield_curve(macro: DataFrame, day, maturities: dict[str, int] | None = None)
 def indicator_correlation(df: DataFrame, a: str, b: str, axis: Axis, window: int = 252) -> DataFrame:
     """Per series: Pearson correlation, mean and deviation of the rolling correlation, row count."""
     both = df.filter(C(a).isNotNull() & C(b).isNotNull())
-    rolled = both.withColumn("_rc", rolling_corr(C(a), C(b), axis.last(window), window))
+    rolled = apply_waves(both, axis, rolling_correlation(a, b, axis, window, "_rc"))
     corr = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
     return rolled.groupBy(*axis.key).agg(
         corr.alias("correlation"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.axis import DAILY, Axis
 from ..functions.exprs import div
 from ..operators.clean import back_fill, forward_fill
+from .sinks import MONTH
 
 C = F.col
 
@@ -113,3 +114,17 @@ def stock_info(df: DataFrame) -> DataFrame:
 def check_symbols(requested: DataFrame, known: DataFrame, key: str = "symbol") -> tuple[DataFrame, DataFrame]:
     """(valid, invalid) parts of the requested symbols."""
     return requested.join(known, key, "left_semi"), requested.join(known, key, "left_anti")
+
+
+def read_bar_table(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, start=None, end=None, ts: str = "ts") -> DataFrame:
+    """Bars of a table that ``sinks.write_bar_table`` wrote: only the months of the range are listed for the scan, and of their
+    files only row groups that can hold the symbols are read."""
+    df = spark.read.parquet(path)
+    month = lambda day: F.date_format(F.lit(day).cast("date"), "yyyyMM").cast("int")
+    if start is not None:
+        df = df.filter(C(MONTH) >= month(start))
+    if end is not None:
+        df = df.filter(C(MONTH) <= month(end))
+    if symbols is not None:
+        df = df.filter(C("symbol").isin(*symbols))
+    return in_range(df, start, end, ts).drop(MONTH)

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.axis import Axis, number_rows
+from ..functions.quantiles import column_quantiles
 from ..operators.clean import article_text, keep_first
+from ..session import written
 
 C = F.col
 
@@ -110,38 +113,59 @@ def daily_article_sentiment(df: DataFrame, key: Sequence[str] = ("symbol",), ts:
 def daily_model_sentiment(df: DataFrame, score: str = "llm_sentiment", key: Sequence[str] = ("symbol",), ts: str = "publishedAt") -> DataFrame:
     """Daily mean, median, deviation and count of model scores.
 
-    The exact median keeps one counter per distinct score, not one per row.
+    The median is selected by sketch and exact counts, so a day of any size keeps no state per score.
     """
-    return df.groupBy(*key, C(ts).cast("date").alias("date")).agg(
-        F.avg(score).alias("llm_sentiment_mean"),
-        F.percentile(score, F.lit(0.5)).alias("llm_sentiment_median"),
-        F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("llm_sentiment_std"),
-        F.count(score).alias("llm_sentiment_count"),
+    keys = [*key, "date"]
+    rows = df.select(*key, C(ts).cast("date").alias("date"), C(score).alias("_s"))
+    out = rows.groupBy(*keys).agg(
+        F.avg("_s").alias("llm_sentiment_mean"), F.coalesce(F.stddev_samp("_s"), F.lit(0.0)).alias("llm_sentiment_std"), F.count("_s").alias("llm_sentiment_count")
     )
-
-
-def summarise_days(df: DataFrame, summarise: Callable[[list[str]], str] | None = None, key: Sequence[str] = ("symbol",), ts: str = "publishedAt", text: str = "title", per_call: int = 100) -> DataFrame:
+    middle = column_quantiles(rows, keys, ["_s"], {"llm_sentiment_median": 0.5}).select(*[C(k).alias(f"_k{i}") for i, k in enumerate(keys)], "llm_sentiment_median")
+    same = reduce(lambda a, b: a & b, [C(k).eqNullSafe(C(f"_k{i}")) for i, k in enumerate(keys)])
+    return out.join(middle, same, "left").select(*keys, *[f"llm_sentiment_{c}" for c in ("mean", "median", "std", "count")])
+
+
+def summarise_days(
+    df: DataFrame,
+    summarise: Callable[[list[str]], str] | None = None,
+    key: Sequence[str] = ("symbol",),
+    ts: str = "publishedAt",
+    text: str | Sequence[str] = ("title", "description"),
+    per_call: int = 100,
+    tie: Sequence[str] = ("url",),
+) -> DataFrame:
     """Attach a per-day summary to every article; without a summariser it is empty.
 
-    A day is summarised in parts of ``per_call`` texts that are summarised
-    again, so a day with any number of articles never meets in one call.
+    An article's text is its ``text`` columns (those that are there), joined by blanks. A day's texts go to the summariser in
+    order of time, ``tie`` and text. A day of up to ``per_call`` articles is one call; a longer one is summarised in
+    stretches of ``per_call``, and their summaries again in their order until one is left, so no call and no task holds
+    more, and every run gives the same summaries.
     """
     if summarise is None:
         return df.withColumn("daily_summary", F.lit(""))
-    keys = [*key, "_day"]
-    df = df.withColumn("_day", C(ts).cast("date"))
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[[0]][[c for c in pdf.columns if c != "_text"]].copy()
-        head["_text"] = summarise([t for t in pdf["_text"] if t])
-        return head
-
-    level = df.select(*keys, C(text).alias("_text"), F.pmod(F.xxhash64(C(text), C("url")), F.lit(1 << 20)).alias("_p"))
-    # each level folds the parts by a factor of per_call until one is left
-    parts = 1 << 20
-    level = level.groupBy(*keys, "_p").applyInPandas(part, level.schema)
-    while parts > 1:
-        parts = max(1, parts // per_call)
-        level = level.withColumn("_p", C("_p") % parts).groupBy(*keys, "_p").applyInPandas(part, level.schema)
-    summaries = level.select(*keys, C("_text").alias("daily_summary"))
-    return df.join(summaries, keys, "left").withColumn("daily_summary", F.coalesce("daily_summary", F.lit(""))).drop("_day")
+    named = [c for c in ([text] if isinstance(text, str) else text) if c in df.columns]
+    ties = [c for c in tie if c in df.columns]
+    # keys of days as one text, missing ones included
+    day = F.to_json(F.struct(*[C(k).cast("string").alias(f"k{i}") for i, k in enumerate(key)], C(ts).cast("date").alias("day")))
+    df = df.withColumn("_day", day)
+    texts = df.select("_day", C(ts).alias("_ts"), *[C(c).alias(f"_o{i}") for i, c in enumerate(ties)], F.concat_ws(" ", *[F.coalesce(C(c), F.lit("")) for c in named]).alias("_text"))
+    order = Axis(("_day",), "_ts", (*[f"_o{i}" for i in range(len(ties))], "_text"))
+    level = number_rows(texts, order, "_rn", count="_n").select("_day", "_rn", "_n", "_text")
+    longest = level.agg(F.max("_n")).first()[0] or 0
+
+    def stretch(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("_rn")
+        day, rn, n = rows[["_day", "_rn", "_n"]].iloc[0]
+        return pd.DataFrame({"_day": [day], "_rn": [rn // per_call], "_n": [-(-n // per_call)], "_text": [summarise(rows["_text"].tolist())]})
+
+    found = None
+    while True:
+        # written, as the summaries of a level are both kept and read on, and each is one call
+        level = written(level.groupBy("_day", F.floor(C("_rn") / per_call).alias("_part")).applyInPandas(stretch, "_day string, _rn long, _n long, _text string"))
+        done = level.filter(C("_n") <= 1).select("_day", C("_text").alias("daily_summary"))
+        found = done if found is None else found.unionByName(done)
+        longest = -(-longest // per_call)
+        if longest <= 1:
+            break
+        level = level.filter(C("_n") > 1)
+    return df.join(found, "_day", "left").withColumn("daily_summary", F.coalesce("daily_summary", F.lit(""))).drop("_day")
