@@ -51,6 +51,21 @@ def interpolate(df: DataFrame, cols: Sequence[str], axis: Axis = DAILY, limit: i
     return df.drop("_t_pos", *[f"_t_{c}_{s}" for c in cols for s in "pqnm"])
 
 
+def gap_columns(df: DataFrame, cols: Sequence[str], axis: Axis = DAILY) -> list[str]:
+    """Those of ``cols`` that are missing in some row after a known value of their series; filling leaves all others as they are.
+
+    One aggregate: a column has such a row where it is missing more often than before its first known value. Reads ``df``
+    once, so it should be a written table.
+    """
+    if not cols:
+        return []
+    rows = df.select(*axis.key, position(axis).alias("_t_pos"), *cols)
+    known = lambda c: F.min(F.when(C(c).isNotNull(), C("_t_pos") - 1))
+    per = rows.groupBy(*axis.key).agg(*[(F.count_if(C(c).isNull()) > F.coalesce(known(c), F.count(F.lit(1)))).alias(f"_g{i}") for i, c in enumerate(cols)])
+    found = per.agg(*[F.max(f"_g{i}").alias(f"_g{i}") for i in range(len(cols))]).first()
+    return [c for i, c in enumerate(cols) if found[f"_g{i}"]]
+
+
 def mean_fill(df: DataFrame, cols: Sequence[str], axis: Axis = DAILY) -> DataFrame:
     df = per_key(df, axis, {f"_t_{c}_mean": F.avg(c) for c in cols})
     return df.withColumns({c: F.coalesce(C(c), C(f"_t_{c}_mean")) for c in cols}).drop(*[f"_t_{c}_mean" for c in cols])

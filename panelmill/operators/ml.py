@@ -61,7 +61,8 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str = "target", m
     """Usable columns with their squared correlation to the target, best first.
 
     The univariate F statistic grows with the squared correlation, so the
-    order is the same.  Two aggregates over the data; no rows are collected.
+    order is the same; scores equal to nine digits go by name.  Two aggregates
+    over the data; no rows are collected.
     """
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -79,7 +80,7 @@ def feature_scores(df: DataFrame, cols: Sequence[str], target: str = "target", m
     ).first()
     spread = [(r[f"x{i}"] or 0.0) * (r["y"] or 0.0) for i in range(len(keep))]
     scored = [(c, r[f"c{i}"] ** 2 / spread[i] if spread[i] else 0.0) for i, c in enumerate(keep)]
-    return sorted(scored, key=lambda s: (-s[1], s[0]))
+    return sorted(scored, key=lambda s: (-round(s[1], 9), s[0]))
 
 
 def select_features(df: DataFrame, cols: Sequence[str], target: str = "target", k: int = 50, max_missing: float = 0.3) -> list[str]:

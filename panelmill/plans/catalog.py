@@ -11,14 +11,7 @@ from pyspark.sql import functions as F
 Run = Callable[[SparkSession, str], DataFrame]
 
 
-@dataclass(frozen=True)
-class Query:
-    name: str
-    run: Run
-    sql: str | None
-
-
-REGISTRY: dict[str, Query] = {}
+REGISTRY: dict[str, "Query"] = {}
 
 
 @dataclass(frozen=True)
@@ -58,6 +51,18 @@ class Shape:
         return ", ".join(parts)
 
 
+@dataclass(frozen=True)
+class Query:
+    name: str
+    run: Run
+    sql: str | None
+    shape: Shape | None = None
+
+    def body(self) -> str:
+        """The CTEs of the twin, ``res`` the last of them."""
+        return self.sql.removeprefix("WITH RECURSIVE ").rpartition("\nSELECT ")[0]
+
+
 def query(name: str, shape: Shape, sql: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame``; ``sql`` must define a relation ``res``."""
 
@@ -68,7 +73,7 @@ def query(name: str, shape: Shape, sql: str | None = None):
         text = None if sql is None else f"WITH RECURSIVE {sql.strip()}\nSELECT {shape.sql()} FROM res"
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, run, text)
+        REGISTRY[name] = Query(name, run, text, shape)
         return run
 
     return wrap

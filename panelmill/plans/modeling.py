@@ -12,7 +12,7 @@ from ..operators import ml
 from ..operators import unified as un
 from ..session import settle, written
 from . import fixtures as fx
-from .catalog import Shape, query
+from .catalog import REGISTRY, Shape, query
 from .cleaning import CALENDAR_SQL
 from .market import _regime_sql, _unified_sql
 from .sqlkit import wins
@@ -20,6 +20,7 @@ from .sqlkit import wins
 C = F.col
 BARS, LEVELS, PREDS = fx.BARS_SQL, fx.LEVELS_SQL, fx.PREDS_SQL
 BY_MODEL = Axis(key=("symbol", "model"))
+_PRICES = ["open", "high", "low", "close", "volume"]
 
 
 # ------------------------------------------------------------ targets and windows
@@ -542,7 +543,35 @@ def _model_data(spark, sf):
     return written(ml.impute(frame.select("symbol", "ts", "target", *chosen), chosen)), chosen
 
 
-@query("ml_feature_selection", Shape(["feature"], [], [], ["score"]))
+def _feature_sql() -> str:
+    """Squared correlations of every feature of the model frame, put together from the twins of the indicator families.
+
+    Each family's twin runs inside a CTE of its own, over the model frame's bars instead of its own.
+    """
+    families = "sma_features wma ema_macd rsi bollinger stoch_willr_cci volume_indicators price_momentum model_lag_features".split()
+    parts, columns = [], {c: f"m.{c}" for c in _PRICES}
+    for i, name in enumerate(families):
+        q = REGISTRY[name]
+        body = q.body().replace(fx.BARS_SQL.strip(), "bars AS (SELECT symbol, ts, open, high, low, close, volume FROM mf)", 1)
+        parts.append(f"f{i} AS MATERIALIZED (WITH RECURSIVE {body} SELECT * FROM res)")
+        columns |= {c: f"f{i}.{c}" for c in (*q.shape.plain, *q.shape.fine, *q.shape.coarse)}
+    bands = f"f{families.index('bollinger')}"
+    columns |= {"BB_lower_20_1_0": f"2 * {bands}.BB_middle_20 - {bands}.BB_upper_20_1_0", "BB_upper_20_2_5": f"2 * {bands}.BB_middle_20 - {bands}.BB_lower_20_2_5"}
+    nr = list(enumerate(columns))
+    joins = " ".join(f"JOIN f{i} ON f{i}.symbol = m.symbol AND f{i}.ts = m.ts" for i in range(len(families)))
+    whole = " AND ".join(f"(c{i} IS NOT NULL OR NOT k{i})" for i, _ in nr)
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, CASE WHEN x{i} * y > 0 THEN a{i} * a{i} / (x{i} * y) ELSE 0 END AS score FROM cr WHERE k{i}" for i, c in nr)
+    return f"""{LEVELS},
+mf AS MATERIALIZED (SELECT b.symbol, b.ts, l.close AS open, b.high, b.low, l.close, b.volume, lead(l.close) OVER (PARTITION BY b.symbol ORDER BY b.ts) / l.close - 1 AS target
+  FROM bars b JOIN levels l ON l.symbol = b.symbol AND l.ts = b.ts),
+{", ".join(parts)},
+fr AS MATERIALIZED (SELECT m.target, {", ".join(f"CAST({columns[c]} AS DOUBLE) AS c{i}" for i, c in nr)} FROM mf m {joins} WHERE m.target IS NOT NULL),
+st AS MATERIALIZED (SELECT {", ".join(f"1 - count(c{i}) / count(*) < 0.3 AND min(c{i}) < max(c{i}) AS k{i}" for i, _ in nr)} FROM fr),
+cr AS MATERIALIZED (SELECT var_samp(target) AS y, {", ".join(f"any_value(k{i}) AS k{i}, covar_samp(c{i}, target) AS a{i}, var_samp(c{i}) AS x{i}" for i, _ in nr)} FROM fr, st WHERE {whole}),
+res AS (SELECT * FROM ({rows}) ORDER BY round(score, 9) DESC, feature LIMIT 50)"""
+
+
+@query("ml_feature_selection", Shape(["feature"], [], [], ["score"]), _feature_sql())
 def ml_feature_selection(spark, sf):
     frame = _model_frame(spark, sf)
     return spark.createDataFrame(ml.feature_scores(frame, ml.feature_columns(frame))[:50], "feature string, score double")
@@ -590,7 +619,6 @@ _CALENDAR = [
 ]
 _MOOD = ["sentiment_score", "sentiment_ma_3d", "sentiment_ma_7d", "sentiment_volatility", "sentiment_momentum"]
 _BEFORE = [*_U_FINE, *_U_COARSE, *_REGIME, *_MOOD, *_SERIES]  # what may be missing in a row; 63 columns stand before the counts
-_PRICES = ["open", "high", "low", "close", "volume"]
 _LAGS = (1, 2, 3, 5, 10)
 _U_PLAIN = [*[f"{s}_days_since_update" for s in _SERIES], *_CALENDAR, "high_volatility", "missing_count"]
 _U_SIX = [*_U_FINE, *_REGIME, *_SERIES, "missing_pct", *[f"{c}_lag_{k}" for c in ("u_returns", "u_rsi") for k in _LAGS]]

@@ -13,7 +13,7 @@ from panelmill.functions import quantiles
 from panelmill.functions.axis import DAILY, apply_waves
 from panelmill.functions.quantiles import column_quantiles
 from panelmill.functions.rolling import rolling_correlation
-from panelmill.operators import evaluate, validation
+from panelmill.operators import clean, evaluate, validation
 from panelmill.sources import market, news, sinks
 
 PROBS = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
@@ -170,3 +170,15 @@ def test_day_summaries_are_repeatable_and_one_call_a_day(spark):
         if len(texts) == longest:
             assert r["daily_summary"] == folded(texts)
     assert len(out) == 60
+
+
+def test_gap_columns(spark):
+    """Only what is missing after a known value in some series; interpolating those alone changes nothing else."""
+    rows = [("A", i, 1.0 if i != 3 else None, None if i < 2 else float(i), None, float(i), None if i == 5 else 2.0) for i in range(6)]
+    rows += [("B", i, 1.0, None if i < 3 else 4.0, None, float(i), 3.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, hole double, lead double, none double, full double, tail double")
+    cols = ["hole", "lead", "none", "full", "tail"]
+    assert clean.gap_columns(df, cols) == ["hole", "tail"]
+    assert clean.gap_columns(df.limit(0), cols) == []
+    some, every = (clean.interpolate(df, c, limit=5).orderBy("symbol", "ts").collect() for c in (["hole", "tail"], cols))
+    assert some == every
