@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.axis import DAILY, Axis, Scan, in_blocks, running
+from ..session import written
 from .clean import back_fill, forward_fill, interpolate
 
 C = F.col
@@ -195,5 +196,5 @@ def join_llm_daily(daily: DataFrame, llm: DataFrame, on: Sequence[str] = ("symbo
 def market_neutral(df: DataFrame, value: str, axis: Axis = DAILY, out: str = "neutral", single_asset: bool = False) -> DataFrame:
     """Value minus the mean of all symbols at the same time (or of the series, for one asset)."""
     on = list(axis.key) if single_asset else [axis.ts]
-    mean = df.groupBy(*on).agg(F.avg(value).alias("_mean"))
+    mean = written(df.groupBy(*on).agg(F.avg(value).alias("_mean")))  # counted from the written table, not by running ``df`` again
     return df.join(small(mean), on, "left").withColumn(out, C(value) - C("_mean")).drop("_mean")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 C = F.col
 
 # Default alert limits.
@@ -75,9 +77,9 @@ def recent_runs(runs: DataFrame, last: int = 10) -> DataFrame:
 
 def recommendations(runs: DataFrame, issues: DataFrame, last: int = 10) -> DataFrame:
     """Advice from the issue categories and scores of the last runs."""
-    recent = recent_runs(runs, last)
+    recent = settle(recent_runs(runs, last))  # at most ``last`` rows, which three branches read
     hits = issues.join(recent.select("run_ts", C("category").alias("run_category")), ["run_ts", "run_category"], "left_semi")
-    by_cat = hits.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    by_cat = settle(hits.groupBy("category").agg(F.count(F.lit(1)).alias("n")))
     advice = [F.when((C("category") == c) & (C("n") > k), F.lit(text)) for c, k, text in ADVICE]
     from_issues = by_cat.select(F.explode(F.array_compact(F.array(*advice))).alias("recommendation"))
     means = recent.agg(F.avg("pass_rate").alias("p"), F.avg("avg_quality_score").alias("q"))

@@ -53,6 +53,7 @@ RULES = {
     ),
     "unified": Rules(),
 }
+AT_ONCE = 100  # columns whose outliers are counted together
 RATE_WORDS = ("rate", "yield", "dff", "dgs")
 SUSPICIOUS = ("unnamed", "untitled", "column")
 
@@ -87,17 +88,18 @@ def _fingerprint(on: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*[C(c) for c in on]), F.xxhash64(F.lit(7), *[C(c) for c in on])]
 
 
-def duplicate_rows(df: DataFrame, by: Sequence[str], on: Sequence[str], out: str = "duplicates", fingerprint: Callable[[Sequence[str]], list[Column]] = _fingerprint) -> DataFrame:
+def duplicate_rows(df: DataFrame, by: Sequence[str], on: Sequence[str], out: str = "duplicates", fingerprint: Callable[[Sequence[str]], list[Column]] = _fingerprint, lazy: bool = False) -> DataFrame:
     """Rows equal in ``on`` to an earlier one, per dataset; datasets without any have no row.
 
     The shuffle carries the keys and 128 bits of each row, folded in the tasks before. Only rows whose bits occur twice are
-    compared by their values, so equal bits alone make no copy.
+    compared by their values, so equal bits alone make no copy. ``lazy`` runs no job while the plan is made.
     """
     a, b = fingerprint(on)
     rows = df.select(*by, *on, a.alias("_fa"), b.alias("_fb"))
-    twice = settle(rows.groupBy(*by, "_fa", "_fb").agg(F.count(F.lit(1)).alias("_k")).filter(C("_k") > 1).drop("_k"))
+    twice = rows.groupBy(*by, "_fa", "_fb").agg(F.count(F.lit(1)).alias("_k")).filter(C("_k") > 1).drop("_k")
     keys = [*by, "_fa", "_fb"]
-    renamed = small(twice.select(*[C(k).alias(f"_j{i}") for i, k in enumerate(keys)]))
+    renamed = (twice if lazy else settle(twice)).select(*[C(k).alias(f"_j{i}") for i, k in enumerate(keys)])
+    renamed = renamed if lazy else small(renamed)
     same = reduce(lambda x, y: x & y, [C(k).eqNullSafe(C(f"_j{i}")) for i, k in enumerate(keys)])
     return _duplicates(rows.join(renamed, same, "left_semi"), list(by), list(on), out).filter(C(out) > 0)
 
@@ -119,17 +121,22 @@ def time_gaps(df: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts", he
     )
 
 
-def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("symbol",), heavy: bool = False) -> DataFrame:
+def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("symbol",), heavy: bool = False, lazy: bool = False) -> DataFrame:
     """Per dataset and column: known values, how many lie outside 1.5 interquartile ranges, and that range.
 
-    The quartiles of all columns come first, the counts follow as one aggregate over rows that meet their dataset's
-    quartiles; rows stay rows, no column is turned into rows of its own. For datasets bounded by the calendar the
-    quartiles are an aggregate (a counter per distinct value); with ``heavy`` they are selected by sketch and exact counts, so
-    that a dataset of any size is spread over many tasks.
+    The quartiles come first, the counts follow as one aggregate over rows that meet their dataset's bounds; rows stay rows,
+    no column is turned into rows of its own. For datasets bounded by the calendar the quartiles are an aggregate (a counter
+    per distinct value); with ``heavy`` they are selected by sketch and exact counts, so that a dataset of any size is
+    spread over many tasks. Wide tables go a few columns at a time, each pass reading its columns only, as one aggregate over
+    all of them would be too long to compile.
     """
-    keys = list(by)
-    slim = df.select(*keys, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    parts = [_outliers(df, list(columns[i : i + AT_ONCE]), list(by), heavy, lazy) for i in range(0, len(columns), AT_ONCE)]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+def _outliers(df: DataFrame, columns: list[str], keys: list[str], heavy: bool, lazy: bool) -> DataFrame:
     span = range(len(columns))
+    slim = df.select(*keys, *[C(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     if heavy:
         q = column_quantiles(slim, keys, [f"_x{i}" for i in span], {"lo": 0.25, "hi": 0.75})
         q = q.groupBy(*keys).agg(*[F.max(F.when(C("column") == f"_x{i}", F.array("lo", "hi"))).alias(f"_q{i}") for i in span])
@@ -137,9 +144,17 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("
         quarts = F.array(F.lit(0.25), F.lit(0.75))
         q = slim.groupBy(*keys).agg(*[F.percentile(f"_x{i}", quarts).alias(f"_q{i}") for i in span])
     lo, hi = (lambda i: C(f"_q{i}")[0]), (lambda i: C(f"_q{i}")[1])
-    far = lambda i: (C(f"_x{i}") < lo(i) - 1.5 * (hi(i) - lo(i))) | (C(f"_x{i}") > hi(i) + 1.5 * (hi(i) - lo(i)))
-    aggs = [a for i in span for a in (F.count(f"_x{i}").alias(f"_n{i}"), F.count_if(far(i)).alias(f"_o{i}"), F.max(hi(i) - lo(i)).alias(f"_r{i}"))]
-    per = slim.join(small(settle(q)) if heavy else q, keys).groupBy(*keys).agg(*aggs)
+    reach = lambda i: 1.5 * (hi(i) - lo(i))
+    bounds = [x for i in span for x in ((lo(i) - reach(i)).alias(f"_l{i}"), (hi(i) + reach(i)).alias(f"_h{i}"), (hi(i) - lo(i)).alias(f"_r{i}"))]
+    q = q.select(*keys, *bounds) if lazy else written(q.select(*keys, *bounds))
+    near = q.select(*keys, *[f"_{s}{i}" for i in span for s in "lh"])
+    near = near if lazy else small(near)
+    far = lambda i: (C(f"_x{i}") < C(f"_l{i}")) | (C(f"_x{i}") > C(f"_h{i}"))
+    aggs = [a for i in span for a in (F.count(f"_x{i}").alias(f"_n{i}"), F.count_if(far(i)).alias(f"_o{i}"))]
+    if lazy:  # the range goes along with the rows, rather than the quartiles being worked out twice
+        near, aggs = q, [*aggs, *[F.max(f"_r{i}").alias(f"_r{i}") for i in span]]
+    per = slim.join(near, keys).groupBy(*keys).agg(*aggs)
+    per = per if lazy else per.join(q.select(*keys, *[f"_r{i}" for i in span]), keys)
     cells = [F.struct(F.lit(c).alias("column"), C(f"_n{i}").alias("known"), C(f"_o{i}").alias("outliers"), C(f"_r{i}").alias("iqr")) for i, c in enumerate(columns)]
     return per.select(*keys, F.inline(F.array(*cells))).filter(C("known") > 0)
 
@@ -154,17 +169,20 @@ def validate(
     now=None,
     heavy: bool = False,
     derived: bool = True,
+    lazy: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(issues, reports).  ``ingest`` is the arrival order used for the sortedness rule; ``now`` the clock.
 
     The rules read the table several times: a ``derived`` one is written first, a plain scan need not be. What they find is
-    written as well, a row per dataset, so that issues and reports come from the same counts.
+    written as well, a row per dataset, so that issues and reports come from the same counts; with ``lazy`` they are plans that
+    run when asked for, once for each of the two.
 
     ``heavy`` is for datasets not bounded by the calendar; without ``by`` it is always on.
     """
     rules = RULES[kind]
     keys = list(by) or ["_all"]
-    df = written(df) if derived else df
+    df = written(df) if derived and not lazy else df
+    keep = (lambda d: d) if lazy else settle
     heavy = heavy or not by  # a whole table is one dataset of any size
     if not by:
         df = df.withColumn("_all", F.lit(1))
@@ -261,7 +279,7 @@ def validate(
 
     base = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs).withColumn("_all", F.lit(1))
     # duplicates, order, gaps
-    base = base.join(duplicate_rows(df, keys, values, "_dup_rows"), keys, "left")
+    base = base.join(duplicate_rows(df, keys, values, "_dup_rows", lazy=lazy), keys, "left")
     found.append(_issue(C("_dup_rows") > 0, WARNING, "duplicates", None, _text(C("_dup_rows"), " duplicate rows"), C("_dup_rows"), div("_dup_rows", n) * 100))
     if ts is not None:
         base = base.join(_duplicates(df, keys, [ts], "_dup_ts"), keys, "left")
@@ -276,7 +294,7 @@ def validate(
         base = base.join(seen.groupBy(*keys).agg(F.coalesce(F.sum("_back"), F.lit(0)).alias("_unsorted")), keys, "left")
         found.append(_issue(C("_unsorted") > 0, ERROR, "index", ts, F.lit("Times are not sorted")))
 
-    base = settle(base)
+    base = keep(base)
     dataset = F.lit(name) if not by else F.concat_ws("/", F.lit(name), *[C(k).cast("string") for k in by])
     extra = ["_n", "_missing"]
     head = base.withColumn("_missing", F.when(n > 0, missing).otherwise(0.0))
@@ -299,7 +317,7 @@ def validate(
     if numeric:
         share = C("outliers") / C("known") * 100
         level = F.when(share > 25, ERROR).when(share > 10, WARNING).otherwise(INFO)
-        outl = settle(outlier_counts(df, numeric, keys, heavy)).filter((C("known") > 10) & (C("iqr") > 0) & (C("outliers") > 0))
+        outl = keep(outlier_counts(df, numeric, keys, heavy, lazy)).filter((C("known") > 10) & (C("iqr") > 0) & (C("outliers") > 0))
         issues = issues.unionByName(
             outl.select(
                 *keys,

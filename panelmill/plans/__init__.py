@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .catalog import REGISTRY, Query
 
-MODULES = ("market", "cleaning", "joining", "sentiment", "quality", "trading", "modeling", "streams", "tables")
+MODULES = ("market", "cleaning", "joining", "sentiment", "quality", "trading", "modeling", "streams", "tables", "inputs")
 
 
 def load_queries() -> dict[str, Query]:

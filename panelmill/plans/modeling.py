@@ -675,4 +675,4 @@ res AS (SELECT *, greatest(0, 100 - 25 * critical_issues - 10 * error_issues - 5
 
 @query("unified_report", Shape(["symbol"], [], ["rows", "error_issues", "warning_issues", "info_issues", "is_valid"], ["missing_pct", "quality_score"]), _UNIFIED_REPORT)
 def unified_report(spark, sf):
-    return _unified(spark, sf, now="2030-01-01")[2]
+    return _unified(spark, sf, now="2030-01-01", report=True)[2]
