@@ -168,7 +168,7 @@ def test_text_ids_empty_table_and_one_kind_of_id(spark, tmp_path, library):
 
 
 def test_text_longer_than_a_segment(spark, tmp_path, library, monkeypatch):
-    text = "Lange Texte werden geteilt, it's so. " * 20_000 + "日本 " * 2000
+    text = "Lange Texte werden geteilt, it's so. " * 30_000 + "日本 " * 2000
     docs = spark.createDataFrame([(1, text), (2, "kurz")], "doc_id long, text string")
     assert len(text) > tokenfile.SEGMENT
     tokenfile.write(docs, f"{tmp_path}/f", PATH)
